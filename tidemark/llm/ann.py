@@ -18,13 +18,13 @@ from tidemark.llm.common import ship
 from tidemark.llm.vectors import unit, usable
 
 #: Pivots, and how many of the nearest represent a vector.
-PIVOTS, PREFIX = 64, 48
+PIVOTS, PREFIX = 36, 32
 #: Rows that the pivots and the cutoff are fitted on; every row is indexed.
 SAMPLE_ROWS = 4_000
 #: Share of the true neighbours of sampled rows that the cutoff must keep.
 TARGET = 0.99
 #: Rows of a shard and queries of a block.
-SHARD_ROWS, QUERY_ROWS = 512, 4_096
+SHARD_ROWS, QUERY_ROWS = 1_024, 4_096
 
 
 def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
