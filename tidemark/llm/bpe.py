@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import ship
+from tidemark.llm.common import ship, slices
 from tidemark.llm.tokens import PieceEncoder, byte_chars, encode_batches
 
 
@@ -96,7 +96,7 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "d
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = read_ranks(path).__getitem__
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
             out = pa.array([b"".join(map(token, x or ())) for x in lists], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, out_col])

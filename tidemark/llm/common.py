@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in short slices, so that what Python makes of long texts stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def local_forest(n: int, left: np.ndarray, right: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For n rows and links between their positions: the position of each row's smallest reachable row by order."""
     rank = np.empty(n, np.int64)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, ship
+from tidemark.llm.common import durable, ship, slices
 
 #: Documents that the filters are learned from, about.
 SAMPLE_DOCS = 20_000
@@ -106,7 +106,7 @@ def learn_filter(docs: DataFrame, is_training: Column, text_col: str = "text", l
     sample = rows.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
             for lang in sorted(set(langs)):
                 raw = b"".join(folded(texts[i]) for i in np.flatnonzero(langs == lang))
@@ -136,7 +136,7 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text") ->
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded as learn_filter states
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, langs, scores = batch.column(batch.schema.get_field_index(text_col)).to_pylist(), [], []
             for part in blocks(texts):
                 lang, score = shared.value.predict(part)

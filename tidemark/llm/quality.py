@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship
+from tidemark.llm.common import ship, slices
 from tidemark.llm.langid import blocks
 
 #: Bytes of a passage.
@@ -155,7 +155,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, is_training: Column) -> Gate
     ship(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for i, text in enumerate(batch.column(1).to_pylist()):
                 x, _ = passages([text])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(2).slice(i, 1), pa.array([x.astype(np.float16).tobytes()], pa.binary())], ["doc_id", "label", "x"])
@@ -172,7 +172,7 @@ def score_quality(docs: DataFrame, model: GatedAttention, text_col: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             score = np.concatenate([np.zeros(0), *(shared.value.scores(*passages(part)) for part in blocks(texts, 1 << 18))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])

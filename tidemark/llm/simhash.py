@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, durable, local_forest, ship
+from tidemark.llm.common import components, durable, local_forest, ship, slices
 
 #: Lists up to this length are joined with themselves; longer ones are compared in tiles of two blocks of BLOCK rows.
 SHORT_LIST = 32
@@ -47,7 +47,7 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "s
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             out = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, out_col])

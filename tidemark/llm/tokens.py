@@ -12,8 +12,10 @@ import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+from tidemark.llm.common import slices
+
 #: Entries that a worker keeps for each tokenizer; beyond that it starts anew.
-TABLE_ENTRIES = 1_000_000
+TABLE_ENTRIES = 500_000
 _SPACES = re.compile(r"\s\s")
 #: White space besides space and newline, and what lies beyond the Latin blocks, go to the tokenizer as they are.
 _ODD = re.compile(r"[^\n -~¡-į]")
@@ -107,6 +109,6 @@ def hub_encoder(path: str, lower: bool) -> PieceEncoder:
 def encode_batches(batches: Iterator, make: Callable[[], PieceEncoder], text_col: str, finish: Callable) -> Iterator:
     """For mapInArrow: finish(batch, ids of each row as bytes) for every record batch; null texts count as empty."""
     encoder = make()
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
         yield from finish(batch, [encoder.ids(t) if t else b"" for t in texts])
