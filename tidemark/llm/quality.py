@@ -139,7 +139,7 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, is_training:
     """(doc_id, text, label) of about `rows` labelled training documents, chosen by a hash of doc_id; per_label: so many of each label.
 
     is_training is on doc_id. Rows with a null doc_id or label, or a label other than 0 and 1, teach nothing;
-    of repeated labels the larger holds.
+    of repeated labels the larger holds. The chosen ids are broadcast: about `rows` of them, for each label at most.
     """
     known = labels.where(is_training & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -147,7 +147,7 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, is_training:
     take = F.lit(False)
     for v, share in bound.items():
         take |= (F.col("label") == v) & (F.pmod(F.xxhash64("doc_id", F.lit(35)), F.lit(1 << 30)) < int(min(share, 1) * (1 << 30)))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(known.where(take), "doc_id")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(known.where(take)), "doc_id")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, is_training: Column) -> GatedAttention:
