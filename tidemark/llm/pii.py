@@ -60,9 +60,10 @@ def luhn(digits: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """All base spans of a text (null: none), by kind in the order of KINDS, then start; matches that fail their check are dropped."""
+    bare = lambda p: F.ltrim(p, F.lit("0"))
     keep = {
         "email": lambda x: F.lit(True),
-        "ip": lambda x: F.forall(F.split(x["value"], r"\."), lambda p: F.length(F.ltrim(F.lit("0"), p)).between(0, 3) & (F.coalesce(F.when(F.length(F.ltrim(F.lit("0"), p)) <= 3, F.concat(F.lit("0"), F.ltrim(F.lit("0"), p)).cast("int")), F.lit(256)) <= 255)),
+        "ip": lambda x: F.forall(F.split(x["value"], r"\."), lambda p: F.when(F.length(bare(p)) <= 3, F.concat(F.lit("0"), bare(p)).cast("int") <= 255).otherwise(False)),
         "card": lambda x: F.length(_digits(x["value"])).between(16, 19) & luhn(_digits(x["value"])),
         "phone": lambda x: F.length(_digits(x["value"])).between(8, 15),
     }
