@@ -80,19 +80,24 @@ def disclosing_terms(lines: DataFrame) -> DataFrame:
     """(entity, term) where the term discloses the entity, from lines (line, entities), one row for each distinct line.
 
     p is a share of all lines. Of entity e and term t in at least MIN_LINES lines together, t discloses
-    log(p(t, e) / (p(t) p(e))) / -log p(e) of e. Terms are lower-cased; those that hold a base value's line
-    alone in fewer lines disclose nothing.
+    log(p(t, e) / (p(t) p(e))) / -log p(e) of e. Terms are lower-cased. An entity of all lines can't be told apart.
     """
     term = F.explode(F.array_distinct(F.filter(F.split(F.lower("line"), _TERM.replace("^", "", 1)), lambda w: F.length(w) >= MIN_TERM)))
     named = lines.where(F.size("entities") > 0).select(F.explode("entities").alias("entity"), "line")
     n_e = named.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= MIN_LINES)
     both = named.join(n_e, "entity").select("entity", "n_e", term.alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= MIN_LINES)
     # an entity's own digits or letters are base spans already
-    both = durable(both.where(~F.contains(F.col("entity"), F.col("term")) & ~F.contains(F.col("term"), F.col("entity"))))
-    n_t = lines.select(term.alias("term")).join(both.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    both = both.where(~F.contains(F.col("entity"), F.col("term")) & ~F.contains(F.col("term"), F.col("entity")))
     n = lines.agg(F.count("*").alias("n"))  # one row
-    told = F.log(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(F.col("n") / F.col("n_e"))
-    return both.join(n_t, "term").crossJoin(F.broadcast(n)).where((F.col("n_e") < F.col("n")) & (told >= DISCLOSURE)).select("entity", "term")
+
+    def told(n_t: str) -> Column:
+        return F.log(F.col("n") * F.col("n_te") / (F.col(n_t) * F.col("n_e"))) / F.log(F.col("n") / F.col("n_e"))
+
+    # a term is in no fewer lines than in those with entities: what that many already keep from disclosing isn't counted over all
+    least = lines.where(F.size("entities") > 0).select(term.alias("term")).groupBy("term").agg(F.count("*").alias("least"))
+    both = durable(both.join(least, "term").crossJoin(F.broadcast(n)).where((F.col("n_e") < F.col("n")) & (told("least") >= DISCLOSURE)))
+    n_t = lines.select(term.alias("term")).join(both.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    return both.join(n_t, "term").where(told("n_t") >= DISCLOSURE).select("entity", "term")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
