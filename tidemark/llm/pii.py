@@ -27,6 +27,8 @@ DISCLOSURE, MIN_LINES = 0.9, 3
 #: A term: a stretch without white space of at least so many characters.
 MIN_TERM = 4
 _TERM = r"[^\x20\x09-\x0D]+"
+#: Terms up to so many bytes together are broadcast to the texts; more are joined to the distinct lines.
+BROADCAST_BYTES = 16 << 20
 
 
 def _pieces(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -76,11 +78,13 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def disclosing_terms(lines: DataFrame) -> DataFrame:
+def disclosing_terms(lines: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """(entity, term) where the term discloses the entity, from lines (line, entities), one row for each distinct line.
 
     p is a share of all lines. Of entity e and term t in at least MIN_LINES lines together, t discloses
     log(p(t, e) / (p(t) p(e))) / -log p(e) of e. Terms are lower-cased. An entity of all lines can't be told apart.
+    repeated (line) holds the same lines with repeats: if given, few terms are looked for there and counted by line
+    digest, which saves shuffling all lines once more.
     """
     term = F.explode(F.array_distinct(F.filter(F.split(F.lower("line"), _TERM.replace("^", "", 1)), lambda w: F.length(w) >= MIN_TERM)))
     named = lines.where(F.size("entities") > 0).select(F.explode("entities").alias("entity"), "line")
@@ -96,7 +100,12 @@ def disclosing_terms(lines: DataFrame) -> DataFrame:
     # a term is in no fewer lines than in those with entities: what that many already keep from disclosing isn't counted over all
     least = lines.where(F.size("entities") > 0).select(term.alias("term")).groupBy("term").agg(F.count("*").alias("least"))
     both = durable(both.join(least, "term").crossJoin(F.broadcast(n)).where((F.col("n_e") < F.col("n")) & (told("least") >= DISCLOSURE)))
-    n_t = lines.select(term.alias("term")).join(both.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    terms = both.select("term").distinct()
+    if repeated is not None and (terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        at = repeated.select("line", F.md5("line").alias("digest")).select("digest", term.alias("term")).join(F.broadcast(terms), "term", "left_semi").distinct()
+    else:
+        at = lines.select(term.alias("term")).join(terms, "term", "left_semi")
+    n_t = at.groupBy("term").agg(F.count("*").alias("n_t"))
     return both.join(n_t, "term").where(told("n_t") >= DISCLOSURE).select("entity", "term")
 
 
@@ -113,9 +122,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     holds = rows.where(F.size("base_spans") > 0)
     found = F.array_distinct(F.transform(base_spans(F.col(line)), lambda s: F.lower(s["value"])))
     # lines with a base value are few; the others are only counted
-    every = docs.select(F.explode(F.split(text, "\n")).alias(line)).where(F.length(line) > 0).groupBy(line).agg(F.lit(0).alias(total)).select(line)
+    repeated = docs.select(F.explode(F.split(text, "\n")).alias("line")).where(F.length("line") > 0)
+    every = repeated.withColumnRenamed("line", line).groupBy(line).agg(F.lit(0).alias(total)).select(line)
     lines = every.select(F.col(line).alias("line"), F.when(F.col(line).rlike(r"[0-9@]"), found).otherwise(F.array().cast("array<string>")).alias("entities"))
-    told = disclosing_terms(lines)
+    told = disclosing_terms(lines, repeated)
     named = holds.select(F.xxhash64(text).alias(key), text.alias("_text"), F.explode(F.array_distinct(F.transform("base_spans", lambda s: F.lower(s["value"])))).alias("entity"))
     by_text = named.join(told, "entity").groupBy(key, "_text").agg(F.collect_set("term").alias(terms)).withColumnRenamed(key, "_key")
     marked = holds.join(by_text, (F.xxhash64(text) == F.col("_key")) & (text == F.col("_text")), "left").drop("_key", "_text")
