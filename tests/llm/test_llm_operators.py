@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, packing, pii, registry, simhash
+from tidemark.llm.embedding_dedup import near_duplicate_vectors
 from tidemark.llm.langid import identify, learn_filter
 from tidemark.llm.quality import GatedAttention, fit_quality, passages, score_quality
 from tidemark.llm.toxicity import fit_toxicity, score_toxicity
@@ -88,6 +89,22 @@ def test_op1(spark, sf):
     assert len(got) == spark.read.parquet(f"{sf}/embeddings.parquet").count()
 
 
+def test_op1_pairs_in_a_crowd(spark):
+    """Pairs just above the threshold without another link, inside a crowd of vectors just below it."""
+    r = np.random.default_rng(5)
+    unit_rows = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    around = lambda c, cos: cos * c + np.sqrt(1 - cos**2) * unit_rows(r.standard_normal((len(c), 64)))
+    crowd = unit_rows(around(np.repeat(unit_rows(r.standard_normal((1, 64))), 6000, 0), np.sqrt(0.75)))
+    step = r.standard_normal((800, 64))
+    step = unit_rows(step - (step * crowd[:800]).sum(1)[:, None] * crowd[:800])
+    x = np.concatenate([crowd, 0.905 * crowd[:800] + np.sqrt(1 - 0.905**2) * step, crowd[:20]])
+    ids = np.arange(len(x)) * 3
+    got = near_duplicate_vectors(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id bigint, embedding array<double>")).toPandas().set_index("vec_id").loc[ids]
+    links = np.concatenate([np.argwhere(unit_rows(x[i : i + 500]) @ unit_rows(x).T >= 0.9) + [i, 0] for i in range(0, len(x), 500)])
+    assert got["component_id"].tolist() == ids[roots(len(x), links[links[:, 0] < links[:, 1]])].tolist()
+    assert got["n_links"].tolist() == (np.bincount(links[:, 0]) - 1).tolist()
+
+
 def test_op2(spark, sf):
     import public_tokenizers as P
     import tiktoken

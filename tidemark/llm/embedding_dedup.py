@@ -1,8 +1,8 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by hashed projection passes.
 
-In each pass every vector gets a key of concatenated random hashes (signs of random projections); vectors are
-ordered lexicographically by it and compared in bounded neighbour windows. Verified pairs of all passes are
-united. Links lie within the groups so found, and are counted there exactly, tile by tile.
+In each pass every vector gets a key of random hashes (signs of random projections), and all vectors of one key
+are compared, tile by tile where they are many. Verified pairs of all passes are united. Links lie within the
+groups so found, and are counted there exactly, tile by tile. Equal vectors go through the passes as one.
 """
 
 from __future__ import annotations
@@ -13,112 +13,137 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, durable, local_forest, ship
 from tidemark.llm.vectors import matrix, prepared, unit
 
-#: Neighbours: each vector meets the rest of its block of WINDOW and the whole next one.
-WINDOW = 64
-#: Random hashes in a key.
+#: Random hashes in a key, at most.
 HASHES = 48
 #: Chance that one pair at the threshold is missed by all passes.
 MISS = 1e-4
 #: Rows of one tile side.
 BLOCK = 512
+#: Vectors that crowding is measured on; comparisons that cost as much as dealing out a row for one pass, about.
+SAMPLE, ROW_COST = 1000, 512
+#: Vectors that are alike for any threshold up to this, whatever the rounding, if they are equal.
+SURE = 1 - 1e-9
+#: Keys of many vectors are broadcast up to so many; more are joined.
+BROADCAST_KEYS = 100_000
 
 
-def passes_for(rows: int, threshold: float, miss: float = MISS) -> int:
-    """Passes after which a pair at the threshold is missed with chance `miss` at most.
+def passes_for(hashes: int, threshold: float, miss: float = MISS) -> int:
+    """Passes after which a pair at the threshold is missed with chance `miss` at most, however the others lie.
 
-    Two vectors agree on a random sign with chance 1 - angle / pi, and are neighbours once they share so many
-    leading hashes that about WINDOW rows do.
+    Two vectors agree on a random sign with chance 1 - angle / pi, and meet in each pass in which they agree on all `hashes`.
     """
-    agree = 1 - math.acos(threshold) / math.pi
-    chance = agree ** max(1.0, math.log2(max(rows, 2) / WINDOW))
-    return max(4, math.ceil(math.log(miss) / math.log1p(-min(chance, 0.99))))
+    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    return max(1, math.ceil(math.log(miss) / math.log1p(-min(agree**hashes, 1 - 1e-9))))
+
+
+def plan(rows: int, sample: list[np.ndarray], threshold: float) -> tuple[int, int]:
+    """(hashes, passes) of the least work, by the crowding of sampled vectors (a matrix for each length).
+
+    The sample decides on time alone: passes_for holds for every choice.
+    """
+    cosines = [(u @ u.T)[np.triu_indices(len(u), 1)] for u in map(unit, sample)]
+    alike = 1 - np.arccos(np.clip(np.concatenate([np.zeros(0), *cosines]), -1, 1)) / math.pi
+    scale = (rows / max(1, sum(map(len, sample)))) ** 2
+    work = {h: passes_for(h, threshold) * (rows * ROW_COST + scale * (alike**h).sum()) for h in range(1, HASHES + 1)}
+    hashes = min(work, key=work.get)
+    return hashes, passes_for(hashes, threshold)
 
 
 def _planes(dim: int, index: int) -> np.ndarray:
     return np.random.default_rng([7, dim, index]).standard_normal((dim, HASHES))
 
 
-def _window_links(ids: np.ndarray, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links among the rows, in sorted order, that meet in a window with cosine >= threshold."""
-    rough, p, q = x.astype(np.float32), [], []
-    for i in range(0, len(ids), WINDOW):
-        a, b = np.nonzero(rough[i : i + WINDOW] @ rough[i : i + 2 * WINDOW].T >= threshold - 1e-4)
-        a, b = a[a < b] + i, b[a < b] + i
-        sure = (x[a] * x[b]).sum(1) >= threshold
-        p.append(a[sure]), q.append(b[sure])
-    root = local_forest(len(ids), np.concatenate(p), np.concatenate(q), ids) if p else np.arange(0)
+def _tile_links(ids: np.ndarray, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links among the rows with cosine >= threshold."""
+    p, q = [], []
+    for i in range(0, len(ids), BLOCK // 4):
+        a, b = np.nonzero(x[i : i + BLOCK // 4] @ x[i:].T >= threshold)
+        p.append(a[a < b] + i), q.append(b[a < b] + i)
+    root = local_forest(len(ids), np.concatenate(p), np.concatenate(q), ids)
     off = ids[root] != ids
     return ids[off], ids[root[off]]
 
 
-def projection_links(vectors: DataFrame, threshold: float, passes: int, partitions: int) -> DataFrame:
+def projection_links(vectors: DataFrame, threshold: float, hashes: int, passes: int, partitions: int) -> DataFrame:
     """Links (a, b) found by the passes over vectors (id, dim, vec); vectors of different length never meet.
 
-    Partitions hold ranges of (pass, dim, key, id); the last block of one and the first of the next are compared
-    in a second step, so that windows run across partitions. A range of under WINDOW rows isn't looked beyond.
+    All vectors of a (pass, dim, key) meet. More than two blocks of them are dealt out in tiles of two blocks each.
     """
     ship(vectors.sparkSession)
+    own = ["pass", "dim", "key"]
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, pa.RecordBatch]]:
+        planes, weights = {}, 1 << np.arange(hashes, dtype=np.int64)
         for batch in batches:
             dims = batch.column(1).to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.take(pa.array(np.flatnonzero(dims == dim)))
-                x, n = matrix(part.column(2), dim), part.num_rows
+                x = matrix(part.column(2), dim)
                 for k in range(passes):
-                    bits = np.packbits(x @ _planes(dim, k) > 0, axis=1)
-                    keys = pa.array([row.tobytes() for row in bits], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), part.column(1), keys, part.column(0), part.column(2)], ["pass", "dim", "key", "id", "vec"])
+                    if (dim, k) not in planes:
+                        if len(planes) >= 256:
+                            planes.clear()
+                        planes[dim, k] = _planes(dim, k)[:, :hashes]
+                    yield k, dim, (x @ planes[dim, k] > 0) @ weights, part
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.float64())
-        at, kept, dim, first = TaskContext.get().partitionId(), None, None, True
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, dim, key, _ in keys(batches):
+            value, n = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), pa.array(np.full(len(n), dim, np.int32)), pa.array(value), pa.array(n)], [*own, "n"])
 
-        def edge(ids: np.ndarray, x: np.ndarray, boundary: int) -> pa.RecordBatch:
-            vec = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
-            none = pa.nulls(len(ids), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(ids), none, pa.array(np.full(len(ids), boundary, np.int32)), pa.array(np.full(len(ids), x.shape[1], np.int32)), vec], ["a", "b", "boundary", "dim", "vec"])
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, _, key, part in keys(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), part.column(1), pa.array(key), part.column(0), part.column(2)], [*own, "id", "vec"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(part: pa.RecordBatch) -> pa.RecordBatch:
+            a, b = _tile_links(part.column(3).to_numpy(), unit(matrix(part.column(4), part.column(1)[0].as_py())), threshold)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        kept = None
         for batch in batches:
-            run = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(run)]
+            if kept is not None:
+                batch = pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
+            tile = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (0, 1, 2, 5, 6)])
+            cuts = [0, *(np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(0)) + 1).tolist()]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                part = batch.slice(lo, hi - lo)
-                here = int(run[lo])
-                ids, x = part.column(3).to_numpy(), unit(matrix(part.column(4), here & 0xFFFFFFFF))
-                if first:
-                    yield edge(ids[:WINDOW], x[:WINDOW], at - 1)
-                    first = False
-                if here == dim:
-                    ids, x = np.concatenate([kept[0], ids]), np.concatenate([kept[1], x])
-                a, b = _window_links(ids, x, threshold)
-                if len(a):
-                    n = len(a)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, kind)], ["a", "b", "boundary", "dim", "vec"])
-                dim, kept = here, (ids[-WINDOW:], x[-WINDOW:])
-        if kept is not None:
-            yield edge(*kept, at)
-
-    def across(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = _window_links(rows["a"].to_numpy(), unit(np.stack(rows["vec"].to_numpy())), threshold)
-        return pd.DataFrame({"a": a, "b": b})
-
-    order = ["pass", "dim", "key", "id"]
-    found = durable(
-        vectors.mapInArrow(keyed, "pass int, dim int, key binary, id bigint, vec array<double>")
-        .repartitionByRange(partitions, *order)
-        .sortWithinPartitions(*order)
-        .mapInArrow(compare, "a bigint, b bigint, boundary int, dim int, vec array<double>")
-    )
-    edges = found.where("boundary is not null").groupBy("boundary", "dim").applyInPandas(across, "a bigint, b bigint")
-    return found.where("boundary is null").select("a", "b").union(edges).distinct()
+                if hi - lo > 1:
+                    yield links(batch.slice(lo, hi - lo))
+            kept = batch.slice(cuts[-1])  # may go on in the next batch
+        if kept is not None and kept.num_rows > 1:
+            yield links(kept)
+
+    many = durable(vectors.mapInArrow(sizes, "pass int, dim int, key bigint, n bigint").groupBy(*own).agg(F.sum("n").alias("n")).where(F.col("n") > 2 * BLOCK).select(*own, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    rows, n = vectors.mapInArrow(keyed, "pass int, dim int, key bigint, id bigint, vec array<double>"), many.count()
+    if n:
+        blocks = F.coalesce("blocks", F.lit(1))
+        rows = rows.join(F.broadcast(many) if n <= BROADCAST_KEYS else many, own, "left")
+        rows = rows.withColumn("at", F.when(blocks > 1, F.pmod(F.xxhash64("vec"), blocks)).otherwise(0).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows = rows.select(*own, "id", "vec", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
+    else:
+        rows = rows.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    tile = [*own, "i", "j"]
+    return rows.repartition(partitions, *tile).sortWithinPartitions(*tile).mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def all_links(vectors: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that unite all vectors (id, dim, vec) with cosine >= threshold, with a chance of MISS at most to miss a pair without another link."""
+    once = vectors
+    if threshold <= SURE:
+        once = durable(vectors.groupBy("dim", "vec").agg(F.min("id").alias("id"), F.max("id").alias("last")).select("id", "dim", "vec", "last"))
+    drawn = once.select("vec").orderBy(F.xxhash64("vec")).limit(SAMPLE).toPandas()["vec"]
+    sample = [np.stack([v for v in drawn if len(v) == dim]) for dim in sorted({len(v) for v in drawn})]
+    links = projection_links(once.select("id", "dim", "vec"), threshold, *plan(once.count(), sample, threshold), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if threshold > SURE:
+        return links
+    copied = once.where("id < last").select("dim", "vec", F.col("id").alias("b"))
+    return links.union(vectors.join(copied, ["dim", "vec"]).select(F.col("id").alias("a"), "b").where("a <> b").distinct())
 
 
 def count_links(vectors: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
@@ -164,11 +189,8 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str =
     component_id is null and kept false). Repeated ids share the figures of all their rows. Only vectors of
     one length are compared. Other columns are left out.
     """
-    spark = df.sparkSession
     vectors = prepared(df, id_col, vec_col)
-    rows = df.count()
-    links = projection_links(vectors, threshold, passes_for(rows, threshold), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    groups = durable(components(links))
+    groups = durable(components(all_links(vectors, threshold)))
     counts = count_links(vectors, groups, threshold)
     found = groups.join(counts, "id", "left").withColumnRenamed("id", id_col)
     own = F.col(id_col)
