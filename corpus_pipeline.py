@@ -18,7 +18,7 @@ from tidemark.llm.langid import identify, learn_filter
 from tidemark.llm.packing import cut_pieces, pack, with_crc
 from tidemark.llm.quality import fit_quality, score_quality
 from tidemark.llm.registry import CAPACITY, held_out, vocabulary
-from tidemark.llm.simhash import simhash_groups
+from tidemark.llm.simhash import one_of_each_group
 
 #: Documents below this quality go; so do those whose language is undetermined or whose best corrected share is below this.
 MIN_QUALITY, MIN_LANGUAGE = 0.5, 0.2
@@ -35,9 +35,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of each group that names it, the smallest doc_id."""
-    groups = simhash_groups(docs)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    """Keeps one row of each group of near-duplicates: that with the smallest doc_id, null ids last, ties by a hash of the row."""
+    return one_of_each_group(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -295,3 +295,19 @@ def test_pipeline(spark, sf):
     assert kept.join(groups.where("doc_id <> component_id"), "doc_id").count() < docs.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
     assert packed.select("doc_id").distinct().count() == kept.count()
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Null and repeated ids, equal rows, and an id whose rows are of different groups."""
+    import corpus_pipeline
+
+    a, b, c, d, e = (" ".join(f"{w}{i}" for i in range(60)) for w in ("ant", "bee", "cat", "dog", "elk"))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, c), (2, c), (2, d), (1, d), (3, d), (None, d), (1, e), (-7, e), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en" if k % 2 else None) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    best = {}
+    for i, t in rows:
+        group = simhash.fingerprint(t)
+        best[group] = min(best.get(group, (2, 0)), (0, i) if i is not None else (1, 0))
+    assert all((x ^ y).bit_count() > 3 for x in best for y in best if x != y)
+    assert sorted((simhash.fingerprint(t), i is None, i or 0) for i, t in got) == sorted((g, bool(n), i) for g, (n, i) in best.items())

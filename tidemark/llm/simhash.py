@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, durable, local_forest, ship, slices
+from tidemark.llm.common import components, durable, fresh, local_forest, ship, slices
 
 #: Lists up to this length are joined with themselves; longer ones are compared in tiles of two blocks of BLOCK rows.
 SHORT_LIST = 32
@@ -121,3 +121,21 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
         best = named.groupBy("component").agg(F.min(F.when(F.col("id") >= 0, F.col("id"))).alias("least"))
         named = named.join(best, "component").select("fp", "id", F.col("least").alias("component"))
     return rows.join(named.select(F.col("fp").alias("simhash"), "component"), "simhash").select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"), "simhash")
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """Exactly one row of docs (doc_id, text and others) for each group of fingerprints that links reach.
+
+    The row with the smallest doc_id stays, rows without one come last, ties go by a hash of the row. Groups are of
+    fingerprints alone: rows that share a doc_id but no near-duplicate text are told apart, null ids and texts group like any other.
+    """
+    fp, first, second = fresh(docs, "simhash", "first", "second")
+    row = [*docs.columns, *(F.col(c).isNull() for c in docs.columns)]  # the hash skips nulls
+    keyed = docs.withColumns({first: F.xxhash64(F.lit(1), *row), second: F.xxhash64(F.lit(2), *row)})
+    rows = durable(with_fingerprints(keyed.select("doc_id", "text", first, second), out_col=fp).drop("text"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(first).alias(first), F.col(second).alias(second))
+    prints = durable(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("best")))
+    groups = components(fingerprint_links(prints.select(F.col("fp").alias("id"), "fp"))).withColumnRenamed("id", "fp")
+    kept = prints.join(groups, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("best").alias("best")).select(f"best.{first}", f"best.{second}")
+    # equal rows have equal hashes: one of them stays
+    return keyed.join(kept, [first, second], "left_semi").dropDuplicates([first, second]).select(docs.columns)
