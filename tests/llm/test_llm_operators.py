@@ -196,6 +196,16 @@ def test_pii_terms_and_redaction(spark):
     assert clean[0] == "[TERM] wrote alpha from [EMAIL]" and clean[10] == lines[10]
 
 
+def test_pii_terms_beyond_the_line_of_the_entity(spark):
+    """A name on the line above its e-mail, and texts with the name alone."""
+    lines = [f"Zephyrine\nzed@mail.example\nwrote {w} plain" for w in ("alpha", "bravo", "delta", "gamma")] + ["nothing from zephyrine, but\nZephyrine wrote"]
+    lines += [f"alpha bravo delta gamma plain line number {i} from wrote nothing" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(pii.find_personal_data(df)).collect()}
+    assert clean[0] == "[TERM]\n[EMAIL]\nwrote alpha plain" and clean[4] == "nothing from zephyrine, but\n[TERM] wrote"
+    assert all(clean[i] == lines[i] for i in range(5, 65))
+
+
 def test_op8(spark, sf):
     import xxhash
 

@@ -2,8 +2,9 @@
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Then, after information-theoretic
 sanitisation, terms are judged by what they tell about a protected entity (a base value): over the distinct
-lines of the corpus, the pointwise mutual information of term and entity is compared with the information
-content of the entity. A term that discloses at least DISCLOSURE of it is a span as well.
+lines of the corpus, and over its distinct texts, the pointwise mutual information of term and entity is compared
+with the information content of the entity. A term that discloses at least DISCLOSURE of it by either is a span
+in every text that names it.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ KINDS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
-#: Share of an entity's information that a term must disclose; distinct lines that must show both.
+#: Share of an entity's information that a term must disclose; distinct lines, or texts, that must show both.
 DISCLOSURE, MIN_LINES = 0.9, 3
 #: A term: a stretch without white space of at least so many characters.
 MIN_TERM = 4
 _TERM = r"[^\x20\x09-\x0D]+"
-#: Terms up to so many bytes together are broadcast to the texts; more are joined to the distinct lines.
+#: Terms, or texts with their terms, up to so many bytes together are broadcast; more are joined.
 BROADCAST_BYTES = 16 << 20
 
 
@@ -50,6 +51,19 @@ def located(text: Column, pattern: str, kind: str) -> Column:
     return F.aggregate(hits, start, add, lambda s: s["out"])
 
 
+def term_spans(text: Column, terms: Column) -> Column:
+    """Spans, as those of located, of the terms (lower-cased) in a text; only these are carried, as a text has many words."""
+    hits, gaps = _pieces(text, _TERM)
+
+    def spans(p: Column) -> Column:
+        wanted = F.filter(F.transform(p["hits"], lambda h, i: F.struct(i.alias("i"), h.alias("hit"))), lambda x: F.array_contains(terms, F.lower(x["hit"])))
+        before = lambda x: F.length(F.array_join(F.slice(p["gaps"], F.lit(1), x["i"] + 1), "")) + F.length(F.array_join(F.slice(p["hits"], F.lit(1), x["i"]), ""))
+        placed = F.transform(wanted, lambda x: F.struct(x["hit"].alias("hit"), before(x).alias("at")))
+        return F.transform(placed, lambda x: F.struct(F.lit("term").alias("kind"), x["at"].alias("start"), (x["at"] + F.length(x["hit"])).alias("end"), x["hit"].alias("value")))
+
+    return F.transform(F.array(F.struct(hits.alias("hits"), gaps.alias("gaps"))), spans)[0]
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -78,60 +92,74 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def disclosing_terms(lines: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
-    """(entity, term) where the term discloses the entity, from lines (line, entities), one row for each distinct line.
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, lower-cased, a row for each."""
+    return F.explode(F.array_distinct(F.filter(F.split(F.lower(text), _TERM.replace("^", "", 1)), lambda w: F.length(w) >= MIN_TERM)))
+
 
-    p is a share of all lines. Of entity e and term t in at least MIN_LINES lines together, t discloses
-    log(p(t, e) / (p(t) p(e))) / -log p(e) of e. Terms are lower-cased. An entity of all lines can't be told apart.
-    repeated (line) holds the same lines with repeats: if given, few terms are looked for there and counted by line
-    digest, which saves shuffling all lines once more.
+def _small(terms: DataFrame, size: Column) -> DataFrame:
+    """terms, to be broadcast if they have at most BROADCAST_BYTES by size."""
+    return F.broadcast(terms) if (terms.agg(F.sum(size + 64)).first()[0] or 0) <= BROADCAST_BYTES else terms
+
+
+def disclosing_terms(holding: DataFrame, n: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(entity, term) where the term discloses the entity, from the contexts (lines or texts) of a corpus.
+
+    holding (line, entities): the distinct contexts with entities; n: one row, the number n of all distinct ones;
+    repeated (line): all contexts, with repeats, which few terms are looked for in and counted by digest.
+    p is a share of all distinct contexts. Of entity e and term t in at least MIN_LINES together, t discloses
+    log(p(t, e) / (p(t) p(e))) / -log p(e) of e. Terms are lower-cased. An entity of all contexts can't be told apart.
     """
-    term = F.explode(F.array_distinct(F.filter(F.split(F.lower("line"), _TERM.replace("^", "", 1)), lambda w: F.length(w) >= MIN_TERM)))
-    named = lines.where(F.size("entities") > 0).select(F.explode("entities").alias("entity"), "line")
+    held = holding.select(F.md5("line").alias("digest"), "line", "entities")
+    named = held.select("digest", F.explode("entities").alias("entity"))
     n_e = named.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= MIN_LINES)
-    both = named.join(n_e, "entity").select("entity", "n_e", term.alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= MIN_LINES)
+    near = durable(named.join(n_e, "entity"))
+    words = held.select("digest", _terms(F.col("line")).alias("term"))
+    both = near.join(words, "digest").groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= MIN_LINES)
     # an entity's own digits or letters are base spans already
     both = both.where(~F.contains(F.col("entity"), F.col("term")) & ~F.contains(F.col("term"), F.col("entity")))
-    n = lines.agg(F.count("*").alias("n"))  # one row
 
     def told(n_t: str) -> Column:
         return F.log(F.col("n") * F.col("n_te") / (F.col(n_t) * F.col("n_e"))) / F.log(F.col("n") / F.col("n_e"))
 
-    # a term is in no fewer lines than in those with entities: what that many already keep from disclosing isn't counted over all
-    least = lines.where(F.size("entities") > 0).select(term.alias("term")).groupBy("term").agg(F.count("*").alias("least"))
+    # a term is in no fewer contexts than in those with entities: what that many already keep from disclosing isn't counted over all
+    least = words.groupBy("term").agg(F.count("*").alias("least"))
     both = durable(both.join(least, "term").crossJoin(F.broadcast(n)).where((F.col("n_e") < F.col("n")) & (told("least") >= DISCLOSURE)))
+    if both.isEmpty():
+        return both.select("entity", "term")
     terms = both.select("term").distinct()
-    if repeated is not None and (terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0) <= BROADCAST_BYTES:
-        at = repeated.select("line", F.md5("line").alias("digest")).select("digest", term.alias("term")).join(F.broadcast(terms), "term", "left_semi").distinct()
-    else:
-        at = lines.select(term.alias("term")).join(terms, "term", "left_semi")
-    n_t = at.groupBy("term").agg(F.count("*").alias("n_t"))
+    at = repeated.select(F.md5("line").alias("digest"), "line").select("digest", _terms(F.col("line")).alias("term"))
+    n_t = at.join(_small(terms, F.octet_length("term")), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     return both.join(n_t, "term").where(told("n_t") >= DISCLOSURE).select("entity", "term")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with base_spans and spans (array<struct<kind, start, end, value>>); spans adds the terms that disclose
-    an entity of the same text, kind `term`, where no base span overlaps them.
+    an entity of the corpus, kind `term`, where no base span overlaps them, whether or not the text holds the entity.
 
     Positions are code points, end exclusive. Null and empty texts have none. Repeated rows and null ids stay,
-    and all other columns. The line statistics cover all texts; equal lines count once.
+    and all other columns. Terms are counted over all lines and over all texts; equal lines, and equal texts, count once.
     """
-    key, entities, line, terms, total = fresh(docs, "text_key", "entities", "line", "terms", "total")
-    text = F.col(text_col)
+    key, terms = fresh(docs, "text_key", "terms")
+    text, line = F.col(text_col), F.col("line")
     rows = docs.withColumn("base_spans", base_spans(text))
-    holds = rows.where(F.size("base_spans") > 0)
-    found = F.array_distinct(F.transform(base_spans(F.col(line)), lambda s: F.lower(s["value"])))
-    # lines with a base value are few; the others are only counted
-    repeated = docs.select(F.explode(F.split(text, "\n")).alias("line")).where(F.length("line") > 0)
-    every = repeated.withColumnRenamed("line", line).groupBy(line).agg(F.lit(0).alias(total)).select(line)
-    lines = every.select(F.col(line).alias("line"), F.when(F.col(line).rlike(r"[0-9@]"), found).otherwise(F.array().cast("array<string>")).alias("entities"))
-    told = disclosing_terms(lines, repeated)
-    named = holds.select(F.xxhash64(text).alias(key), text.alias("_text"), F.explode(F.array_distinct(F.transform("base_spans", lambda s: F.lower(s["value"])))).alias("entity"))
-    by_text = named.join(told, "entity").groupBy(key, "_text").agg(F.collect_set("term").alias(terms)).withColumnRenamed(key, "_key")
-    marked = holds.join(by_text, (F.xxhash64(text) == F.col("_key")) & (text == F.col("_text")), "left").drop("_key", "_text")
-    more = F.filter(located(text, _TERM, "term"), lambda s: F.array_contains(F.col(terms), F.lower(s["value"])) & ~F.exists(F.col("base_spans"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    marked = marked.withColumn("spans", F.when(F.col(terms).isNull(), F.col("base_spans")).otherwise(F.concat("base_spans", more))).drop(terms)
-    return rows.where(F.size("base_spans") == 0).withColumn("spans", F.col("base_spans")).unionByName(marked)
+    found = F.when(line.rlike(r"[0-9@]"), F.array_distinct(F.transform(base_spans(line), lambda s: F.lower(s["value"])))).otherwise(F.array().cast("array<string>"))
+    texts = docs.select(text.alias("line")).where(F.length("line") > 0)
+    lines = texts.select(F.explode(F.split("line", "\n")).alias("line")).where(F.length("line") > 0)
+
+    def judged(every: DataFrame) -> DataFrame:
+        # contexts with a base value are few; the others are only counted
+        holding = durable(every.where(line.rlike(r"[0-9@]")).select("line", found.alias("entities")).where(F.size("entities") > 0).distinct())
+        return disclosing_terms(holding, every.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).distinct().agg(F.count("*").alias("n")), every)
+
+    told = durable(judged(lines).union(judged(texts)).select("term").distinct())
+    if told.isEmpty():
+        return rows.withColumn("spans", F.col("base_spans"))
+    named = texts.select(F.md5("line").alias(key), _terms(line).alias("term")).join(_small(told, F.octet_length("term")), "term", "left_semi")
+    by_text = durable(named.groupBy(key).agg(F.collect_set("term").alias(terms)))
+    marked = rows.join(_small(by_text, F.octet_length(F.array_join(terms, " ")) + 64), F.md5(text) == F.col(key), "left")
+    more = F.filter(term_spans(text, F.col(terms)), lambda s: ~F.exists(F.col("base_spans"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return marked.withColumn("spans", F.when(F.col(terms).isNull(), F.col("base_spans")).otherwise(F.concat("base_spans", more))).drop(key, terms)
 
 
 def redact(df: DataFrame, text_col: str = "text", labels: dict[str, str] = LABELS) -> DataFrame:
