@@ -14,7 +14,7 @@ from tidemark.llm import common, packing, pii, registry, simhash
 from tidemark.llm.embedding_dedup import near_duplicate_vectors
 from tidemark.llm.langid import identify, learn_filter
 from tidemark.llm.quality import GatedAttention, fit_quality, passages, score_quality
-from tidemark.llm.toxicity import fit_toxicity, score_toxicity
+from tidemark.llm.toxicity import BUCKETS, WordTable, fit_toxicity, score_toxicity
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", "   ", "\n\n \t", "x", "two  spaces", "naïve ĀĒ 中文 😀 \x00 tab\there", "it's 123 don't", "<|endoftext|> a", "word " * 3000, "word " * 3000]
@@ -274,6 +274,16 @@ def test_held_out_accuracy(spark):
     assert (got["lang"] == got["lang_pred"]).mean() >= 0.98
 
 
+def test_long_words_are_read_whole():
+    """Every trigram of a stretch without white space is an input, wherever it stands."""
+    for n in (24, 25, 32, 33, 40, 41, 1000):
+        word, table = "".join(chr(0x4E00 + i) for i in range(n)), WordTable()
+        w = table.windows(word)
+        read = {table.buckets[i][k] for i in np.unique(w) if i >= 0 for k in range(len(table.buckets[i]))}
+        assert {zlib.crc32(word[i : i + 3].encode()) % BUCKETS for i in range(n - 2)} <= read
+        assert (w[0] >= 0).sum() == min(24, max(1, -(-(n - 8) // 16)))
+
+
 def test_attention_gradients():
     model, r = GatedAttention(), np.random.default_rng(0)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}

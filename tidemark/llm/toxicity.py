@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
-A text is cut into overlapping windows of words. Every word enters by itself and by its characters (edges and
-trigrams); two recurrent passes read a window, attention pools their states into a logit, and a text is as
+A text is cut into overlapping windows of words; a longer stretch without white space than LONGEST enters as
+consecutive overlapping pieces, each a word of its own. Every word enters by itself and by its characters (edges
+and trigrams); two recurrent passes read a window, attention pools their states into a logit, and a text is as
 toxic as its most toxic windows. Everything is trained in numpy.
 """
 
@@ -18,11 +19,13 @@ from tidemark.llm.common import ship, slices
 from tidemark.llm.langid import blocks
 from tidemark.llm.quality import Adam, bounded_sample
 
-#: Words of a window, and from one window's start to the next.
+#: Words (or pieces) of a window, and from one window's start to the next.
 WINDOW, STRIDE = 24, 16
 #: Labelled documents of each label that the model is fitted on, about; and windows of a document used in a training step.
 SAMPLE_DOCS, TRAIN_WINDOWS = 500, 24
 BUCKETS, INPUT, HIDDEN = 1 << 15, 10, 8
+#: Characters of a word, and of two neighbouring pieces of a longer one together.
+LONGEST, OVERLAP = 24, 8
 #: Words that a task keeps encoded.
 KNOWN_WORDS = 200_000
 
@@ -30,10 +33,15 @@ KNOWN_WORDS = 200_000
 def word_inputs(word: str) -> list[int]:
     """Buckets of a word: the word, its edges of 4 and 6 characters, its character trigrams."""
     w = word.strip(".,!?;:|#$%&*\"'()") or word
-    keys = ["=" + w, "<" + w[:4], "[" + w[:6], ">" + w[-4:], *{w[i : i + 3] for i in range(min(len(w), 24) - 2)}]
+    keys = ["=" + w, "<" + w[:4], "[" + w[:6], ">" + w[-4:], *{w[i : i + 3] for i in range(len(w) - 2)}]
     return [zlib.crc32(k.encode()) % BUCKETS for k in keys]
 
 
+def pieces(word: str) -> list[str]:
+    """The word, or the overlapping pieces that cover it if it is longer than LONGEST."""
+    return [word[i : i + LONGEST] for i in range(0, max(1, len(word) - OVERLAP), LONGEST - OVERLAP)]
+
+
 def split_windows(words: int) -> list[int]:
     """Starts of the overlapping windows that cover so many words; one window even for none."""
     return list(range(0, max(1, words - (WINDOW - STRIDE)), STRIDE))
@@ -48,7 +56,7 @@ class WordTable:
 
     def windows(self, text: str | None) -> np.ndarray:
         """Rows of the words of each window; -1 beyond the text's end."""
-        words = text.lower().split() if text else []
+        words = [p for w in text.lower().split() for p in (pieces(w) if len(w) > LONGEST else (w,))] if text else []
         get, ids = self.row.get, []
         for w in words:
             i = get(w)
