@@ -189,21 +189,78 @@ def test_op7(spark, sf):
         assert r["s"] == ",".join(want), docs[r["doc_id"]][:80]
 
 
-def test_pii_terms_and_redaction(spark):
-    lines = [f"Zephyrine wrote {w} from zed@mail.example" for w in ("alpha", "bravo", "delta", "gamma")] + [f"alpha bravo delta plain line number {i} from wrote" for i in range(60)]
-    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
-    clean = {r["doc_id"]: r["text"] for r in pii.redact(pii.find_personal_data(df)).collect()}
-    assert clean[0] == "[TERM] wrote alpha from [EMAIL]" and clean[10] == lines[10]
+BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def valid(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    luhn = sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(digits[::-1])) % 10 == 0
+    return [True, kind == 1 and all(int(p) <= 255 for p in value.split(".")), 16 <= len(digits) <= 19 and luhn, 8 <= len(digits) <= 15][kind]
+
+
+def disclosing(texts):
+    """Brute force: the terms that disclose an entity by lines or by texts."""
+    out = set()
+    for contexts in ({x for t in texts for x in t.split("\n") if x}, {t for t in texts if t}):
+        has, near, of = {}, {}, {}
+        for c in contexts:
+            for w in re.findall(r"[^\W_]+", c.lower()):
+                of.setdefault(w, set()).add(c)
+            ws = c.lower().split()
+            for i in range(0, max(0, -(-len(ws) // pii.NEAR) - 2) * pii.NEAR + 1, pii.NEAR):
+                window = " ".join(ws[i : i + 2 * pii.NEAR])
+                for e in {m[0] for k, p in enumerate(BASE) for m in re.finditer(p, window) if valid(k, m[0])}:
+                    has.setdefault(e, set()).add(c)
+                    for w in set(re.findall(r"[^\W_]+", window)) - {e}:
+                        near.setdefault((e, w), set()).add(c)
+        for (e, w), both in near.items():
+            if e in w:
+                continue
+            n, n_e, n_t, n_te = len(contexts), len(has[e]), len(of[w]), len(both)
+            if n_e < n and n_te >= pii.CERTAINTY * n_t and np.log(n * n_te / (n_t * n_e)) / np.log(n / n_e) >= pii.DISCLOSURE:
+                out.add(w)
+    return out
+
+
+def term_spans(text, terms):
+    base = [m.span() for k, p in enumerate(BASE) for m in re.finditer(p, text) if valid(k, m[0])]
+    return [m.span() for m in re.finditer(r"[^\W_]+", text) if m[0].lower() in terms and not any(a < m.end() and m.start() < b for a, b in base)]
+
+
+@pytest.mark.parametrize("broadcast", [pii.BROADCAST_BYTES, 0])
+def test_op7_terms_as_by_brute_force(spark, monkeypatch, broadcast):
+    """All terms of the real corpus, with small tables broadcast and with them joined."""
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", broadcast)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    terms = disclosing(texts.values())
+    found = 0
+    for r in pii.find_personal_data(docs).collect():
+        got = [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "term"]
+        assert got == term_spans(texts[r["doc_id"]], terms)
+        found += len(got)
+    assert found > 100
 
 
-def test_pii_terms_beyond_the_line_of_the_entity(spark):
-    """A name on the line above its e-mail, and texts with the name alone."""
-    lines = [f"Zephyrine\nzed@mail.example\nwrote {w} plain" for w in ("alpha", "bravo", "delta", "gamma")] + ["nothing from zephyrine, but\nZephyrine wrote"]
-    lines += [f"alpha bravo delta gamma plain line number {i} from wrote nothing" for i in range(60)]
-    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+def test_pii_terms_and_redaction(spark):
+    """Names beside, above and inside an address, texts with the name alone, overlapping spans, clashing columns and odd rows."""
+    lines = [f"Zephyrine\nzed@mail.example\nwrote {w} plain" for w in ("alpha", "bravo", "delta", "gamma")] + ["nothing from zephyrine, but\nZephyrine wrote to zed"]
+    lines += [f"alpha bravo delta gamma plain line number from wrote nothing but w{i}" for i in range(64)] + [f"to mail example {w}" for w in "ab"]
+    lines += ["x 1.2.3.4.5.6.7.8@mail.example", "bravo 192.168.0.1@mail.example delta", None, ""]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").withColumn("spans", F.lit("old")).withColumn("text_key", F.lit(1)).withColumn("found", F.lit(2))
     clean = {r["doc_id"]: r["text"] for r in pii.redact(pii.find_personal_data(df)).collect()}
-    assert clean[0] == "[TERM]\n[EMAIL]\nwrote alpha plain" and clean[4] == "nothing from zephyrine, but\n[TERM] wrote"
-    assert all(clean[i] == lines[i] for i in range(5, 65))
+    assert clean[0] == "[TERM]\n[EMAIL]\nwrote alpha plain" and clean[4] == "nothing from [TERM], but\n[TERM] wrote to [TERM]"
+    assert all(clean[i] == lines[i] for i in range(5, len(lines) - 4)) and clean[len(lines) - 2] is None and clean[len(lines) - 1] == ""
+    assert clean[len(lines) - 4] in ("x [EMAIL]", "[TERM] [EMAIL]") and clean[len(lines) - 3] == "bravo [EMAIL] delta"
+
+
+def test_pii_very_long_texts(spark):
+    """Long runs neither overflow the stack nor take time that grows with their square."""
+    n = 200_000
+    odd = ["a@" + "b." * n + "c", "a@b.c " * n, "9" * n, "+1" + " 2" * n, "1.2.3.4 " * n, "+" + "(" * n, "+1(" * n]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id bigint, text string").repartition(7)
+    got = {r["doc_id"]: r["n"] for r in df.select("doc_id", F.size(pii.base_spans("text")).alias("n")).collect()}
+    assert got == {0: 1, 1: n, 2: 0, 3: 0, 4: n, 5: 0, 6: 0}
 
 
 def test_op8(spark, sf):

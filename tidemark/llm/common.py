@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -35,22 +35,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster shares.
-
-    spark.checkpoint.dir is used when the session names one; only a session without it (a test)
-    gets a folder of its own.
-    """
+    """Cut the lineage with a reliable checkpoint in the folder that the cluster shares."""
     return df_checkpoint_dir(df.sparkSession) and df.checkpoint()
 
 
 def df_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for durable cuts, set on the context if it has none yet."""
+    """The folder for durable cuts and written tables, which all machines must share.
+
+    That of the context if it has one, else spark.checkpoint.dir of the session. A local session without either
+    (a test) gets a folder of its own; on a cluster there is no folder to fall back on, so that raises.
+    """
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if held.isDefined():
+        return folder or held.get()
     if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         folder = os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
+    sc.setCheckpointDir(folder)
     return folder
 
 
@@ -72,6 +76,42 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def append_columns(df: DataFrame, added: dict[str, str], start: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
+    """df with the columns `added` ({name: type}), whose arrays the function that start() gives makes of each short slice.
+
+    start runs once for each task. Columns of df with an added name, whatever its case, are replaced; what is
+    computed may still read them.
+    """
+    ship(df.sparkSession)
+    taken = {c.lower() for c in added}
+    kept = [f for f in df.schema.fields if f.name.lower() not in taken]
+    names = [*(f.name for f in kept), *added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in kept), *make(batch)], names)
+
+    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{c}` {t}" for c, t in added.items())]))
+
+
+def values(batch: pa.RecordBatch, column: str) -> list:
+    return batch.column(batch.schema.get_field_index(column)).to_pylist()
+
+
+def blocks(texts: list, chars: int = 1 << 20) -> Iterator[list]:
+    """Consecutive texts with about so many characters together, so that arrays over them stay small."""
+    part, n = [], 0
+    for t in texts:
+        part.append(t)
+        n += len(t or "")
+        if n >= chars:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
 def local_forest(n: int, left: np.ndarray, right: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For n rows and links between their positions: the position of each row's smallest reachable row by order."""
     rank = np.empty(n, np.int64)

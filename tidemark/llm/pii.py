@@ -1,15 +1,15 @@
 """Personal data: base patterns, and terms that disclose the entities they stand for. DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Then, after information-theoretic
-sanitisation, terms are judged by what they tell about a protected entity (a base value): over the distinct
-lines of the corpus, and over its distinct texts, the pointwise mutual information of term and entity is compared
-with the information content of the entity. A term that discloses at least DISCLOSURE of it by either is a span
-in every text that names it.
+sanitisation, terms are judged by what they tell about a protected entity (a base value): over the distinct lines
+of the corpus, and over its distinct texts, the pointwise mutual information of term and entity is compared with
+the information content of the entity. A term discloses an entity by either measure if it tells enough of it and
+if the entity is nearly always near where the term is named. Such terms are spans in every text that names them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import durable, fresh
@@ -17,84 +17,93 @@ from tidemark.llm.common import durable, fresh
 #: The patterns find what `[A-Za-z0-9._%+-]+@...`, `[0-9]+(\.[0-9]+)...`, `[0-9]([ -]?[0-9])+` and `\+[0-9]...[0-9]` find,
 #: but start only where a run starts (or the last match ended) and never give characters back where that can't help.
 KINDS = {
-    "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+", "@"),
+    "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
     "ip": (r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "."),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", None),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
-#: Share of an entity's information that a term must disclose; distinct lines, or texts, that must show both.
-DISCLOSURE, MIN_LINES = 0.9, 3
-#: A term: a stretch without white space of at least so many characters.
-MIN_TERM = 4
-_TERM = r"[^\x20\x09-\x0D]+"
-#: Terms, or texts with their terms, up to so many bytes together are broadcast; more are joined.
+#: Shares that a disclosing term must reach: of the entity's information content that it tells, and of its own contexts that hold the entity near it.
+DISCLOSURE, CERTAINTY = 0.9, 0.75
+#: Distinct lines, or texts, that must show a term near an entity. At 1, a word that a corpus has in one text alone, near an entity, discloses it.
+SUPPORT = 1
+#: Words between which a term is near an entity: windows of twice so many words, each beginning so many after the last.
+NEAR = 32
+#: Terms up to so many bytes together are broadcast; more are joined.
 BROADCAST_BYTES = 16 << 20
 
+#: A term: a run of letters and digits, of any length; parts of addresses are terms too, such as the name before the @.
+_WORD, _SPACE = r"[\p{L}\p{N}]+", r"[\x20\x09-\x0D]+"
+_SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
+#: Matches that are summed up together.
+_RUN = 128
 
-def _pieces(text: Column, pattern: str) -> tuple[Column, Column]:
-    """Matches and the gaps around them."""
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
+def _name(column: str) -> str:
+    return f"`{column}`"
 
-def located(text: Column, pattern: str, kind: str) -> Column:
-    """array<struct<kind, start, end, value>> of the pattern's matches in code points, end exclusive."""
-    hits, gaps = _pieces(text, pattern)
-    state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("out"))
 
-    def add(s: Column, hit: Column) -> Column:
-        start = s["at"] + F.length(s["gaps"][s["i"]])
-        end = start + F.length(hit)
-        return F.struct(end.alias("at"), (s["i"] + 1).alias("i"), F.concat(s["out"], F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), hit.alias("value")))).alias("out"), s["gaps"].alias("gaps"))
+def _bound(value: str, name: str, use: str) -> str:
+    """SQL of `use` with value computed once under a name, however often it is used."""
+    return f"transform(array({value}), {name} -> {use})[0]"
 
-    start = F.struct(*(state[c].alias(c) for c in ("at", "i", "out")), gaps.alias("gaps"))
-    return F.aggregate(hits, start, add, lambda s: s["out"])
 
+def running(numbers: str, op: str = "{} + {}") -> str:
+    """SQL of the running sums (or what op, with 0 as its neutral number, makes) of an array of ints, not empty.
 
-def term_spans(text: Column, terms: Column) -> Column:
-    """Spans, as those of located, of the terms (lower-cased) in a text; only these are carried, as a text has many words."""
-    hits, gaps = _pieces(text, _TERM)
+    It is made in runs, as adding to a long array copies it each time.
+    """
 
-    def spans(p: Column) -> Column:
-        wanted = F.filter(F.transform(p["hits"], lambda h, i: F.struct(i.alias("i"), h.alias("hit"))), lambda x: F.array_contains(terms, F.lower(x["hit"])))
-        before = lambda x: F.length(F.array_join(F.slice(p["gaps"], F.lit(1), x["i"] + 1), "")) + F.length(F.array_join(F.slice(p["hits"], F.lit(1), x["i"]), ""))
-        placed = F.transform(wanted, lambda x: F.struct(x["hit"].alias("hit"), before(x).alias("at")))
-        return F.transform(placed, lambda x: F.struct(F.lit("term").alias("kind"), x["at"].alias("start"), (x["at"] + F.length(x["hit"])).alias("end"), x["hit"].alias("value")))
+    def over(xs: str, base: str) -> str:
+        step = op.format("s.at", "b")
+        return f"aggregate({xs}, named_struct('at', {base}, 'out', cast(array() as array<int>)), (s, b) -> named_struct('at', {step}, 'out', concat(s.out, array({step}))), s -> s.out)"
 
-    return F.transform(F.array(F.struct(hits.alias("hits"), gaps.alias("gaps"))), spans)[0]
+    starts, run = f"sequence(0, (size(xs) - 1) div {_RUN})", f"slice(xs, cast(i * {_RUN} as int) + 1, {_RUN})"
+    totals = f"transform({starts}, i -> aggregate({run}, 0, (a, b) -> {op.format('a', 'b')}))"
+    return _bound(numbers, "xs", _bound(over(totals, "0"), "ends", f"flatten(transform({starts}, i -> {over(run, 'if(i = 0, 0, get(ends, cast(i as int) - 1))')}))"))
 
 
-def _digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+def located(text: str, pattern: str, kind: str) -> str:
+    """SQL of array<struct<kind, start, end, value>>: the pattern's matches in a text in code points, end exclusive, in time linear in it."""
+    # a match ends where the gaps and matches up to it end
+    steps = f"zip_with(hits, slice(split({text}, r'{pattern}', -1), 1, size(hits)), (h, g) -> length(h) + length(g))"
+    spans = f"zip_with(hits, {running(steps)}, (h, e) -> named_struct('kind', '{kind}', 'start', e - length(h), 'end', e, 'value', h))"
+    return _bound(f"regexp_extract_all({text}, r'{pattern}', 0)", "hits", f"if(size(hits) = 0, cast(array() as {_SPAN}), {spans})")
 
 
-def luhn(digits: Column) -> Column:
-    """True if a string of digits has a valid check digit."""
-    numbers = F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(F.when(d.cast("int") > 4, d.cast("int") * 2 - 9).otherwise(d.cast("int") * 2)))
-    return F.aggregate(numbers, F.lit(0), lambda s, d: s + F.coalesce(d, F.lit(0))) % 10 == 0
+_DIGITS = "regexp_replace(s.value, '[^0-9]', '')"
+#: True if a string of digits has a valid check digit.
+_LUHN = f"aggregate(transform(split(reverse({_DIGITS}), ''), (d, i) -> cast(d as int) * if(i % 2 = 0, 1, 2) - if(i % 2 = 1 and d > '4', 9, 0)), 0, (n, d) -> n + coalesce(d, 0)) % 10 = 0"
+_BARE = "ltrim('0', p)"
+_KEEP = {
+    "email": "true",
+    "ip": f"forall(split(s.value, r'\\.'), p -> if(length({_BARE}) <= 3, cast(concat('0', {_BARE}) as int) <= 255, false))",
+    "card": f"length({_DIGITS}) between 16 and 19 and {_LUHN}",
+    "phone": f"length({_DIGITS}) between 8 and 15",
+}
 
 
-def base_spans(text: Column) -> Column:
+def base_spans(text_col: str) -> Column:
     """All base spans of a text (null: none), by kind in the order of KINDS, then start; matches that fail their check are dropped."""
-    bare = lambda p: F.ltrim(p, F.lit("0"))
-    keep = {
-        "email": lambda x: F.lit(True),
-        "ip": lambda x: F.forall(F.split(x["value"], r"\."), lambda p: F.when(F.length(bare(p)) <= 3, F.concat(F.lit("0"), bare(p)).cast("int") <= 255).otherwise(False)),
-        "card": lambda x: F.length(_digits(x["value"])).between(16, 19) & luhn(_digits(x["value"])),
-        "phone": lambda x: F.length(_digits(x["value"])).between(8, 15),
-    }
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    found = [F.when(F.contains(text, F.lit(mark)) if mark else F.lit(True), F.filter(located(text, pattern, kind), keep[kind])).otherwise(none) for kind, (pattern, mark) in KINDS.items()]
-    return F.when(text.isNull(), none).otherwise(F.concat(*found))
+    text, none = _name(text_col), f"cast(array() as {_SPAN})"
+    found = (f"if({f"contains({text}, '{mark}')" if mark else 'true'}, filter({located(text, pattern, kind)}, s -> {_KEEP[kind]}), {none})" for kind, (pattern, mark) in KINDS.items())
+    return F.expr(f"if({text} is null, {none}, concat({', '.join(found)}))")
 
 
 def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _terms(text: Column) -> Column:
-    """The distinct terms of a text, lower-cased, a row for each."""
-    return F.explode(F.array_distinct(F.filter(F.split(F.lower(text), _TERM.replace("^", "", 1)), lambda w: F.length(w) >= MIN_TERM)))
+def words(text: Column) -> Column:
+    """The distinct terms of a text, lower-cased."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
+
+
+def windows(text_col: str) -> Column:
+    """A text, lower-cased, as overlapping windows of 2 * NEAR stretches without white space: any NEAR + 1 neighbours are together in one."""
+    starts = f"sequence(0, greatest(0, cast(ceil(size(ws) / {NEAR}) as int) - 2))"
+    cut = f"transform({starts}, i -> array_join(slice(ws, i * {NEAR} + 1, {2 * NEAR}), ' '))"
+    return F.expr(_bound(f"filter(split(lower({_name(text_col)}), r'{_SPACE}'), w -> w <> '')", "ws", cut))
 
 
 def _small(terms: DataFrame, size: Column) -> DataFrame:
@@ -102,79 +111,109 @@ def _small(terms: DataFrame, size: Column) -> DataFrame:
     return F.broadcast(terms) if (terms.agg(F.sum(size + 64)).first()[0] or 0) <= BROADCAST_BYTES else terms
 
 
-def disclosing_terms(holding: DataFrame, n: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(entity, term) where the term discloses the entity, from the contexts (lines or texts) of a corpus.
+def near_entities(holding: DataFrame) -> DataFrame:
+    """Of contexts with entities, holding (kind, line): (kind, entity, term, n_e, n_te, least).
+
+    n_e counts the distinct contexts of a kind that hold the entity, n_te those that also have the term near it, least
+    those of them all that have the term. Entities and terms are lower-cased. An entity isn't a term of its own.
+    """
+    seen = holding.select("kind", F.md5("line").alias("digest"), F.explode(windows("line")).alias("near")).distinct()
+    seen = seen.withColumn("entities", F.when(F.col("near").rlike("[0-9@]"), F.array_distinct(F.transform(base_spans("near"), lambda s: s["value"]))).otherwise(F.array().cast("array<string>")))
+    seen = durable(seen.withColumn("terms", words(F.col("near"))).drop("near"))
+    n_e = seen.select("kind", "digest", F.explode("entities").alias("entity")).distinct().groupBy("kind", "entity").agg(F.count("*").alias("n_e"))
+    near = seen.select("kind", "digest", F.explode("entities").alias("entity"), "terms").select("kind", "digest", "entity", F.explode("terms").alias("term"))
+    near = near.where(~F.contains("term", "entity")).distinct().groupBy("kind", "entity", "term").agg(F.count("*").alias("n_te"))
+    least = seen.select("kind", "digest", F.explode("terms").alias("term")).distinct().groupBy("kind", "term").agg(F.count("*").alias("least"))
+    return near.join(n_e.where(F.col("n_e") >= SUPPORT), ["kind", "entity"]).where(F.col("n_te") >= SUPPORT).join(least, ["kind", "term"])
+
+
+def discloses(n: Column, n_e: Column, n_t: Column, n_te: Column) -> Column:
+    """Of n contexts n_e hold an entity, n_t a term, n_te both, near each other: whether the term discloses the entity.
 
-    holding (line, entities): the distinct contexts with entities; n: one row, the number n of all distinct ones;
-    repeated (line): all contexts, with repeats, which few terms are looked for in and counted by digest.
-    p is a share of all distinct contexts. Of entity e and term t in at least MIN_LINES together, t discloses
-    log(p(t, e) / (p(t) p(e))) / -log p(e) of e. Terms are lower-cased. An entity of all contexts can't be told apart.
+    It tells log(p(t, e) / (p(t) p(e))) of -log p(e). An entity of all contexts can't be told apart.
     """
-    held = holding.select(F.md5("line").alias("digest"), "line", "entities")
-    named = held.select("digest", F.explode("entities").alias("entity"))
-    n_e = named.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= MIN_LINES)
-    near = durable(named.join(n_e, "entity"))
-    words = held.select("digest", _terms(F.col("line")).alias("term"))
-    both = near.join(words, "digest").groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= MIN_LINES)
-    # an entity's own digits or letters are base spans already
-    both = both.where(~F.contains(F.col("entity"), F.col("term")) & ~F.contains(F.col("term"), F.col("entity")))
-
-    def told(n_t: str) -> Column:
-        return F.log(F.col("n") * F.col("n_te") / (F.col(n_t) * F.col("n_e"))) / F.log(F.col("n") / F.col("n_e"))
-
-    # a term is in no fewer contexts than in those with entities: what that many already keep from disclosing isn't counted over all
-    least = words.groupBy("term").agg(F.count("*").alias("least"))
-    both = durable(both.join(least, "term").crossJoin(F.broadcast(n)).where((F.col("n_e") < F.col("n")) & (told("least") >= DISCLOSURE)))
-    if both.isEmpty():
-        return both.select("entity", "term")
-    terms = both.select("term").distinct()
-    at = repeated.select(F.md5("line").alias("digest"), "line").select("digest", _terms(F.col("line")).alias("term"))
-    n_t = at.join(_small(terms, F.octet_length("term")), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    return both.join(n_t, "term").where(told("n_t") >= DISCLOSURE).select("entity", "term")
-
-
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    told = F.log(n * n_te / (n_t * n_e)) / F.log(n / n_e)
+    return (n_te >= SUPPORT) & (n_e < n) & (n_te >= CERTAINTY * n_t) & F.coalesce(told >= DISCLOSURE, F.lit(False))
+
+
+def disclosing_terms(texts: DataFrame, holding: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(kind, entity, term, n, n_e, n_t, n_te) of disclosing terms, and (text_key, term), the texts that name terms that may disclose.
+
+    texts (line): all texts, not empty, repeats included; holding (line): the distinct ones with an entity. Contexts are the
+    distinct lines, kind 0, and the distinct texts, kind 1. The second table is None if there is nothing that may disclose.
+    """
+    line = F.col("line")
+    split = lambda df: df.select(F.explode(F.split(line, "\n")).alias("line")).where(F.length("line") > 0)
+    own = split(holding).where(line.rlike("[0-9@]")).distinct()
+    pairs = near_entities(own.select(F.lit(0).alias("kind"), "line").union(holding.select(F.lit(1).alias("kind"), "line")))
+    pairs = durable(pairs.where(F.col("n_te") >= CERTAINTY * F.col("least")))  # a term is in no fewer contexts than in those with entities
+    none = pairs.select("kind", "entity", "term", F.lit(0).cast("bigint").alias("n"), "n_e", F.col("least").alias("n_t"), "n_te").limit(0)
+    if pairs.isEmpty():
+        return none, None
+    told = _small(durable(pairs.select("term").distinct()), F.octet_length("term"))
+    rows = texts.select(F.md5("line").alias("text_key"), F.explode(F.split("line", "\n")).alias("line")).select("text_key", F.xxhash64("line").alias("line_key"), F.explode(words(line)).alias("term"))
+    named = durable(rows.join(told, "term", "left_semi").distinct())
+    n_t = named.select(F.lit(0).alias("kind"), "line_key", "term").distinct().groupBy("kind", "term").agg(F.count("*").alias("n_t"))
+    n_t = n_t.union(named.select(F.lit(1).alias("kind"), "text_key", "term").distinct().groupBy("kind", "term").agg(F.count("*").alias("n_t")))
+    count = lambda df, kind: df.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).distinct().agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    n = count(split(texts), 0).union(count(texts, 1))
+    judged = pairs.join(n_t, ["kind", "term"]).join(F.broadcast(n), "kind")  # n has two rows
+    return judged.where(discloses(F.col("n"), F.col("n_e"), F.col("n_t"), F.col("n_te"))).select(none.columns), named.select("text_key", "term").distinct()
+
+
+def term_spans(texts: DataFrame) -> DataFrame:
+    """(text_key, found): the spans, in order, of terms in texts (text_key, line, base_spans, terms) that no base span overlaps."""
+    placed = texts.select("text_key", F.explode(F.expr(located("line", _WORD, "term"))).alias("s")).select("text_key", "s.start", "s.end", F.col("s.value").alias("value"))
+    wanted = texts.select("text_key", F.explode("terms").alias("term"))
+    hits = placed.join(wanted, (placed["text_key"] == wanted["text_key"]) & (F.lower("value") == F.col("term"))).select(placed["text_key"], "start", "end", "value", F.lit(True).alias("own"))
+    base = texts.select("text_key", F.explode("base_spans").alias("s")).select("text_key", "s.start", "s.end", F.lit(None).cast("string"), F.lit(False))
+    forth = Window.partitionBy("text_key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("text_key").orderBy(F.desc("start"), "own")
+    ordered = hits.union(base.toDF(*hits.columns)).withColumn("before", F.max(F.when(~F.col("own"), F.col("end"))).over(forth)).withColumn("after", F.min(F.when(~F.col("own"), F.col("start"))).over(back))
+    clear = ordered.where(F.col("own") & (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end")))
+    span = F.struct("start", F.lit("term").alias("kind"), "end", "value")
+    ordered = F.transform(F.array_sort(F.collect_list(span)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    return clear.groupBy("text_key").agg(ordered.alias("found"))
+
+
+def find_personal_data(docs: DataFrame, text_col: str = "text", base_col: str = "base_spans", spans_col: str = "spans") -> DataFrame:
     """docs with base_spans and spans (array<struct<kind, start, end, value>>); spans adds the terms that disclose
     an entity of the corpus, kind `term`, where no base span overlaps them, whether or not the text holds the entity.
 
     Positions are code points, end exclusive. Null and empty texts have none. Repeated rows and null ids stay,
-    and all other columns. Terms are counted over all lines and over all texts; equal lines, and equal texts, count once.
+    and all other columns; columns named as the two results are replaced. Terms are counted over all lines and over
+    all texts; equal lines, and equal texts, count once.
     """
-    key, terms = fresh(docs, "text_key", "terms")
-    text, line = F.col(text_col), F.col("line")
-    rows = docs.withColumn("base_spans", base_spans(text))
-    found = F.when(line.rlike(r"[0-9@]"), F.array_distinct(F.transform(base_spans(line), lambda s: F.lower(s["value"])))).otherwise(F.array().cast("array<string>"))
-    texts = docs.select(text.alias("line")).where(F.length("line") > 0)
-    lines = texts.select(F.explode(F.split("line", "\n")).alias("line")).where(F.length("line") > 0)
-
-    def judged(every: DataFrame) -> DataFrame:
-        # contexts with a base value are few; the others are only counted
-        holding = durable(every.where(line.rlike(r"[0-9@]")).select("line", found.alias("entities")).where(F.size("entities") > 0).distinct())
-        return disclosing_terms(holding, every.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).distinct().agg(F.count("*").alias("n")), every)
-
-    told = durable(judged(lines).union(judged(texts)).select("term").distinct())
-    if told.isEmpty():
-        return rows.withColumn("spans", F.col("base_spans"))
-    named = texts.select(F.md5("line").alias(key), _terms(line).alias("term")).join(_small(told, F.octet_length("term")), "term", "left_semi")
-    by_text = durable(named.groupBy(key).agg(F.collect_set("term").alias(terms)))
-    marked = rows.join(_small(by_text, F.octet_length(F.array_join(terms, " ")) + 64), F.md5(text) == F.col(key), "left")
-    more = F.filter(term_spans(text, F.col(terms)), lambda s: ~F.exists(F.col("base_spans"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return marked.withColumn("spans", F.when(F.col(terms).isNull(), F.col("base_spans")).otherwise(F.concat("base_spans", more))).drop(key, terms)
-
-
-def redact(df: DataFrame, text_col: str = "text", labels: dict[str, str] = LABELS) -> DataFrame:
+    key, found = fresh(docs, "text_key", "found")
+    text = F.col(text_col)
+    every = docs.select(text.alias("line")).where(F.length("line") > 0)
+    holding = durable(every.where(F.col("line").rlike("[0-9@]")).withColumn("base_spans", base_spans("line")).where(F.size("base_spans") > 0).groupBy("line").agg(F.first("base_spans").alias("base_spans")))
+    rows = docs.withColumn(base_col, base_spans(text_col))
+    told, named = disclosing_terms(every, holding.select("line"))
+    plain = rows.withColumn(spans_col, F.col(base_col))
+    if named is None:
+        return plain
+    terms = durable(told.select("term").distinct())
+    if terms.isEmpty():
+        return plain
+    by_text = durable(named.join(_small(terms, F.octet_length("term")), "term", "left_semi").groupBy("text_key").agg(F.collect_set("term").alias("terms")))
+    marked = every.select(F.md5("line").alias("text_key"), "line").join(_small(by_text.select("text_key"), F.lit(32)), "text_key", "left_semi").dropDuplicates(["text_key"])
+    marked = durable(marked.withColumn("base_spans", base_spans("line")).join(by_text, "text_key"))
+    more = durable(term_spans(marked)).select(F.col("text_key").alias(key), F.col("found").alias(found))
+    size = 64 * F.size(found) + F.lit(64)
+    joined = rows.join(_small(more, size), F.md5(text) == F.col(key), "left")
+    return joined.withColumn(spans_col, F.when(F.col(found).isNull(), F.col(base_col)).otherwise(F.concat(base_col, found))).drop(key, found)
+
+
+def redact(df: DataFrame, text_col: str = "text", labels: dict[str, str] = LABELS, spans_col: str = "spans") -> DataFrame:
     """df (with spans) whose texts have each span generalised to its kind's label; overlapping spans go under the first one's.
 
     A label of "" removes the span. Texts without spans, null ones too, stay as they are.
     """
-    label = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    text = F.col(text_col)
-
-    def step(s: Column, x: Column) -> Column:
-        inside, end = x["start"] < s["at"], -x["back"]
-        out = F.when(inside, s["out"]).otherwise(F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), label[x["kind"]]))
-        return F.struct(F.greatest(s["at"], end).alias("at"), out.alias("out"))
-
-    clean = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return df.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text))
+    text, ordered = _name(text_col), f"array_sort(transform({_name(spans_col)}, s -> named_struct('start', s.start, 'back', -s.`end`, 'kind', s.kind)))"
+    names = ", ".join(f"'{k}', '{v}'" for k, v in labels.items())
+    # of overlapping spans the first one's label stands, and the text goes on after the furthest end so far
+    piece = f"transform(array(if(i = 0, 0, get(far, i - 1))), at -> if(x.start < at, '', concat(substring({text}, at + 1, x.start - at), map({names})[x.kind])))[0]"
+    clean = f"concat(array_join(transform(spans, (x, i) -> {piece}), ''), substring({text}, element_at(far, -1) + 1, length({text})))"
+    whole = _bound(ordered, "spans", _bound(running("transform(spans, x -> -x.back)", "greatest({}, {})"), "far", clean))
+    return df.withColumn(text_col, F.expr(f"if(size({_name(spans_col)}) > 0, {whole}, {text})"))
