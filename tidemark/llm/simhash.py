@@ -1,24 +1,23 @@
 """SimHash near-duplicates through an inverted index on byte positions with count filtering.
 
 Fingerprints that differ in at most 3 of 64 bits differ in at most 3 of 8 bytes, so they share at least 5
-positional bytes, of which at least 3 lie in one half. Lists of single positional bytes would hold a 256th
-of all rows each, so the index posts the three-byte intersections of each half's lists, eight for each
-fingerprint: any pair that reaches the count of 5 meets in one of them. There its shared positional bytes
-are tallied, pairs with 5 or more are kept, and their differing bits are counted.
+positional bytes. Lists of single positional bytes would hold a 256th of all rows each, so the index posts
+intersections of four lists: the 14 sets of four positions whose numbers add to nothing bit by bit, of which any
+five positions hold exactly one. Any pair that reaches the count of 5 meets in one of them, among a 2^32nd of
+unlike fingerprints. There its shared positional bytes are tallied, pairs with 5 or more are kept, and their
+differing bits are counted.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, durable, fresh, local_forest, ship, slices
+from tidemark.llm.common import append_columns, components, durable, fresh, local_forest, ship, values
 
 #: Lists up to this length are joined with themselves; longer ones are compared in tiles of two blocks of BLOCK rows.
 SHORT_LIST = 32
@@ -42,18 +41,12 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return sum(1 << j for j in np.flatnonzero(2 * ones > len(starts)).tolist())
 
 
-def with_fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "simhash") -> DataFrame:
-    """docs with the fingerprint of each whole text as a (signed) long; null texts count as empty."""
-    ship(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            out = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, out_col])
+def with_fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "simhash", drop: tuple[str, ...] = ()) -> DataFrame:
+    """docs with the fingerprint of each whole text as a (signed) long; null texts count as empty.
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{ddl}, `{out_col}` bigint")
+    A column named out_col is replaced, those in `drop` are left out.
+    """
+    return append_columns(docs, {out_col: "bigint"}, lambda: lambda batch: [pa.array(np.array([fingerprint(t) for t in values(batch, text_col)], np.uint64).view(np.int64))], drop)
 
 
 def _byte(x: Column, k: int) -> Column:
@@ -67,8 +60,8 @@ def fingerprint_links(prints: DataFrame, bits: int = 3) -> DataFrame:
     connects the same fingerprints without listing all pairs.
     """
     fp = F.col("fp")
-    triples = [t for half in (range(4), range(4, 8)) for t in itertools.combinations(half, 3)]
-    keys = F.array(*(F.lit(i << 24).cast("bigint") + sum((F.shiftleft(_byte(fp, k), 8 * j) for j, k in enumerate(t)), F.lit(0)) for i, t in enumerate(triples)))
+    fours = [t for t in itertools.combinations(range(8), 4) if t[0] ^ t[1] ^ t[2] ^ t[3] == 0]
+    keys = F.array(*(F.lit(i << 32).cast("bigint") + sum((F.shiftleft(_byte(fp, k), 8 * j) for j, k in enumerate(t)), F.lit(0)) for i, t in enumerate(fours)))
     posts = prints.select("id", "fp", F.explode(keys).alias("key"))
     sizes = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     lists = posts.join(sizes, "key")
@@ -107,20 +100,16 @@ def fingerprint_links(prints: DataFrame, bits: int = 3) -> DataFrame:
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """For docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id, simhash (the same as a long).
 
-    component_id is the smallest doc_id that links reach. Null and empty texts have fingerprint zero and link
-    like any other. Rows with a null doc_id get a fingerprint and the component of their group, but name none;
+    component_id is the smallest doc_id that links reach, whatever its sign. Null and empty texts have fingerprint zero and
+    link like any other. Rows with a null doc_id get a fingerprint and the component of their group, but name none;
     if a group has no doc_id its component is null. Repeated rows stay. Equal texts meet as one fingerprint.
     """
-    rows = durable(with_fingerprints(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).drop("text"))
-    prints = durable(rows.groupBy("simhash").agg(F.min("doc_id").alias("id")).select("id", F.col("simhash").alias("fp")))
-    # a fingerprint with null ids alone still links others: it goes by its own (negative) number
-    prints = prints.select(F.coalesce("id", -1 - F.shiftrightunsigned("fp", 1)).alias("id"), "fp")
-    groups = components(fingerprint_links(prints))
-    named = prints.join(groups, "id", "left").select("fp", "id", F.coalesce("component", "id").alias("component"))
-    if not prints.where("id < 0").isEmpty():
-        best = named.groupBy("component").agg(F.min(F.when(F.col("id") >= 0, F.col("id"))).alias("least"))
-        named = named.join(best, "component").select("fp", "id", F.col("least").alias("component"))
-    return rows.join(named.select(F.col("fp").alias("simhash"), "component"), "simhash").select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"), "simhash")
+    rows = durable(with_fingerprints(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), drop=("text",)))
+    prints = durable(rows.groupBy("simhash").agg(F.min("doc_id").alias("least")))
+    groups = components(fingerprint_links(prints.select(F.col("simhash").alias("id"), F.col("simhash").alias("fp")))).withColumnRenamed("id", "simhash")
+    named = prints.join(groups, "simhash", "left").withColumn("component", F.coalesce("component", "simhash"))
+    best = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.join(named.join(best, "component").select("simhash", "component_id"), "simhash").select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id", "simhash")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
@@ -132,7 +121,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     fp, first, second = fresh(docs, "simhash", "first", "second")
     row = [*docs.columns, *(F.col(c).isNull() for c in docs.columns)]  # the hash skips nulls
     keyed = docs.withColumns({first: F.xxhash64(F.lit(1), *row), second: F.xxhash64(F.lit(2), *row)})
-    rows = durable(with_fingerprints(keyed.select("doc_id", "text", first, second), out_col=fp).drop("text"))
+    rows = durable(with_fingerprints(keyed.select("doc_id", "text", first, second), out_col=fp, drop=("text",)))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(first).alias(first), F.col(second).alias(second))
     prints = durable(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("best")))
     groups = components(fingerprint_links(prints.select(F.col("fp").alias("id"), "fp"))).withColumnRenamed("id", "fp")
