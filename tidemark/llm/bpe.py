@@ -9,22 +9,22 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import ship, slices
-from tidemark.llm.tokens import PieceEncoder, byte_chars, encode_batches
+from tidemark.llm.common import append_columns, values
+from tidemark.llm.tokens import PieceEncoder, byte_chars
 
 
 def read_ranks(path: str) -> list[bytes]:
-    """The tokens of a rank file in order of rank."""
+    """The tokens of a rank file in order of rank; ranks must go from 0 on without a gap."""
     with open(path, "rb") as f:
-        pairs = [line.split() for line in f if line.strip()]
-    return [base64.b64decode(token) for token, _ in sorted(pairs, key=lambda p: int(p[1]))]
+        pairs = sorted(((int(rank), base64.b64decode(token)) for token, rank in (line.split() for line in f if line.strip())), key=lambda p: p[0])
+    if [rank for rank, _ in pairs] != list(range(len(pairs))):
+        raise ValueError(f"{path}: ranks aren't 0 to {len(pairs) - 1}")
+    return [token for _, token in pairs]
 
 
 def _varint(n: int) -> bytes:
@@ -71,40 +71,33 @@ def rank_encoder(path: str, pattern: str) -> PieceEncoder:
     return PieceEncoder(f"rank {path}", lambda text: [i for x in split(text) for i in merge(x)], split, merge)
 
 
-def _with_ids(name: str, batch: pa.RecordBatch, ids: list[bytes]) -> Iterator[pa.RecordBatch]:
-    ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
-    column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-    yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
-
-
 def bpe_encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """df with the token ids (array of int) of each whole text; null and empty texts have none.
 
-    All other columns stay as they are, repeated rows and empty tables too; ids_col must be a new name.
+    All other columns stay as they are, repeated rows and empty tables too; a column named ids_col is replaced.
     """
-    ship(df.sparkSession)
-    make = partial(rank_encoder, path, pattern)
-    return df.mapInArrow(lambda it: encode_batches(it, make, text_col, partial(_with_ids, ids_col)), f"{_ddl(df)}, `{ids_col}` array<int>")
 
+    def start():
+        encoder = rank_encoder(path, pattern)
 
-def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """df with the bytes (binary) that each list of ids stands for, by inverse mapping; null lists give no bytes.
+        def ids(batch: pa.RecordBatch) -> list[pa.Array]:
+            found = [encoder.ids(t) if t else b"" for t in values(batch, text_col)]
+            ends = np.cumsum([0, *(len(x) // 4 for x in found)])
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))]
 
-    An id outside the vocabulary fails the job, as it has no bytes.
-    """
-    ship(df.sparkSession)
+        return ids
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = read_ranks(path).__getitem__
-        for batch in slices(batches):
-            lists = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
-            out = pa.array([b"".join(map(token, x or ())) for x in lists], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, out_col])
+    return append_columns(df, {ids_col: "array<int>"}, start)
 
-    return df.mapInArrow(decode, f"{_ddl(df)}, `{out_col}` binary")
 
+def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """df with the bytes (binary) that each list of ids stands for, by inverse mapping; null lists give no bytes.
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    An id outside the vocabulary, negative ones and nulls too, fails the job, as it has no bytes. A column named out_col is replaced.
+    """
 
+    def start():
+        token = dict(enumerate(read_ranks(path))).__getitem__
+        return lambda batch: [pa.array([b"".join(map(token, x or ())) for x in values(batch, ids_col)], pa.binary())]
 
+    return append_columns(df, {out_col: "binary"}, start)
