@@ -2,7 +2,7 @@
 
 In each pass every vector gets a key of random hashes (signs of random projections), and all vectors of one key
 are compared, tile by tile where they are many. Verified pairs of all passes are united. Links lie within the
-groups so found, and are counted there exactly, tile by tile. Equal vectors go through the passes as one.
+groups so found, and are counted there exactly, tile by tile. Equal vectors are one row throughout, with their number.
 """
 
 from __future__ import annotations
@@ -17,18 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, durable, local_forest, ship
-from tidemark.llm.vectors import matrix, prepared, unit
+from tidemark.llm.vectors import linked, matrix, prepared, unit, vec_type
 
 #: Random hashes in a key, at most.
 HASHES = 48
 #: Chance that one pair at the threshold is missed by all passes.
 MISS = 1e-4
-#: Rows of one tile side.
-BLOCK = 512
+#: Rows of one tile side, and of what is compared with it at once.
+BLOCK, STRIP = 2048, 256
 #: Vectors that crowding is measured on; comparisons that cost as much as dealing out a row for one pass, about.
 SAMPLE, ROW_COST = 1000, 512
-#: Vectors that are alike for any threshold up to this, whatever the rounding, if they are equal.
-SURE = 1 - 1e-9
 #: Keys of many vectors are broadcast up to so many; more are joined.
 BROADCAST_KEYS = 100_000
 
@@ -62,8 +60,8 @@ def _planes(dim: int, index: int) -> np.ndarray:
 def _tile_links(ids: np.ndarray, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links among the rows with cosine >= threshold."""
     p, q = [], []
-    for i in range(0, len(ids), BLOCK // 4):
-        a, b = np.nonzero(x[i : i + BLOCK // 4] @ x[i:].T >= threshold)
+    for i in range(0, len(ids), STRIP):
+        a, b = np.nonzero(linked(x[i : i + STRIP], x[i:], threshold))
         p.append(a[a < b] + i), q.append(b[a < b] + i)
     root = local_forest(len(ids), np.concatenate(p), np.concatenate(q), ids)
     off = ids[root] != ids
@@ -120,7 +118,7 @@ def projection_links(vectors: DataFrame, threshold: float, hashes: int, passes:
             yield links(kept)
 
     many = durable(vectors.mapInArrow(sizes, "pass int, dim int, key bigint, n bigint").groupBy(*own).agg(F.sum("n").alias("n")).where(F.col("n") > 2 * BLOCK).select(*own, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    rows, n = vectors.mapInArrow(keyed, "pass int, dim int, key bigint, id bigint, vec array<double>"), many.count()
+    rows, n = vectors.mapInArrow(keyed, f"pass int, dim int, key bigint, id bigint, vec {vec_type(vectors)}"), many.count()
     if n:
         blocks = F.coalesce("blocks", F.lit(1))
         rows = rows.join(F.broadcast(many) if n <= BROADCAST_KEYS else many, own, "left")
@@ -132,67 +130,67 @@ def projection_links(vectors: DataFrame, threshold: float, hashes: int, passes:
     return rows.repartition(partitions, *tile).sortWithinPartitions(*tile).mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def all_links(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that unite all vectors (id, dim, vec) with cosine >= threshold, with a chance of MISS at most to miss a pair without another link."""
-    once = vectors
-    if threshold <= SURE:
-        once = durable(vectors.groupBy("dim", "vec").agg(F.min("id").alias("id"), F.max("id").alias("last")).select("id", "dim", "vec", "last"))
-    drawn = once.select("vec").orderBy(F.xxhash64("vec")).limit(SAMPLE).toPandas()["vec"]
+def all_links(classes: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that unite all classes (id, dim, vec) with cosine >= threshold, with a chance of MISS at most to miss a pair without another link."""
+    drawn = classes.select("vec").orderBy(F.xxhash64("vec")).limit(SAMPLE).toPandas()["vec"]
     sample = [np.stack([v for v in drawn if len(v) == dim]) for dim in sorted({len(v) for v in drawn})]
-    links = projection_links(once.select("id", "dim", "vec"), threshold, *plan(once.count(), sample, threshold), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    if threshold > SURE:
-        return links
-    copied = once.where("id < last").select("dim", "vec", F.col("id").alias("b"))
-    return links.union(vectors.join(copied, ["dim", "vec"]).select(F.col("id").alias("a"), "b").where("a <> b").distinct())
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return projection_links(classes.select("id", "dim", "vec"), threshold, *plan(classes.count(), sample, threshold), parts)
 
 
-def count_links(vectors: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
-    """(id, n_links): for each member of groups (id, component) the other members with cosine >= threshold.
+def count_links(classes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """(id, hash, others): for each class (id, hash, dim, vec, rows) in groups (id, component) the rows of other classes with cosine >= threshold.
 
-    Large groups are compared in tiles of two blocks, small ones together in shared tiles; only counts leave
-    a tile. Rows that repeat an id don't count for each other.
+    Large groups are compared in tiles of two blocks, small ones together in shared tiles; only counts leave a tile.
     """
-    members = vectors.join(groups, "id")
+    members = classes.join(groups, "id")
     sizes = members.groupBy("component").agg(F.count("*").alias("n"))
     small = F.col("n") <= BLOCK // 4
     blocks = F.when(small, 1).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int")
     shared = max(1, -(-(sizes.where(small).agg(F.sum("n")).first()[0] or 0) // BLOCK))
     tiles = (
         members.join(sizes, "component")
-        .withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("id", "hash"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select(F.when(small, -1 - F.pmod(F.xxhash64("component"), F.lit(shared))).otherwise(F.col("component")).alias("tile"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "component", "id", "dim", "vec")
+        .select(F.when(small, -1 - F.pmod(F.xxhash64("component"), F.lit(shared))).otherwise(F.col("component")).alias("tile"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "component", "id", "hash", "dim", "vec", "rows")
     )
 
     def count(tile: pd.DataFrame) -> pd.DataFrame:
         i, j = tile["i"].iloc[0], tile["j"].iloc[0]
-        ids, comp, own, n = tile["id"].to_numpy(), tile["component"].to_numpy(), tile["own"].to_numpy(), np.zeros(len(tile), np.int64)
+        comp, own, weight, n = tile["component"].to_numpy(), tile["own"].to_numpy(), tile["rows"].to_numpy(np.float64), np.zeros(len(tile), np.int64)
         for dim in np.unique(tile["dim"]):
             rows = np.flatnonzero(tile["dim"] == dim)
             x = unit(np.stack(tile["vec"].to_numpy()[rows]))
-            for lo in range(0, len(rows), BLOCK):
-                p = rows[lo : lo + BLOCK]
-                hit = (x[lo : lo + BLOCK] @ x.T >= threshold) & (comp[p, None] == comp[None, rows]) & (ids[p, None] != ids[None, rows])
+            for lo in range(0, len(rows), STRIP):
+                p = rows[lo : lo + STRIP]
+                hit = linked(x[lo : lo + STRIP], x, threshold) & (comp[p, None] == comp[None, rows]) & (p[:, None] != rows[None])
                 if i != j:  # pairs within a block are counted in its own tile
                     hit &= own[p, None] != own[None, rows]
-                n[p] += hit.sum(1)
-        return pd.DataFrame({"id": ids, "n_links": n})
+                n[p] += (hit @ weight[rows]).astype(np.int64)
+        return pd.DataFrame({"id": tile["id"], "hash": tile["hash"], "others": n})
 
-    return tiles.groupBy("tile", "i", "j").applyInPandas(count, "id bigint, n_links bigint").groupBy("id").agg(F.sum("n_links").alias("n_links"))
+    return tiles.groupBy("tile", "i", "j").applyInPandas(count, "id bigint, hash bigint, others bigint").groupBy("id", "hash").agg(F.sum("others").alias("others"))
 
 
 def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """One row for each row of df: its id (as id_col), n_links, component_id, kept.
 
-    Links are pairs of different ids with cosine >= threshold in double precision. Null, empty and zero vectors,
-    and those with null or non-finite components, link with nothing, nor do rows with a null id (their
-    component_id is null and kept false). Repeated ids share the figures of all their rows. Only vectors of
-    one length are compared. Other columns are left out.
+    Links are pairs of rows with cosine >= threshold in double precision; equal vectors always link. Null, empty and zero
+    vectors, and those with null or non-finite components, link with nothing, nor do rows with a null id (their
+    component_id is null and kept false). Repeated ids are one node: its n_links adds up what each of its rows links
+    with. Only vectors of one length are compared. Other columns are left out.
     """
     vectors = prepared(df, id_col, vec_col)
-    groups = durable(components(all_links(vectors, threshold)))
-    counts = count_links(vectors, groups, threshold)
-    found = groups.join(counts, "id", "left").withColumnRenamed("id", id_col)
+    classes = durable(vectors.groupBy("dim", "vec").agg(F.min("id").alias("id"), F.count("*").alias("rows")).withColumn("hash", F.xxhash64("vec")))
+    copied = classes.where("rows > 1").select("dim", "vec", F.col("id").alias("class"), "hash", "rows")
+    copies = durable(vectors.join(copied, ["dim", "vec"]).select("id", "class", "hash", "rows"))
+    links = all_links(classes, threshold).union(copies.select(F.col("id").alias("a"), F.col("class").alias("b")).where("a <> b").distinct())
+    groups = durable(components(links))
+    others = count_links(classes, groups, threshold)
+    every = copies.union(classes.where("rows = 1").select("id", F.col("id").alias("class"), "hash", "rows"))
+    counted = every.join(others.withColumnRenamed("id", "class"), ["class", "hash"], "left")
+    counts = counted.groupBy("id").agg(F.sum(F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
+    found = counts.join(groups, "id", "left").withColumnRenamed("id", id_col)
     own = F.col(id_col)
     return (
         df.select(own.cast("bigint").alias(id_col))
