@@ -14,17 +14,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship
-from tidemark.llm.vectors import unit, usable
+from tidemark.llm.common import fresh, ship
+from tidemark.llm.vectors import cosine, prepared, unit
 
 #: Pivots, and how many of the nearest represent a vector.
-PIVOTS, PREFIX = 36, 32
+PIVOTS, PREFIX = 256, 128
 #: Rows that the pivots and the cutoff are fitted on; every row is indexed.
 SAMPLE_ROWS = 4_000
 #: Share of the true neighbours of sampled rows that the cutoff must keep.
-TARGET = 0.99
+TARGET = 0.95
 #: Rows of a shard and queries of a block.
-SHARD_ROWS, QUERY_ROWS = 1_024, 4_096
+SHARD_ROWS, QUERY_ROWS = 8_192, 2_048
 
 
 def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
@@ -33,22 +33,23 @@ def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.
 
 
 class InvertedFiles:
-    """Pivot -> rows that hold it among their nearest, with the pivot's place there."""
+    """Pivot -> the place among their nearest that it has for each row, or the place after the last.
+
+    A pivot is among the nearest of every second row, so a file has an entry for each row instead of a list of rows.
+    """
 
     def __init__(self, perms: np.ndarray, pivots: int):
-        self.rows, self.prefix = perms.shape
-        flat = perms.ravel()
-        by = np.argsort(flat, kind="stable")
-        self.row, self.place = (by // self.prefix).astype(np.int32), (by % self.prefix).astype(np.int32)
-        self.ends = np.searchsorted(flat[by], np.arange(pivots + 1))
+        rows, self.prefix = perms.shape
+        self.files = np.full((pivots, rows), self.prefix, np.int16)
+        self.files[perms, np.arange(rows)[:, None]] = np.arange(self.prefix, dtype=np.int16)
+        self.gathered = np.empty((self.prefix, rows), np.int16)
 
     def footrule(self, perm: np.ndarray) -> np.ndarray:
-        """Footrule distance of a query's pivots to every row's; a pivot that a row lacks has the place after its last."""
-        total = np.full(self.rows, sum(self.prefix - k for k in range(len(perm))), np.int64)
-        lists = [slice(self.ends[p], self.ends[p + 1]) for p in perm]
-        rows = np.concatenate([self.row[s] for s in lists])
-        gain = np.concatenate([self.prefix - k - np.abs(self.place[s] - k) for k, s in enumerate(lists)])
-        return total - np.bincount(rows, gain, self.rows).astype(np.int64)
+        """Footrule distance of a query's pivots to every row's, from the query's own files."""
+        np.take(self.files, perm, axis=0, out=self.gathered)
+        np.subtract(self.gathered, np.arange(self.prefix, dtype=np.int16)[:, None], out=self.gathered)
+        np.abs(self.gathered, out=self.gathered)
+        return np.add.reduce(self.gathered, axis=0, dtype=np.int16)  # at most PREFIX ** 2
 
 
 def fit(sample: np.ndarray, k: int, seed: int = 11) -> tuple[np.ndarray, int]:
@@ -77,7 +78,8 @@ def permutation_search(df: DataFrame, is_query: Column, id_col: str = "vec_id",
     """
     spark = df.sparkSession
     ship(spark)
-    all_rows = df.where(usable(vec_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.size(vec_col).alias("dim"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    (asks,) = fresh(df, "asks")
+    all_rows = prepared(df.withColumn(asks, F.coalesce(is_query, F.lit(False))), id_col, vec_col, F.col(asks).alias("asks"))
     sizes = {r["dim"]: (r["n"], r["asked"] or 0) for r in all_rows.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("int")).alias("asked")).collect()}
     models, layout = {}, []
     for dim, (n, asking) in sizes.items():
@@ -104,12 +106,13 @@ def permutation_search(df: DataFrame, is_query: Column, id_col: str = "vec_id",
         out = []
         for i, query in enumerate(q_ids):
             far = files.footrule(perms[i])
-            far[ids == query] = np.iinfo(np.int64).max
+            own = ids == query
+            far[own] = np.iinfo(np.int16).max
             near = np.flatnonzero(far <= cutoff)
             if len(near) < k:
-                near = np.lexsort((ids, far))[:k]
-            near = near[ids[near] != query]
-            score = x[near] @ q[i]
+                near = np.lexsort((ids, far))[: k + own.sum()]
+                near = near[~own[near]]
+            score = cosine(x[near], q[i])
             top = np.lexsort((ids[near], -score))[:k]
             out.append((np.full(len(top), query), ids[near[top]], score[top]))
         return pd.DataFrame({c: np.concatenate([o[n] for o in out]) for n, c in enumerate(("query_id", "vec_id", "score"))})
