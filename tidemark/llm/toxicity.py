@@ -3,7 +3,7 @@
 A text is cut into overlapping windows of words; a longer stretch without white space than LONGEST enters as
 consecutive overlapping pieces, each a word of its own. Every word enters by itself and by its characters (edges
 and trigrams); two recurrent passes read a window, attention pools their states into a logit, and a text is as
-toxic as its most toxic windows. Everything is trained in numpy.
+toxic as its most toxic window, however many others it has. Everything is trained in numpy.
 """
 
 from __future__ import annotations
@@ -15,19 +15,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from tidemark.llm.common import ship, slices
-from tidemark.llm.langid import blocks
+from tidemark.llm.common import append_columns, values
 from tidemark.llm.quality import Adam, bounded_sample
 
 #: Words (or pieces) of a window, and from one window's start to the next.
 WINDOW, STRIDE = 24, 16
-#: Labelled documents of each label that the model is fitted on, about; and windows of a document used in a training step.
-SAMPLE_DOCS, TRAIN_WINDOWS = 500, 24
+#: Labelled documents of each label that the model is fitted on, about, and the bytes of their texts together.
+SAMPLE_DOCS, SAMPLE_BYTES = 500, 16 << 20
 BUCKETS, INPUT, HIDDEN = 1 << 15, 10, 8
 #: Characters of a word, and of two neighbouring pieces of a longer one together.
 LONGEST, OVERLAP = 24, 8
-#: Words that a task keeps encoded.
-KNOWN_WORDS = 200_000
+#: Words that a task keeps encoded; windows that are read at once; characters of a text that are split at once.
+KNOWN_WORDS, HELD, PART = 200_000, 2_048, 1 << 18
 
 
 def word_inputs(word: str) -> list[int]:
@@ -42,32 +41,58 @@ def pieces(word: str) -> list[str]:
     return [word[i : i + LONGEST] for i in range(0, max(1, len(word) - OVERLAP), LONGEST - OVERLAP)]
 
 
-def split_windows(words: int) -> list[int]:
-    """Starts of the overlapping windows that cover so many words; one window even for none."""
-    return list(range(0, max(1, words - (WINDOW - STRIDE)), STRIDE))
+def split(text: str | None) -> Iterator[list[str]]:
+    """The words and pieces of a text, part by part."""
+    text, left = (text or ""), ""
+    for i in range(0, len(text), PART):
+        left += text[i : i + PART].lower()
+        last = i + PART >= len(text)
+        if last:
+            head, left = left, ""
+        else:
+            cut = max(left.rfind(" "), left.rfind("\n"))
+            if cut >= 0:
+                head, left = left[:cut], left[cut:]
+            else:  # a stretch goes on: its pieces do too
+                cut = (len(left) - OVERLAP) // (LONGEST - OVERLAP) * (LONGEST - OVERLAP)
+                head, left = left[: cut + OVERLAP], left[cut:]
+        yield [p for w in head.split() for p in (pieces(w) if len(w) > LONGEST else (w,))]
 
 
 class WordTable:
     """Words of some texts as rows, with the buckets of each row."""
 
     def __init__(self) -> None:
-        self.row: dict[str, int] = {"": 0}
-        self.buckets: list[list[int]] = [[]]
-
-    def windows(self, text: str | None) -> np.ndarray:
-        """Rows of the words of each window; -1 beyond the text's end."""
-        words = [p for w in text.lower().split() for p in (pieces(w) if len(w) > LONGEST else (w,))] if text else []
-        get, ids = self.row.get, []
-        for w in words:
-            i = get(w)
-            if i is None:
-                i = self.row[w] = len(self.buckets)
-                self.buckets.append(word_inputs(w))
-            ids.append(i)
-        starts = np.array(split_windows(len(words)))
-        padded = np.full(starts[-1] + WINDOW, -1, np.int64)
-        padded[: len(ids)] = ids
-        return padded[starts[:, None] + np.arange(WINDOW)]
+        self.row: dict[str, int] = {}
+        self.buckets: list[list[int]] = []
+
+    def rows(self, words: list[str]) -> list[int]:
+        ids = list(map(self.row.get, words))
+        for i, w in enumerate(words):
+            if ids[i] is None:
+                ids[i] = self.row.get(w)
+                if ids[i] is None:
+                    ids[i] = self.row[w] = len(self.buckets)
+                    self.buckets.append(word_inputs(w))
+        return ids
+
+    def windows(self, text: str | None) -> Iterator[np.ndarray]:
+        """Rows of the words of all overlapping windows, part by part; -1 beyond the text's end. A text without words is one empty window."""
+        left, first = [], True
+        parts = split(text)
+        words = next(parts, [])
+        while words is not None:
+            following = next(parts, None)
+            left += words
+            n = len(left)
+            count = max(int(first), -(-(n - (WINDOW - STRIDE)) // STRIDE)) if following is None else max(0, (n - WINDOW) // STRIDE + 1)
+            if count > 0:
+                padded = np.full((count - 1) * STRIDE + WINDOW, -1, np.int64)
+                ids = self.rows(left[: len(padded)])
+                padded[: len(ids)] = ids
+                left, first = left[count * STRIDE :], False
+                yield padded[np.arange(count)[:, None] * STRIDE + np.arange(WINDOW)]
+            words = following
 
     def sparse(self, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(row, bucket) of all inputs of the rows from first on, rows counted from there."""
@@ -141,7 +166,7 @@ class BiGRU:
         dx = np.zeros_like(x)
         for side, part in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, 2 * HIDDEN))):
             R, S = p[f"R{side}"], p[f"S{side}"]
-            gR, gS, gB, dgates = np.zeros_like(R), np.zeros_like(S), np.zeros(3 * HIDDEN, np.float32), np.zeros((len(x), 3 * HIDDEN), np.float32)
+            gR, gS, gB, steps = np.zeros_like(R), np.zeros_like(S), np.zeros(3 * HIDDEN, np.float32), []
             dh = np.zeros((len(win), HIDDEN), np.float32)
             for t, h, z, zr, r, n in reversed(keep[side]):
                 dh = dh + dstates[t][:, part]
@@ -154,67 +179,61 @@ class BiGRU:
                 gR += h.T @ dzr
                 d = np.concatenate([dzr, dn], 1)
                 gB += d.sum(0)
-                np.add.at(dgates, win[:, t], d)
+                steps.append((win[:, t], d))
                 dh = dh * (1 - z) + drh * r + dzr @ R.T
+            at, d = np.concatenate([w for w, _ in steps]), np.concatenate([d for _, d in steps])
+            at = np.where(at < 0, len(x) - 1, at)
+            dgates = np.stack([np.bincount(at, d[:, k], len(x)) for k in range(3 * HIDDEN)], 1).astype(np.float32)
             grads |= {f"R{side}": gR, f"S{side}": gS, f"B{side}": gB, f"W{side}": x.T @ dgates}
             dx += dgates @ p[f"W{side}"].T
         return grads, dx
 
-    def fit(self, texts: list[str | None], labels: np.ndarray, steps: int = 100, batch: int = 32, rate: float = 0.01) -> BiGRU:
-        """Adam on the logistic loss of documents, each as its windows' smooth maximum. At least three rounds
-        over the documents, and `steps` steps.
+    def fit(self, texts: list[str | None], labels: np.ndarray, epochs: int = 6, steps: int = 150, batch: int = 32, rate: float = 0.015) -> BiGRU:
+        """Adam on the logistic loss of documents, at least `steps` steps: for the first half each as its windows' smooth maximum, then as its largest.
 
-        The first input of a bucket starts as its log-odds over the training documents, to shorten training.
+        A step sees all windows of its documents; what the gradients need is made anew for HELD of them at a time.
         """
         table = WordTable()
-        bags = [table.windows(t) for t in texts]
+        bags = [np.concatenate(list(table.windows(t))) for t in texts]
         rows, buckets = table.sparse()
-        n = len(table.buckets)
-        ends = np.searchsorted(rows, np.arange(n + 1))
-        seen = np.zeros((2, BUCKETS))
-        for bag, y in zip(bags, labels.astype(int), strict=True):
-            words = np.unique(bag[bag >= 0])
-            seen[y, np.unique(np.concatenate([buckets[ends[w] : ends[w + 1]] for w in words] or [buckets[:0]]))] += 1
-        many = np.bincount(labels.astype(int), minlength=2)
-        odds = np.log((seen[1] + 0.5) / (many[1] + 1)) - np.log((seen[0] + 0.5) / (many[0] + 1))
-        self.embed[:, 0] = 0.5 * odds * (seen.sum(0) >= 3)
+        ends = np.searchsorted(rows, np.arange(len(table.buckets) + 1))
         optimizer, r = Adam(self.p, rate), np.random.default_rng(2)
-        for _ in range(max(3, -(-steps * batch // len(bags)))):
+        epochs = max(epochs, -(-steps * batch // len(bags)))
+        for epoch in range(epochs):
             order = r.permutation(len(bags))
             for i in range(0, len(order), batch):
                 at = order[i : i + batch]
-                picked = [bags[k] if len(bags[k]) <= TRAIN_WINDOWS else bags[k][self._some(bags[k], table, r)] for k in at]
-                used, win = np.unique(np.concatenate(picked), return_inverse=True)
+                used, win = np.unique(np.concatenate([bags[k] for k in at]), return_inverse=True)
                 win = win.reshape(-1, WINDOW) - (used[0] < 0)  # -1 sorts first
                 used = used[used >= 0]
                 take = np.concatenate([np.arange(ends[w], ends[w + 1]) for w in used] or [ends[:0]])
                 own = np.repeat(np.arange(len(used)), ends[used + 1] - ends[used])
-                x, keep = self.words(own, buckets[take], len(used)), {}
-                logit = self.forward(x, win, keep)
-                doc, starts = np.repeat(np.arange(len(at)), [len(b) for b in picked]), np.cumsum([0, *(len(b) for b in picked[:-1])])
-                soft, value = smooth_max(logit, doc, starts)
-                err = _sigmoid(value) - labels[at]
-                grads, dx = self.gradients(x, win, keep, (soft * err[doc] / len(at)).astype(np.float32))
+                x = self.words(own, buckets[take], len(used))
+                logit = self.logits(x, win)
+                doc, starts = np.repeat(np.arange(len(at)), [len(bags[k]) for k in at]), np.cumsum([0, *(len(bags[k]) for k in at[:-1])])
+                weight = smooth_max(logit, doc, starts, 2 if 2 * epoch < epochs else 50)
+                err = _sigmoid(np.add.reduceat(weight * logit, starts)) - labels[at]
+                dlogit = (weight * err[doc] / len(at)).astype(np.float32)
+                grads, dx = {}, np.zeros_like(x)
+                for lo in range(0, len(win), HELD):
+                    keep: dict = {}
+                    self.forward(x, win[lo : lo + HELD], keep)
+                    more, dmore = self.gradients(x, win[lo : lo + HELD], keep, dlogit[lo : lo + HELD])
+                    grads, dx = {k: g + grads.get(k, 0) for k, g in more.items()}, dx + dmore
                 scale = 1 / np.sqrt(np.maximum(ends[used + 1] - ends[used], 1))
                 g = (dx[:-1] * scale[:, None])[own]
                 grads["embed"] = np.stack([np.bincount(buckets[take], g[:, k], BUCKETS) for k in range(INPUT)], 1).astype(np.float32)
                 optimizer.step(grads)
         return self
 
-    def _some(self, bag: np.ndarray, table: WordTable, r: np.random.Generator) -> np.ndarray:
-        """Windows of a long training document for one step: half those with the highest word odds, half at random."""
-        words = np.unique(bag[bag >= 0])
-        best = np.full(int(bag.max()) + 2, -9.0)
-        best[words] = [max((self.embed[b, 0] for b in table.buckets[w]), default=0) for w in words]
-        top = np.argsort(-best[bag].max(1), kind="stable")[: TRAIN_WINDOWS // 2]
-        return np.unique(np.r_[top, r.choice(len(bag), TRAIN_WINDOWS // 2, replace=False)])
+    def logits(self, x: np.ndarray, win: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.forward(x, win[i : i + HELD]) for i in range(0, len(win), HELD)])
 
 
-def smooth_max(logit: np.ndarray, doc: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the windows within their documents, and the documents' weighted logits."""
-    w = np.exp(2 * (logit - np.maximum.reduceat(logit, starts)[doc]))
-    w /= np.add.reduceat(w, starts)[doc]
-    return w, np.add.reduceat(w * logit, starts)
+def smooth_max(logit: np.ndarray, doc: np.ndarray, starts: np.ndarray, sharpness: float) -> np.ndarray:
+    """Weights of the windows within their documents, on the largest logits."""
+    w = np.exp(sharpness * (logit - np.maximum.reduceat(logit, starts)[doc]))
+    return w / np.add.reduceat(w, starts)[doc]
 
 
 class Scorer:
@@ -225,43 +244,50 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self.table, self.x = WordTable(), np.zeros((1, INPUT), np.float32)
+        self.table, self.x = WordTable(), np.zeros((0, INPUT), np.float32)
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """Score of each whole text from all its windows."""
-        if len(self.table.buckets) > KNOWN_WORDS:
-            self._clear()
-        bags = [self.table.windows(t) for t in texts]
+    def _logits(self, win: np.ndarray) -> np.ndarray:
         first, n = len(self.x), len(self.table.buckets)
         if n > first:
             self.x = np.concatenate([self.x, self.model.words(*self.table.sparse(first), n - first)[:-1]])
-        used, win = np.unique(np.concatenate(bags), return_inverse=True)
-        win = win.reshape(-1, WINDOW) - (used[0] < 0)
+        used, at = np.unique(win, return_inverse=True)
         x = np.concatenate([self.x[used[used >= 0]], np.zeros((1, INPUT), np.float32)])
-        logit = np.concatenate([self.model.forward(x, win[i : i + 2048]) for i in range(0, len(win), 2048)])
-        sizes = np.array([len(b) for b in bags])
-        starts = np.cumsum(sizes) - sizes
-        return _sigmoid(smooth_max(logit.astype(np.float64), np.repeat(np.arange(len(bags)), sizes), starts)[1])
+        logit = self.model.logits(x, at.reshape(-1, WINDOW) - (used[0] < 0))
+        if n > KNOWN_WORDS:
+            self._clear()
+        return logit
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Score of each whole text: that of its most toxic window. Of windows that were read only the largest logit is kept."""
+        best, held, docs, n = np.full(len(texts), -np.inf), [], [], 0
+        for d, text in enumerate(texts):
+            for win in self.table.windows(text):
+                held.append(win), docs.append(np.full(len(win), d))
+                n += len(win)
+                if n >= HELD:
+                    np.maximum.at(best, np.concatenate(docs), self._logits(np.concatenate(held)))
+                    held, docs, n = [], [], 0
+        if held:
+            np.maximum.at(best, np.concatenate(docs), self._logits(np.concatenate(held)))
+        return _sigmoid(best)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, is_training: Column) -> BiGRU:
-    """The model from about SAMPLE_DOCS labelled documents of each label; without both labels it keeps its first weights."""
-    ship(docs.sparkSession)
-    rows = bounded_sample(docs, labels, "toxic", is_training, SAMPLE_DOCS, per_label=True).toPandas().sort_values(["doc_id", "label"])
+    """The model from about SAMPLE_DOCS labelled documents of each label, SAMPLE_BYTES at most; without both labels it keeps its first weights."""
+    rows = bounded_sample(docs, labels, "toxic", is_training, SAMPLE_DOCS, SAMPLE_BYTES, per_label=True).toPandas().sort_values("doc_id")
     model = BiGRU()
     return model.fit(rows["text"].tolist(), rows["label"].to_numpy(np.float32)) if rows["label"].nunique() == 2 else model
 
 
-def score_toxicity(docs: DataFrame, model: BiGRU, text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1, higher: toxic 1 likelier) of every whole text; null and empty texts are one empty window."""
+def score_toxicity(docs: DataFrame, model: BiGRU, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with score (0 to 1, higher: toxic 1 likelier) of every whole text; null and empty texts are one empty window.
+
+    All other columns and rows stay; a column named score_col is replaced. Long texts are read part by part.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         scorer = Scorer(shared.value)
-        for batch in slices(batches):
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            score = np.concatenate([np.zeros(0), *(scorer.scores(part) for part in blocks(texts))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
+        return lambda batch: [pa.array(scorer.scores(values(batch, text_col)))]
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{ddl}, score double")
+    return append_columns(docs, {score_col: "double"}, start)
