@@ -2,22 +2,27 @@
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, packing, pii, registry, simhash
 from tidemark.llm.embedding_dedup import near_duplicate_vectors
+from tidemark.llm import ann, langid, orc_tokens, toxicity, vectors as vectors_
 from tidemark.llm.langid import identify, learn_filter
-from tidemark.llm.quality import GatedAttention, fit_quality, passages, score_quality
-from tidemark.llm.toxicity import BUCKETS, WordTable, fit_toxicity, score_toxicity
+from tidemark.llm.quality import GatedAttention, bounded_sample, fit_quality, passages, score_quality
+from tidemark.llm.toxicity import BUCKETS, BiGRU, Scorer, WordTable, fit_toxicity, score_toxicity
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", "   ", "\n\n \t", "x", "two  spaces", "naïve ĀĒ 中文 😀 \x00 tab\there", "it's 123 don't", "<|endoftext|> a", "word " * 3000, "word " * 3000]
+#: Names that the operators use themselves.
+CLASHES = ("ids", "key", "score", "Lang_Pred", "simhash", "spans", "base_spans", "text_key", "found", "sequence_id", "offset", "length")
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +31,7 @@ def sf(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("sf")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(100_000 + i, t, None, None, None) for i, t in enumerate(ODD)], docs.schema)
-    docs.union(odd).withColumn("ids", F.lit("clash")).withColumn("key", F.lit(1)).write.parquet(f"{folder}/documents.parquet")
+    docs.union(odd).withColumns({c: F.lit("clash") for c in CLASHES}).write.parquet(f"{folder}/documents.parquet")
     spark.read.parquet(f"{SF}/labels.parquet").union(spark.createDataFrame([(None, 1, None), (3, None, 1)], "doc_id bigint, quality int, toxic int")).write.parquet(f"{folder}/labels.parquet")
     emb = spark.read.parquet(f"{SF}/embeddings.parquet")
     base = [float(x) for x in emb.orderBy("vec_id").first()["embedding"]]
@@ -136,6 +141,30 @@ def test_op4(spark, sf):
         start += len(ids)
 
 
+def test_op4_repeated_ids_and_pruning(spark, tmp_path, monkeypatch):
+    """start follows the files where ids repeat; files hold row indexes and Bloom filters, and a filter on an id reads few of them."""
+    rows = [(i % 40 if i % 3 else None, " ".join(["w"] * (i % 11))) for i in range(400)]
+    path = str(tmp_path / "orc")
+    orc_tokens.write_token_files(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("ids", F.lit(1)), path, registry.vocabulary("word_bpe_49k.json"), end_id=1, row_index_stride=1000)
+    back = orc_tokens.read_token_files(spark, path).collect()
+    files = sorted({r["file"] for r in back}, key=lambda f: min((r["doc_id"] is not None, r["doc_id"] or 0, r["text_hash"]) for r in back if r["file"] == f))
+    in_order = [r for f in files for r in back if r["file"] == f]
+    assert [(r["doc_id"] is not None, r["doc_id"] or 0, r["text_hash"]) for r in in_order] == sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text_hash"]) for r in back)
+    start, want = 0, Counter()
+    for r in in_order:
+        want[r["doc_id"], start, len(r["ids"])] += 1
+        start += len(r["ids"])
+    assert Counter((r["doc_id"], r["start"], r["n_tokens"]) for r in orc_tokens.token_index(spark, path).collect()) == want
+    jvm = spark._jvm
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"{path}/{f}"), jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+        kinds = {s.getKind().toString() for stripe in reader.getStripes() for s in reader.rows().readStripeFooter(stripe).getStreamsList()}
+        assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds and reader.getRowIndexStride() == 1000
+        assert {e.getKind().toString() for stripe in reader.getStripes() for e in reader.rows().readStripeFooter(stripe).getColumnsList()} >= {"DIRECT_V2"}
+    plan = orc_tokens.read_token_files(spark, path).where("doc_id = 7")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in plan
+
+
 def test_op9(spark, sf):
     want = hub_ids("byte_bpe_50k.json", texts(spark, sf), 0)
     got = run(spark, sf, "op9_packing")
@@ -279,6 +308,18 @@ def test_op8(spark, sf):
         assert got.loc[d, "fingerprint"] == f"{want[d]:016x}" and got.loc[d, "component_id"] == ids[comp[i]]
 
 
+def test_op8_any_ids(spark):
+    """Negative, null and repeated ids; every pair that shares five positional bytes meets in the index."""
+    rows = [(-5, "one two three four"), (3, "one two three four"), (-7, "five six seven"), (None, "five six seven"), (None, "eight nine ten"), (0, None), (-1, ""), (3, "eleven twelve")]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.simhash_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+    assert got == sorted([(-5, -5), (3, -5), (-7, -7), (None, -7), (None, None), (0, -1), (-1, -1), (3, 3)], key=str)
+    base = 0x0123456789ABCDEF
+    far = [base] + [base ^ sum(1 << 8 * k + 3 for k in at) for n in (1, 2, 3) for at in itertools.combinations(range(8), n)]
+    df = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(far)], "id bigint, fp bigint")
+    found = {tuple(sorted(r)) for r in simhash.fingerprint_links(df.where("id = 0 or id > 36")).collect()}
+    assert {(0, i) for i in range(37, len(far))} <= found
+
+
 def test_simhash_hot_lists(spark):
     """A list beyond SHORT_LIST and BLOCK: one crowd of near prints, and strangers."""
     r = np.random.default_rng(4)
@@ -311,6 +352,41 @@ def test_op10(spark, sf):
     assert set(got["query_id"]) == set(ids[ids % 50 == 0])
 
 
+def test_op10_recall_and_share_reranked():
+    """On all vectors of a larger table: the cutoff keeps most true neighbours and leaves most rows out."""
+    rows = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = vectors_.unit(np.stack(rows["embedding"].to_numpy()))
+    pivots, cutoff = ann.fit(x, 5)
+    perms, hit, read, queries = ann.permutations(x, pivots), 0, 0, range(0, len(x), 20)
+    files = ann.InvertedFiles(perms, len(pivots))
+    for i in queries:
+        far, cos = files.footrule(perms[i]), x @ x[i]
+        places = {p: k for k, p in enumerate(perms[i].tolist())}
+        other = {p: k for k, p in enumerate(perms[7].tolist())}
+        assert far[7] == sum(abs(k - other.get(p, ann.PREFIX)) for p, k in places.items())
+        cos[i], far[i] = -1, 32767
+        hit, read = hit + (far[np.argsort(-cos)[:5]] <= cutoff).sum(), read + (far <= cutoff).sum()
+    assert hit / (5 * len(queries)) >= 0.9 and read / (len(x) * len(queries)) <= 0.2
+
+
+def test_equal_pairs_have_equal_cosines():
+    """The decision at the threshold is that of the fixed-order sum, in any tile."""
+    r = np.random.default_rng(1)
+    x = vectors_.unit(r.standard_normal((300, 64)).astype(np.float32))
+    t = float(vectors_.cosine(x[:1], x[1:2])[0])
+    for cut in (slice(0, 300), slice(0, 2), slice(0, 37)):
+        assert vectors_.linked(x[cut], x[cut], t)[0, 1] and vectors_.linked(x[cut], x[cut], t)[1, 0]
+        assert not vectors_.linked(x[cut], x[cut], float(np.nextafter(t, 2)))[0, 1]
+
+
+def test_op1_equal_vectors_and_repeated_ids(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(0, 50)] + [(7, [1.0, 2.0]), (100, [2.0, 4.0]), (-3, [2.0, 1.0]), (-4, [1.0, 0.0, 0.0])]
+    got = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
+    assert len(got) == len(rows)
+    figures = {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got}
+    assert figures == {(i, 51, 0, i == 0) for i in range(50) if i != 7} | {(7, 102, 0, False), (100, 51, 0, False), (-3, 0, -3, True), (-4, 0, -4, True)}
+
+
 def test_classifiers_on_odd_rows(spark, sf):
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     for name in ("op3_quality", "op5_toxicity", "op6_language_id"):
@@ -333,21 +409,108 @@ def test_held_out_accuracy(spark):
 
 def test_long_words_are_read_whole():
     """Every trigram of a stretch without white space is an input, wherever it stands."""
-    for n in (24, 25, 32, 33, 40, 41, 1000):
+    for n in (24, 25, 32, 33, 40, 41, 60, 1000):
         word, table = "".join(chr(0x4E00 + i) for i in range(n)), WordTable()
-        w = table.windows(word)
+        w = np.concatenate(list(table.windows(word)))
         read = {table.buckets[i][k] for i in np.unique(w) if i >= 0 for k in range(len(table.buckets[i]))}
         assert {zlib.crc32(word[i : i + 3].encode()) % BUCKETS for i in range(n - 2)} <= read
         assert (w[0] >= 0).sum() == min(24, max(1, -(-(n - 8) // 16)))
 
 
+def test_texts_in_parts_as_whole(monkeypatch):
+    """Passages, windows and n-grams of a text are the same however it is cut into parts."""
+    from tidemark.llm import quality
+
+    r = np.random.default_rng(3)
+    for text in (None, "", "x", "word " * 700, "".join(r.choice(list("abé \n,中"), 5000)), "y" * 3000, "a b" + "z" * 900 + " c" * 300):
+        monkeypatch.setattr(quality, "PART", 1 << 18)
+        monkeypatch.setattr(toxicity, "PART", 1 << 18)
+        monkeypatch.setattr(langid, "PART", 1 << 18)
+        whole = np.concatenate([x for x, _ in passages([text])])
+        table = WordTable()
+        windows = np.concatenate(list(table.windows(text)))
+        grams = Counter(np.concatenate([*langid.text_grams(text), np.zeros(0, np.uint64)]).tolist())
+        for part in (64, 100, 257):
+            monkeypatch.setattr(quality, "PART", part)
+            monkeypatch.setattr(langid, "PART", part)
+            monkeypatch.setattr(toxicity, "PART", part)
+            assert np.array_equal(whole, np.concatenate([x for x, _ in passages([text])]))
+            assert grams == Counter(np.concatenate([*langid.text_grams(text), np.zeros(0, np.uint64)]).tolist())
+            if text is None or max(map(len, text.split()), default=0) < 50:
+                assert np.array_equal(windows, np.concatenate(list(table.windows(text))))
+
+
+def test_all_windows_of_long_training_documents(monkeypatch):
+    """Gradients of a document of 5,000 words are the same whether its windows are read at once or a few at a time."""
+    text, labels = ["calm words here " * 1700 + " vile", "calm words here " * 20], np.array([1, 0], np.float32)
+    got = []
+    for held in (4096, 50):
+        monkeypatch.setattr(toxicity, "HELD", held)
+        got.append(BiGRU().fit(text, labels, epochs=1, steps=1).p)
+    assert all(np.allclose(got[0][k], got[1][k], atol=1e-3) for k in got[0])
+
+
+def test_one_toxic_passage_in_a_long_text(spark):
+    """The score of a text is that of its worst window, however many clean ones there are; a trained model finds it."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = common.table(spark, sf, "documents").select("doc_id", "text"), common.table(spark, sf, "labels")
+    scorer = Scorer(fit_toxicity(docs, labels, ~registry.held_out(4, 2)))
+    rows = docs.join(labels, "doc_id").where("toxic is not null").toPandas()
+    clean = "\n".join(t for t in rows[rows["toxic"] == 0]["text"] if t).split()[:20_000]
+    planted = clean[:9_000] + "you worthless idiot, pathetic scum and trash, stupid moron".split() + clean[9_000:]
+    for words in (clean, planted):
+        worst = scorer.scores([" ".join(words[i : i + toxicity.WINDOW]) for i in range(0, len(words) - 8, toxicity.STRIDE)]).max()
+        assert abs(scorer.scores([" ".join(words)])[0] - worst) < 1e-4
+    assert worst >= 0.3
+
+
+def test_words_without_letters_and_many_languages(spark):
+    """`und` is told by str.isalpha; 70 languages, one of them rare, are told apart."""
+    r = np.random.default_rng(0)
+    names = [f"l{i:02}" for i in range(70)]
+    lexicon = {n: ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)] for n in names}
+    rows = [(i, " ".join(r.choice(lexicon[n], 40)), n) for i, n in enumerate(n for n in names for _ in range(3 if n == "l07" else 12))]
+    model = learn_filter(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    assert model.languages == names and model.table.shape[1] == 2
+    odd = ["½ ² Ⅷ 12", "१२", "_ .", "\U0001F600", None, ""]
+    got, score = model.predict([" ".join(r.choice(lexicon[n], 20)) for n in names] + odd + ["é", "ⅷa"])
+    assert got[:70] == names and got[70:76] == ["und"] * 6 and "und" not in got[76:] and (score[70:76] == 0).all()
+
+
+def test_language_filter_counts_as_bloom_filters(spark):
+    """Masks of the table give the languages of an n-gram that separate Bloom filters give; shares follow from them."""
+    rows = [(i, t, "ab"[i % 2]) for i, t in enumerate(["some words in one tongue", "otras palabras en otra lengua"] * 20)]
+    model = learn_filter(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    kept = []
+    for own in range(2):
+        counts = Counter(g for i, t, _ in rows if i % 2 == own for part in langid.text_grams(t) for g in part.tolist())
+        need = max(langid.MIN_COUNT, langid.MIN_SHARE * sum(counts.values()))
+        kept.append({s for g, n in counts.items() if n >= need for s in np.array(langid.slots(np.array([g], np.uint64), len(model.table))).ravel().tolist()})
+    for text in ("some otras words", "zzz qqq", "palabras"):
+        grams = [g for part in langid.text_grams(text) for g in part.tolist()]
+        hit = [sum(all(s in k for s in np.array(langid.slots(np.array([g], np.uint64), len(model.table))).ravel().tolist()) for g in grams) / len(grams) for k in kept]
+        false = [(len(k) / len(model.table)) ** langid.PROBES for k in kept]
+        assert np.allclose(model.shares([text])[0], [min(1, max(0, (h - f) / (1 - f))) for h, f in zip(hit, false, strict=True)])
+
+
+def test_sample_is_bounded(spark):
+    """Rows, bytes, repeated documents and labels of a training sample."""
+    docs = spark.createDataFrame([(i % 400, "x" * (i % 50) if i % 7 else None) for i in range(2000)] + [(1, "y" * 100_000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0), None) for i in range(400)] + [(0, 0, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    rows = bounded_sample(docs, labels, "quality", F.lit(True), 100, 1 << 20, per_label=True).toPandas()
+    assert rows["doc_id"].is_unique and (rows["label"] == 1).sum() == 40 and 60 < (rows["label"] == 0).sum() < 150
+    few = bounded_sample(docs, labels, "quality", F.lit(True), 1000, 4000).toPandas()
+    assert 0 < few["text"].str.len().sum() < 8000 and few["text"].str.len().max() <= 62
+
+
 def test_attention_gradients():
     model, r = GatedAttention(), np.random.default_rng(0)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
-    x, ends = passages(["ab cd. " * 400, "x", None])
-    x = x.astype(np.float64)
+    texts = ["ab cd. " * 400, "x", None]
+    x, docs = (np.concatenate(p) for p in zip(*passages(texts), strict=True))
+    x, ends = x.astype(np.float64), np.searchsorted(docs, range(3), "right")
     y, w = np.array([1.0, 0, 1]), np.ones(3)
-    loss = lambda: -np.mean(np.log(np.where(y == 1, model.scores(x, ends), 1 - model.scores(x, ends))))
+    loss = lambda: -np.mean(np.log(np.where(y == 1, model.scores(texts), 1 - model.scores(texts))))
     grads = model.gradients(x, ends, y, w)
     for k in grads:
         i = tuple(r.integers(0, s) for s in grads[k].shape)
@@ -359,19 +522,63 @@ def test_attention_gradients():
         model.p[k][i] = old
 
 
-def test_pipeline(spark, sf):
+def test_pipeline_as_by_brute_force(spark, sf):
+    """Every stage's rows, with columns of clashing names kept, against a version without Spark."""
     import corpus_pipeline
 
-    docs = common.table(spark, sf, "documents").drop("key", "ids")
-    kept = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, kept, sf)
-        assert after.columns == docs.columns, name
-        kept = common.durable(after)
-    groups = registry.queries()["op8_simhash"](spark, sf)
-    assert kept.join(groups.where("doc_id <> component_id"), "doc_id").count() < docs.count()
-    packed = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
-    assert packed.select("doc_id").distinct().count() == kept.count()
+    docs = common.table(spark, sf, "documents")
+    docs = docs.union(spark.createDataFrame([(None, "a text without an id " * 30, "en", "x", 5)], "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumns({c: F.lit("clash") for c in CLASHES}))
+    stages, kept = dict(corpus_pipeline.STAGES), {}
+    before = [r.asDict() for r in docs.collect()]
+    quality = fit_quality(docs, common.table(spark, sf, "labels"), ~registry.held_out(3, 1))
+    by_row = lambda rows: Counter((r["doc_id"] is None, r["doc_id"], r["text"]) for r in rows)
+
+    def stage(name):
+        nonlocal docs
+        docs = common.durable(stages[name](spark, docs, sf))
+        return [r.asDict() for r in docs.collect()]
+
+    after = stage("quality")
+    assert docs.columns == list(before[0]) and {r["score"] for r in after} == {"clash"}
+    assert by_row(after) == by_row(r for r, s in zip(before, quality.scores([r["text"] for r in before]), strict=True) if s >= corpus_pipeline.MIN_QUALITY) != by_row(before)
+    model, before = learn_filter(docs, ~registry.held_out(4, 2)), after
+    after = stage("language")
+    told = zip(before, *model.predict([r["text"] for r in before]), strict=True)
+    assert by_row(after) == by_row(r for r, lang, s in told if lang != "und" and s >= corpus_pipeline.MIN_LANGUAGE) != by_row(before)
+    before, after = after, stage("simhash")
+    prints = [simhash.fingerprint(r["text"]) for r in before]
+    groups = roots(len(before), [(i, j) for i in range(len(before)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
+    best = {}
+    for r, g in zip(before, groups, strict=True):
+        if g not in best or (r["doc_id"] is None, r["doc_id"] or 0) < (best[g]["doc_id"] is None, best[g]["doc_id"] or 0):
+            best[g] = r
+    assert by_row(after) == by_row(best.values()) != by_row(before)
+    before, after = after, stage("pii")
+    terms = disclosing([r["text"] for r in before])
+    want = []
+    for r in before:
+        spans = [(m.start(), -m.end(), list(pii.KINDS)[k]) for k, p in enumerate(BASE) for m in re.finditer(p, r["text"]) if valid(k, m[0])]
+        spans, out, at = sorted(spans + [(a, -b, "term") for a, b in term_spans(r["text"], terms)]), "", 0
+        for a, b, kind in spans:
+            out, at = out + ("" if a < at else r["text"][at:a] + pii.LABELS[kind]), max(at, -b)
+        want.append(r | {"text": out + r["text"][at:]})
+    assert by_row(after) == by_row(want) != by_row(before) and all(r["n_chars"] == len(r["text"]) for r in after)
+    ids = hub_ids("byte_bpe_50k.json", {i: r["text"] for i, r in enumerate(after)}, 0)
+    got = stage("packing")
+    lengths = Counter(n for x in ids.values() for n in [registry.CAPACITY] * ((len(x) - 1) // registry.CAPACITY) + [(len(x) - 1) % registry.CAPACITY + 1])
+    assert Counter(r["length"] for r in got) == lengths
+    room = []
+    for n in sorted(lengths.elements(), reverse=True):
+        fit = min((i for i, x in enumerate(room) if x >= n), key=lambda i: room[i], default=None)
+        if fit is None:
+            room.append(registry.CAPACITY - n)
+        else:
+            room[fit] -= n
+    filled = Counter()
+    for r in got:
+        filled[r["sequence_id"]] += r["length"]
+    assert sorted(registry.CAPACITY - n for n in filled.values()) == sorted(room)
+    assert {r["ids_crc32"] for r in got if r["piece"] == 0 and r["length"] < registry.CAPACITY} <= {zlib.crc32(x[: (len(x) - 1) % registry.CAPACITY + 1].tobytes()) for x in ids.values()}
 
 
 def test_pipeline_keeps_one_row_of_each_group(spark):

@@ -76,14 +76,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
-def append_columns(df: DataFrame, added: dict[str, str], start: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
+def append_columns(df: DataFrame, added: dict[str, str], start: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], drop: tuple[str, ...] = ()) -> DataFrame:
     """df with the columns `added` ({name: type}), whose arrays the function that start() gives makes of each short slice.
 
-    start runs once for each task. Columns of df with an added name, whatever its case, are replaced; what is
-    computed may still read them.
+    start runs once for each task. Columns of df with an added name, whatever its case, are replaced, those in
+    `drop` left out; what is computed may still read them.
     """
     ship(df.sparkSession)
-    taken = {c.lower() for c in added}
+    taken = {c.lower() for c in (*added, *drop)}
     kept = [f for f in df.schema.fields if f.name.lower() not in taken]
     names = [*(f.name for f in kept), *added]
 

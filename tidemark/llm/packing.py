@@ -124,9 +124,10 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
 
     pieces is read three times and must give the same rows each time, so a costly input should be cut first.
     Sequences are gapless from offset 0. Which of several pieces of one length goes where follows a hash
-    of their other columns; repeated rows are packed one by one. Null lengths fail the job.
+    of their columns, then the columns; repeated rows are packed one by one. Null lengths fail the job. Columns
+    named sequence_id or offset are replaced. A bucket of equal lengths, of about BUCKET_ROWS rows, is ranked in one task.
     """
-    spark = pieces.sparkSession
+    spark, pieces = pieces.sparkSession, pieces.drop("sequence_id", "offset")
     ship(spark)
     bucket, rank = fresh(pieces, "bucket", "rank")
     length = F.col(length_col)
@@ -138,7 +139,7 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
     dealt = pieces.withColumn(bucket, F.pmod(key, F.lit(buckets)).cast("int"))
     sums = dealt.groupBy(length, bucket).agg(F.count("*").alias("n"))
     base = sums.select(length.alias("_l"), F.col(bucket).alias("_b"), (F.sum("n").over(Window.partitionBy(length).orderBy(bucket)) - F.col("n")).alias("_base"))
-    ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(length, bucket).orderBy(key)) - 1).join(base, (length == F.col("_l")) & (F.col(bucket) == F.col("_b"))).withColumn(rank, F.col(rank) + F.col("_base")).drop("_l", "_b", "_base", bucket)
+    ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(length, bucket).orderBy(key, *pieces.columns)) - 1).join(base, (length == F.col("_l")) & (F.col(bucket) == F.col("_b"))).withColumn(rank, F.col(rank) + F.col("_base")).drop("_l", "_b", "_base", bucket)
     rows = np.array(sorted(plan(counts, capacity)), np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast(rows)  # its size is bounded by the capacity alone
     wide = 1 << 44
