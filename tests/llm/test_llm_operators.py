@@ -228,9 +228,9 @@ def valid(kind, value):
 
 
 def disclosing(texts):
-    """Brute force: the terms that disclose an entity by lines or by texts."""
+    """Brute force: the terms that disclose an entity."""
     out = set()
-    for contexts in ({x for t in texts for x in t.split("\n") if x}, {t for t in texts if t}):
+    for contexts in ({t for t in texts if t},):
         has, near, of = {}, {}, {}
         for c in contexts:
             for w in re.findall(r"[^\W_]+", c.lower()):

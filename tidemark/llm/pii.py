@@ -1,10 +1,10 @@
 """Personal data: base patterns, and terms that disclose the entities they stand for. DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Then, after information-theoretic
-sanitisation, terms are judged by what they tell about a protected entity (a base value): over the distinct lines
-of the corpus, and over its distinct texts, the pointwise mutual information of term and entity is compared with
-the information content of the entity. A term discloses an entity by either measure if it tells enough of it and
-if the entity is nearly always near where the term is named. Such terms are spans in every text that names them.
+sanitisation, terms are judged by what they tell about a protected entity (a base value): over the distinct texts
+of the corpus, the pointwise mutual information of term and entity, near each other, is compared with the
+information content of the entity. A term discloses an entity if it tells enough of it and if the entity is nearly
+always near where the term is named. Such terms are spans in every text that names them.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ KINDS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
-#: Shares that a disclosing term must reach: of the entity's information content that it tells, and of its own contexts that hold the entity near it.
+#: Shares that a disclosing term must reach: of the entity's information content that it tells, and of its own texts that hold the entity near it.
 DISCLOSURE, CERTAINTY = 0.9, 0.75
-#: Distinct lines, or texts, that must show a term near an entity. At 1, a word that a corpus has in one text alone, near an entity, discloses it.
+#: Distinct texts that must show a term near an entity. At 1, a word that a corpus has in one text alone, near an entity, discloses it.
 SUPPORT = 1
 #: Words between which a term is near an entity: windows of twice so many words, each beginning so many after the last.
 NEAR = 32
@@ -85,25 +85,39 @@ _KEEP = {
 
 def base_spans(text_col: str) -> Column:
     """All base spans of a text (null: none), by kind in the order of KINDS, then start; matches that fail their check are dropped."""
-    text, none = _name(text_col), f"cast(array() as {_SPAN})"
+    return F.expr(_base(_name(text_col)))
+
+
+def _base(text: str) -> str:
+    none = f"cast(array() as {_SPAN})"
     found = (f"if({f"contains({text}, '{mark}')" if mark else 'true'}, filter({located(text, pattern, kind)}, s -> {_KEEP[kind]}), {none})" for kind, (pattern, mark) in KINDS.items())
-    return F.expr(f"if({text} is null, {none}, concat({', '.join(found)}))")
+    return f"if({text} is null, {none}, concat({', '.join(found)}))"
 
 
 def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def words(text: Column) -> Column:
+def _words(text: str) -> str:
+    return f"array_distinct(regexp_extract_all(lower({text}), r'{_WORD}', 0))"
+
+
+def words(text_col: str) -> Column:
     """The distinct terms of a text, lower-cased."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
+    return F.expr(_words(_name(text_col)))
 
 
-def windows(text_col: str) -> Column:
-    """A text, lower-cased, as overlapping windows of 2 * NEAR stretches without white space: any NEAR + 1 neighbours are together in one."""
+def near_pairs(text_col: str) -> Column:
+    """The distinct pairs of entity and near term of a text, each as one string with \\u0001 between.
+
+    A text is read, lower-cased, as overlapping windows of 2 * NEAR stretches without white space: any NEAR + 1 neighbours
+    are together in one. An entity isn't a term of its own.
+    """
     starts = f"sequence(0, greatest(0, cast(ceil(size(ws) / {NEAR}) as int) - 2))"
-    cut = f"transform({starts}, i -> array_join(slice(ws, i * {NEAR} + 1, {2 * NEAR}), ' '))"
-    return F.expr(_bound(f"filter(split(lower({_name(text_col)}), r'{_SPACE}'), w -> w <> '')", "ws", cut))
+    windows = _bound(f"filter(split(lower({_name(text_col)}), r'{_SPACE}'), w -> w <> '')", "ws", f"transform({starts}, i -> array_join(slice(ws, i * {NEAR} + 1, {2 * NEAR}), ' '))")
+    entities = f"array_distinct(transform({_base('win')}, z -> z.value))"
+    pairs = _bound(entities, "es", _bound(_words("win"), "ts", r"flatten(transform(es, e -> transform(filter(ts, t -> not contains(t, e)), t -> concat(e, '\u0001', t))))"))
+    return F.expr(f"array_distinct(flatten(transform(filter({windows}, win -> win rlike '[0-9@]'), win -> {pairs})))")
 
 
 def _small(terms: DataFrame, size: Column) -> DataFrame:
@@ -112,53 +126,49 @@ def _small(terms: DataFrame, size: Column) -> DataFrame:
 
 
 def near_entities(holding: DataFrame) -> DataFrame:
-    """Of contexts with entities, holding (kind, line): (kind, entity, term, n_e, n_te, least).
+    """Of the distinct texts with entities, holding (line): (entity, term, n_e, n_te, least) where the term may disclose the entity.
 
-    n_e counts the distinct contexts of a kind that hold the entity, n_te those that also have the term near it, least
-    those of them all that have the term. Entities and terms are lower-cased. An entity isn't a term of its own.
+    n_e counts the texts that hold the entity near any term, n_te those that have the term near it, least those that have
+    the term anywhere: it is in no fewer of all. Entities and terms are lower-cased.
     """
-    seen = holding.select("kind", F.md5("line").alias("digest"), F.explode(windows("line")).alias("near")).distinct()
-    seen = seen.withColumn("entities", F.when(F.col("near").rlike("[0-9@]"), F.array_distinct(F.transform(base_spans("near"), lambda s: s["value"]))).otherwise(F.array().cast("array<string>")))
-    seen = durable(seen.withColumn("terms", words(F.col("near"))).drop("near"))
-    n_e = seen.select("kind", "digest", F.explode("entities").alias("entity")).distinct().groupBy("kind", "entity").agg(F.count("*").alias("n_e"))
-    near = seen.select("kind", "digest", F.explode("entities").alias("entity"), "terms").select("kind", "digest", "entity", F.explode("terms").alias("term"))
-    near = near.where(~F.contains("term", "entity")).distinct().groupBy("kind", "entity", "term").agg(F.count("*").alias("n_te"))
-    least = seen.select("kind", "digest", F.explode("terms").alias("term")).distinct().groupBy("kind", "term").agg(F.count("*").alias("least"))
-    return near.join(n_e.where(F.col("n_e") >= SUPPORT), ["kind", "entity"]).where(F.col("n_te") >= SUPPORT).join(least, ["kind", "term"])
+    pairs = durable(holding.select(near_pairs("line").alias("pairs")))
+    entities = pairs.select(F.explode(F.array_distinct(F.transform("pairs", lambda p: F.split_part(p, F.lit("\u0001"), F.lit(1))))).alias("entity"))
+    n_e = durable(entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT))
+    least = durable(holding.select(F.explode(words("line")).alias("term")).groupBy("term").agg(F.count("*").alias("least")))
+    part = lambda i: F.split_part("pair", F.lit("\u0001"), F.lit(i))
+    near = pairs.select(F.explode("pairs").alias("pair")).select(part(1).alias("entity"), part(2).alias("term"))
+    near = near.join(_small(n_e, F.octet_length("entity")), "entity").join(_small(least, F.octet_length("term")), "term")
+    near = near.where(F.col("n_e") >= CERTAINTY * F.col("least")).groupBy("entity", "term", "n_e", "least").agg(F.count("*").alias("n_te"))
+    return near.where((F.col("n_te") >= SUPPORT) & (F.col("n_te") >= CERTAINTY * F.col("least")))
 
 
 def discloses(n: Column, n_e: Column, n_t: Column, n_te: Column) -> Column:
-    """Of n contexts n_e hold an entity, n_t a term, n_te both, near each other: whether the term discloses the entity.
+    """Of n texts n_e hold an entity, n_t a term, n_te both, near each other: whether the term discloses the entity.
 
-    It tells log(p(t, e) / (p(t) p(e))) of -log p(e). An entity of all contexts can't be told apart.
+    It tells log(p(t, e) / (p(t) p(e))) of -log p(e). An entity of all texts can't be told apart.
     """
     told = F.log(n * n_te / (n_t * n_e)) / F.log(n / n_e)
     return (n_te >= SUPPORT) & (n_e < n) & (n_te >= CERTAINTY * n_t) & F.coalesce(told >= DISCLOSURE, F.lit(False))
 
 
-def disclosing_terms(texts: DataFrame, holding: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(kind, entity, term, n, n_e, n_t, n_te) of disclosing terms, and (text_key, term), the texts that name terms that may disclose.
+def text_key(text_col: str) -> Column:
+    return F.unhex(F.md5(text_col))
+
+
+def disclosing_terms(texts: DataFrame, holding: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, n, n_e, n_t, n_te) of disclosing terms, and (text_key, term), the texts that name terms that may disclose.
 
-    texts (line): all texts, not empty, repeats included; holding (line): the distinct ones with an entity. Contexts are the
-    distinct lines, kind 0, and the distinct texts, kind 1. The second table is None if there is nothing that may disclose.
+    texts (line): all texts, not empty, repeats included; holding (line): the distinct ones with an entity.
     """
-    line = F.col("line")
-    split = lambda df: df.select(F.explode(F.split(line, "\n")).alias("line")).where(F.length("line") > 0)
-    own = split(holding).where(line.rlike("[0-9@]")).distinct()
-    pairs = near_entities(own.select(F.lit(0).alias("kind"), "line").union(holding.select(F.lit(1).alias("kind"), "line")))
-    pairs = durable(pairs.where(F.col("n_te") >= CERTAINTY * F.col("least")))  # a term is in no fewer contexts than in those with entities
-    none = pairs.select("kind", "entity", "term", F.lit(0).cast("bigint").alias("n"), "n_e", F.col("least").alias("n_t"), "n_te").limit(0)
-    if pairs.isEmpty():
-        return none, None
-    told = _small(durable(pairs.select("term").distinct()), F.octet_length("term"))
-    rows = texts.select(F.md5("line").alias("text_key"), F.explode(F.split("line", "\n")).alias("line")).select("text_key", F.xxhash64("line").alias("line_key"), F.explode(words(line)).alias("term"))
-    named = durable(rows.join(told, "term", "left_semi").distinct())
-    n_t = named.select(F.lit(0).alias("kind"), "line_key", "term").distinct().groupBy("kind", "term").agg(F.count("*").alias("n_t"))
-    n_t = n_t.union(named.select(F.lit(1).alias("kind"), "text_key", "term").distinct().groupBy("kind", "term").agg(F.count("*").alias("n_t")))
-    count = lambda df, kind: df.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).distinct().agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
-    n = count(split(texts), 0).union(count(texts, 1))
-    judged = pairs.join(n_t, ["kind", "term"]).join(F.broadcast(n), "kind")  # n has two rows
-    return judged.where(discloses(F.col("n"), F.col("n_e"), F.col("n_t"), F.col("n_te"))).select(none.columns), named.select("text_key", "term").distinct()
+    pairs = durable(near_entities(holding))
+    terms = durable(pairs.select("term").distinct())
+    rows = texts.select(text_key("line").alias("text_key"), F.explode(words("line")).alias("term"))
+    named = durable(rows.join(_small(terms, F.octet_length("term")), "term", "left_semi").distinct())
+    n_t = named.groupBy("term").agg(F.count("*").alias("n_t"))
+    n = texts.select(text_key("line").alias("text_key")).distinct().agg(F.count("*").alias("n"))
+    judged = pairs.join(n_t, "term").crossJoin(F.broadcast(n))  # one row
+    judged = judged.where(discloses(F.col("n"), F.col("n_e"), F.col("n_t"), F.col("n_te")))
+    return judged.select("entity", "term", "n", "n_e", "n_t", "n_te"), named.select("text_key", "term")
 
 
 def term_spans(texts: DataFrame) -> DataFrame:
@@ -181,27 +191,24 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", base_col: str =
     an entity of the corpus, kind `term`, where no base span overlaps them, whether or not the text holds the entity.
 
     Positions are code points, end exclusive. Null and empty texts have none. Repeated rows and null ids stay,
-    and all other columns; columns named as the two results are replaced. Terms are counted over all lines and over
-    all texts; equal lines, and equal texts, count once.
+    and all other columns; columns named as the two results are replaced. Terms are counted over all texts; equal
+    texts count once.
     """
     key, found = fresh(docs, "text_key", "found")
     text = F.col(text_col)
     every = docs.select(text.alias("line")).where(F.length("line") > 0)
-    holding = durable(every.where(F.col("line").rlike("[0-9@]")).withColumn("base_spans", base_spans("line")).where(F.size("base_spans") > 0).groupBy("line").agg(F.first("base_spans").alias("base_spans")))
+    holding = durable(every.where(F.col("line").rlike("[0-9@]")).where(F.size(base_spans("line")) > 0).distinct())
     rows = docs.withColumn(base_col, base_spans(text_col))
-    told, named = disclosing_terms(every, holding.select("line"))
-    plain = rows.withColumn(spans_col, F.col(base_col))
-    if named is None:
-        return plain
+    told, named = disclosing_terms(every, holding)
     terms = durable(told.select("term").distinct())
     if terms.isEmpty():
-        return plain
+        return rows.withColumn(spans_col, F.col(base_col))
     by_text = durable(named.join(_small(terms, F.octet_length("term")), "term", "left_semi").groupBy("text_key").agg(F.collect_set("term").alias("terms")))
-    marked = every.select(F.md5("line").alias("text_key"), "line").join(_small(by_text.select("text_key"), F.lit(32)), "text_key", "left_semi").dropDuplicates(["text_key"])
+    marked = every.select(text_key("line").alias("text_key"), "line").join(_small(by_text.select("text_key"), F.lit(32)), "text_key", "left_semi").dropDuplicates(["text_key"])
     marked = durable(marked.withColumn("base_spans", base_spans("line")).join(by_text, "text_key"))
     more = durable(term_spans(marked)).select(F.col("text_key").alias(key), F.col("found").alias(found))
     size = 64 * F.size(found) + F.lit(64)
-    joined = rows.join(_small(more, size), F.md5(text) == F.col(key), "left")
+    joined = rows.join(_small(more, size), text_key(text_col) == F.col(key), "left")
     return joined.withColumn(spans_col, F.when(F.col(found).isNull(), F.col(base_col)).otherwise(F.concat(base_col, found))).drop(key, found)
 
 
