@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar, geometry, text
-from tidemark.operators import incremental, queues, rules, select, timeline
+from tidemark.operators import incremental, queues, rules, select, series, timeline
 from tidemark.sources import manifest
 from tidemark.streaming import sync
 
@@ -124,3 +124,60 @@ def test_stream_upserts_once(spark, tmp_path):
     run()
     found = {tuple(r) for r in sync.current(spark, at["target"], schema).collect()}
     assert found == {(1, "a", "2"), (2, "b", "1"), (3, "c", "2")}
+
+
+def test_lost_checkpoint_goes_on(spark, tmp_path):
+    schema = "id bigint, name string, updated string"
+    at = {k: str(tmp_path / k) for k in ("landing", "target", "one", "two")}
+    run = lambda c: sync.sync_files(spark, at["landing"], schema, at["target"], at[c], "id", "updated")
+    spark.createDataFrame([(1, "a", "1")], schema).coalesce(1).write.parquet(at["landing"])
+    run("one")
+    spark.createDataFrame([(2, "b", "2")], schema).coalesce(1).write.mode("append").parquet(at["landing"])
+    run("two")
+    assert {r["id"] for r in sync.current(spark, at["target"], schema).collect()} == {1, 2} and sync.versions(spark, at["target"]) == [0, 1]
+
+
+def test_refresh_keeps_the_old_table_on_failure(spark, tmp_path):
+    folder, schema = str(tmp_path), manifest.SCHEMAS["selection"]
+    row = lambda i: spark.createDataFrame([(i, "b", 0, 0, "t")], schema)
+    manifest.refresh(spark, folder, "selection", row("1"), manifest.not_empty)
+    with pytest.raises(ValueError):
+        manifest.refresh(spark, folder, "selection", row("2").where("false"), manifest.not_empty)
+    with pytest.raises(Exception):
+        manifest.refresh(spark, folder, "selection", row("2").withColumn("bucket", F.raise_error(F.lit("bad"))))
+    assert [r["asset_id"] for r in manifest.read_table(spark, folder, "selection").collect()] == ["1"]
+    manifest.refresh(spark, folder, "selection", manifest.read_table(spark, folder, "selection").union(row("3")), manifest.not_empty)
+    assert {r["asset_id"] for r in manifest.read_table(spark, folder, "selection").collect()} == {"1", "3"}
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "a.jpg").write_bytes(b"xyz")
+    (tmp_path / "b.txt").write_bytes(b"")
+    assert [(r["bytes"], bytes(r["content"])) for r in manifest.files(spark, str(tmp_path), "*.jpg").collect()] == [(3, b"xyz")]
+
+
+@pytest.mark.parametrize("code,want", [("en", "3 years, 5 months"), ("de", "3 Jahre, 5 Monate"), ("fr", "3 ans, 5 mois"), ("es", "3 años y 5 meses"), ("it", "3 anni e 5 mesi")])
+def test_ages_and_short_months(spark, code, want):
+    d = lambda x: F.lit(x).cast("date")
+    assert one(spark, calendar.age_text(d("2020-03-14"), d("2023-08-27"), "year_months", code)) == want
+    short = one(spark, calendar.format_date(d("2023-07-05"), "MMM", code))
+    assert short == {"en": "Jul", "de": "Jul", "fr": "juil.", "es": "jul", "it": "lug"}[code]
+
+
+def test_percentiles_with_ties_and_gaps(spark):
+    rows = [("a", float(v)) for v in [1] * 700 + list(range(300))] + [("b", 5.0), ("c", None), ("d", float("nan")), (None, 1.0), (None, 2.0)]
+    found = {r["g"]: (r["p0"], r["p1"], r["p2"]) for r in series.percentiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", 0.05, 0.5, 0.95, ranges=7).collect()}
+    values = sorted(v for g, v in rows if g == "a")
+
+    def exact(share):
+        at = (len(values) - 1) * share
+        low = int(at)
+        return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (at - low)
+
+    assert found.keys() == {"a", "b", None} and found["b"] == (5.0, 5.0, 5.0) and found[None] == pytest.approx((1.05, 1.5, 1.95))
+    assert found["a"] == pytest.approx(tuple(exact(s) for s in (0.05, 0.5, 0.95)))
+
+
+def test_scores_over_looks(spark):
+    looks = spark.createDataFrame([("i", {"x": 0.4}), ("i", {"x": 0.6, "y": 0.9}), ("i", {"y": 0.5})], "item string, scores map<string,double>")
+    assert {(r["name"], r["median"]) for r in series.combine_scores(looks, "item", "scores").collect()} == {("x", 0.4), ("y", 0.5)}

@@ -47,14 +47,34 @@ def bucket(when: Column, cadence: str, birth: Column | None = None) -> Column:
     return F.date_format(when, {"day": "yyyy-MM-dd", "month": "yyyy-MM", "all": "yyyy-MM-dd'T'HH:mm:ss"}[cadence])
 
 
-#: Month names; thousands separator; one and many of day, month, year.
+#: Names of months, long and short; thousands separator; what joins years and months; one and many of day, month, year.
 LANGUAGES = {
-    "en": {"months": "January February March April May June July August September October November December", "group": ",", "day": ("day", "days"), "month": ("month", "months"), "year": ("year", "years")},
-    "de": {"months": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember", "group": ".", "day": ("Tag", "Tage"), "month": ("Monat", "Monate"), "year": ("Jahr", "Jahre")},
-    "fr": {"months": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre", "group": " ", "day": ("jour", "jours"), "month": ("mois", "mois"), "year": ("an", "ans")},
-    "es": {"months": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre", "group": ".", "day": ("día", "días"), "month": ("mes", "meses"), "year": ("año", "años")},
-    "it": {"months": "gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre", "group": ".", "day": ("giorno", "giorni"), "month": ("mese", "mesi"), "year": ("anno", "anni")},
-}
+    "en": {
+        "months": ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"),
+        "short": ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"),
+        "group": ",", "join": ", ", "day": ("day", "days"), "month": ("month", "months"), "year": ("year", "years"),
+    },
+    "de": {
+        "months": ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"),
+        "short": ("Jan", "Feb", "Mär", "Apr", "Mai", "Jun", "Jul", "Aug", "Sep", "Okt", "Nov", "Dez"),
+        "group": ".", "join": ", ", "day": ("Tag", "Tage"), "month": ("Monat", "Monate"), "year": ("Jahr", "Jahre"),
+    },
+    "fr": {
+        "months": ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
+        "short": ("janv.", "févr.", "mars", "avr.", "mai", "juin", "juil.", "août", "sept.", "oct.", "nov.", "déc."),
+        "group": " ", "join": ", ", "day": ("jour", "jours"), "month": ("mois", "mois"), "year": ("an", "ans"),
+    },
+    "es": {
+        "months": ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"),
+        "short": ("ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sep", "oct", "nov", "dic"),
+        "group": ".", "join": " y ", "day": ("día", "días"), "month": ("mes", "meses"), "year": ("año", "años"),
+    },
+    "it": {
+        "months": ("gennaio", "febbraio", "marzo", "aprile", "maggio", "giugno", "luglio", "agosto", "settembre", "ottobre", "novembre", "dicembre"),
+        "short": ("gen", "feb", "mar", "apr", "mag", "giu", "lug", "ago", "set", "ott", "nov", "dic"),
+        "group": ".", "join": " e ", "day": ("giorno", "giorni"), "month": ("mese", "mesi"), "year": ("anno", "anni"),
+    },
+}
 
 
 def language(code: str) -> dict:
@@ -65,9 +85,8 @@ def language(code: str) -> dict:
 
 def format_date(when: Column, pattern: str, code: str) -> Column:
     """A date by the tokens YYYY YY MMMM MMM MM DD D; all else is copied. The pattern is read once, on the driver."""
-    names = language(code)["months"].split()
-    month = lambda short: F.element_at(F.array(*(F.lit(n[:3] if short else n) for n in names)), F.month(when))
-    tokens = {"YYYY": lambda: F.lpad(F.year(when).cast("string"), 4, "0"), "YY": lambda: F.lpad((F.year(when) % 100).cast("string"), 2, "0"), "MMMM": lambda: month(False), "MMM": lambda: month(True), "MM": lambda: F.lpad(F.month(when).cast("string"), 2, "0"), "DD": lambda: F.lpad(F.dayofmonth(when).cast("string"), 2, "0"), "D": lambda: F.dayofmonth(when).cast("string")}
+    month = lambda names: F.element_at(F.array(*map(F.lit, language(code)[names])), F.month(when))
+    tokens = {"YYYY": lambda: F.lpad(F.year(when).cast("string"), 4, "0"), "YY": lambda: F.lpad((F.year(when) % 100).cast("string"), 2, "0"), "MMMM": lambda: month("months"), "MMM": lambda: month("short"), "MM": lambda: F.lpad(F.month(when).cast("string"), 2, "0"), "DD": lambda: F.lpad(F.dayofmonth(when).cast("string"), 2, "0"), "D": lambda: F.dayofmonth(when).cast("string")}
     parts = [x for x in re.split(r"(YYYY|YY|MMMM|MMM|MM|DD|D)", pattern) if x]
     return F.concat(*(tokens[x]() if x in tokens else F.lit(x) for x in parts))
 
@@ -91,13 +110,18 @@ def age_text(birth: Column, when: Column, granularity: str, code: str) -> Column
         told = F.when(months < 1, in_days).otherwise(counted(months, "month", code))
     elif granularity == "year_months":
         years, rest = F.floor(months / 12), F.pmod(months, F.lit(12))
-        parts = F.concat_ws(", ", F.when(years > 0, counted(years, "year", code)), F.when(rest > 0, counted(rest, "month", code)))
+        parts = F.concat_ws(language(code)["join"], F.when(years > 0, counted(years, "year", code)), F.when(rest > 0, counted(rest, "month", code)))
         told = F.when(months < 1, in_days).otherwise(parts)
     else:
         raise ValueError(f"unknown granularity {granularity!r}")
     return F.when(days < 0, "").otherwise(told)
 
 
+def date_prefix(text: Column) -> Column:
+    """The date that a time as text begins with; empty for none."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, 10)
+
+
 def iso_z(when: Column) -> Column:
     """A UTC time as text with literal zero milliseconds."""
     return F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'.000Z'")

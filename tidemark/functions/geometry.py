@@ -116,3 +116,38 @@ def gaze(corners: list[tuple[Point, Point]], irises: tuple[Point, Point]) -> tup
         down.append(-2 * (F.when(near, irises[0].y).otherwise(irises[1].y) - my) / usable)
     mean = lambda xs: F.coalesce(F.try_divide(reduce(lambda p, q: p + q, (F.coalesce(x, F.lit(0.0)) for x in xs)), reduce(lambda p, q: p + q, (x.isNotNull().cast("int") for x in xs))), F.lit(0.0))
     return mean(across), mean(down)
+
+
+def blink(shapes: Column) -> tuple[Column, Column]:
+    """How far the left and the right eye are closed, by a map of expression scores; 0 for what it lacks."""
+    score = lambda name: F.coalesce(F.try_element_at(shapes, F.lit(name)), F.lit(0.0))
+    return score("eyeBlinkLeft"), score("eyeBlinkRight")
+
+
+def left_to_right(a: Point, b: Point) -> tuple[Point, Point]:
+    """Two points in the picture's order, whatever they are called."""
+    first = a.x <= b.x
+    pick = lambda p, q: Point(F.when(first, p.x).otherwise(q.x), F.when(first, p.y).otherwise(q.y))
+    return pick(a, b), pick(b, a)
+
+
+def gray(blue: Column, green: Column, red: Column) -> Column:
+    """Brightness of a pixel; fixed weights."""
+    return 0.114 * blue + 0.587 * green + 0.299 * red
+
+
+def rotated(p: Point, degrees: Column, width: Column, height: Column) -> Point:
+    """A point of a picture that is turned about its middle."""
+    c, s, cx, cy = F.cos(F.radians(degrees)), F.sin(F.radians(degrees)), width / 2, height / 2
+    return Point(cx + c * (p.x - cx) + s * (p.y - cy), cy - s * (p.x - cx) + c * (p.y - cy))
+
+
+def unrotated(p: Point, degrees: Column, width: Column, height: Column) -> Point:
+    """Where a point of the turned picture was before."""
+    return rotated(p, -degrees, width, height)
+
+
+def large_enough(box: list[Column], least: int = 16) -> Column:
+    """Whether a crop has pixels enough to look at."""
+    x1, y1, x2, y2 = box
+    return (x2 - x1 >= least) & (y2 - y1 >= least)

@@ -60,3 +60,9 @@ def fingerprint(items: Column, settings: Column) -> Column:
     """SHA-256 of ordered items and of settings (a map) whatever their order."""
     ordered = F.map_from_entries(F.array_sort(F.map_entries(settings)))
     return F.sha2(F.concat(F.to_json(items), F.lit("|"), F.to_json(ordered)), 256)
+
+
+def asset_path(asset_id: Column, rendition: Column) -> tuple[Column, Column]:
+    """Path and size of a rendition: the original has no size, any other is a thumbnail of that size."""
+    original = F.coalesce(rendition == "original", F.lit(False))
+    return F.concat(F.lit("/assets/"), asset_id, F.when(original, "/original").otherwise("/thumbnail")), F.when(~original, rendition)

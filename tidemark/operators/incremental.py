@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.calendar import watermark_for
+
 
 def resolve_watermark(stored: str | None, since: str | None = None, full: bool = False) -> tuple[str | None, str]:
     """The watermark to use and where it is from: full before since before stored; a first run is full."""
@@ -52,5 +54,31 @@ def drifted(stored: Column, current: Column, new: Column) -> Column:
     return F.coalesce(current - stored > new, F.lit(False))
 
 
+RUNNING, OK, FAILED = "running", "ok", "failed"
+
+
+def start_runs(runs: DataFrame, started: DataFrame) -> DataFrame:
+    """runs with started (id, person_id, started_at, watermark_used, watermark_source) as running ones."""
+    return runs.unionByName(started.withColumn("status", F.lit(RUNNING)), allowMissingColumns=True)
+
+
+def close_runs(runs: DataFrame, ended: DataFrame) -> DataFrame:
+    """runs with those of ended (id, finished_at, assets_indexed; null for a failure) closed as ok or failed."""
+    e = ended.select(F.col("id"), F.col("finished_at").alias("_at"), F.col("assets_indexed").alias("_n"), F.lit(True).alias("_ended"))
+    both = runs.join(e, "id", "left")
+    status = F.when(F.col("_ended"), F.when(F.col("_n").isNotNull(), OK).otherwise(FAILED)).otherwise(F.col("status"))
+    return both.withColumn("status", status).withColumn("finished_at", F.coalesce("_at", "finished_at")).withColumn("assets_indexed", F.coalesce("_n", "assets_indexed")).select(runs.columns)
+
+
+def commit_watermarks(state: DataFrame, runs: DataFrame, skew_seconds: int = 60) -> DataFrame:
+    """sync_state after runs: the newest successful run of a person moves its watermark to a little before its start; failures leave it.
+
+    state (person_id, watermark, person_assets, last_run_at); runs also has person_assets. Write both tables anew and swap them together.
+    """
+    ok = newest(runs.where(F.col("status") == OK), "person_id", F.desc("started_at"), F.desc("id"))
+    moved = ok.select("person_id", watermark_for(F.col("started_at"), skew_seconds).alias("watermark"), "person_assets", F.col("finished_at").alias("last_run_at"))
+    return upsert(state, moved, "person_id")
+
+
 def latest_runs(runs: DataFrame, n: int = 5) -> DataFrame:
     return runs.orderBy(F.desc("id")).limit(n)

@@ -53,3 +53,25 @@ def projected(timings: DataFrame) -> DataFrame:
     """timings (name, processed, elapsed, remaining) with per_item and projected seconds, 0 where nothing was processed."""
     per = F.coalesce(F.try_divide("elapsed", "processed"), F.lit(0.0))
     return timings.withColumn("per_item", per).withColumn("projected", per * F.col("remaining"))
+
+
+def of_source(df: DataFrame, source: str | None, col: str = "source") -> DataFrame:
+    """The rows of one source, or all without one."""
+    return df if source is None else df.where(F.col(col) == source)
+
+
+def stored_bytes(downloads: DataFrame, col: str = "bytes") -> DataFrame:
+    """One row (bytes): how much is stored, 0 for nothing."""
+    return downloads.agg(F.coalesce(F.sum(col), F.lit(0)).cast("bigint").alias("bytes"))
+
+
+def one_of_source(assets: DataFrame, faces: DataFrame, source: str, on: str = "asset_id") -> DataFrame:
+    """The first asset of a source with a usable face."""
+    ok = faces.where(F.col("status") == "ok").select(on)
+    return of_source(assets, source).join(ok, on, "left_semi").orderBy(on).limit(1)
+
+
+def with_totals(timings: DataFrame) -> DataFrame:
+    """projected timings and a row `total` that adds them up."""
+    sums = timings.agg(F.lit("total").alias("name"), *(F.sum(c).alias(c) for c in timings.columns if c not in ("name", "per_item")), F.try_divide(F.sum("elapsed"), F.max("processed")).alias("per_item"))
+    return timings.unionByName(sums)

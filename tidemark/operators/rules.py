@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """fields are compared with the limit named key by op: flag, gt, lt, abs_gt or max_gt."""
+    """The fields are compared by op (flag, gt, lt, abs_gt or max_gt) with the limit of this name."""
 
     reason: str
     op: str
     fields: tuple[str, ...]
-    key: str
+    limit: str
 
 
 UNDETECTED, MANUAL, ACCEPTED = "no_face_detected", "manual", "accepted"
@@ -50,7 +50,7 @@ def measure(name: str) -> Column:
 
 def violates(rule: Rule, limits: dict) -> Column:
     """True where the rule is broken. Comparisons are strict; a missing value or limit breaks nothing, but a flag without a limit isn't allowed."""
-    limit = limits.get(rule.key)
+    limit = limits.get(rule.limit)
     if rule.op == "flag":
         return F.lit(False) if limit else F.coalesce(F.col(rule.fields[0]).cast("boolean"), F.lit(False))
     tests = {
@@ -114,14 +114,33 @@ def composite_score(limits: dict, weights: dict) -> Column:
     return reduce(lambda a, b: a + b, (parts[k] * F.lit(float(weights.get(k, 0.0))) for k in parts)) / F.lit(float(total))
 
 
-def apply_filters(df: DataFrame, limits: dict = LIMITS, weights: dict = WEIGHTS, manual: DataFrame | None = None, id_col: str = "asset_id") -> DataFrame:
-    """df with reject_reason and score; rejected rows have no score. manual: a table of ids rejected by hand."""
+def apply_filters(df: DataFrame, limits: dict = LIMITS, weights: dict = WEIGHTS, manual: DataFrame | None = None, id_col: str = "asset_id", stamp: Column | None = None) -> DataFrame:
+    """df with reject_reason and score; rejected rows have no score. manual: a table of ids rejected by hand.
+
+    stamp becomes filtered_at, one for the whole pass.
+    """
     reason = reject_reason(limits)
     if manual is not None:
         df = df.join(manual.select(id_col).distinct().withColumn("_manual", F.lit(True)), id_col, "left")
         reason = with_manual(reason, F.coalesce("_manual", F.lit(False)))
     out = df.withColumn("reject_reason", reason).withColumn("score", F.when(F.col("reject_reason").isNull(), composite_score(limits, weights)))
-    return out.drop("_manual")
+    return (out if stamp is None else out.withColumn("filtered_at", stamp)).drop("_manual")
+
+
+ERROR = "error:"
+
+
+def with_errors(df: DataFrame, error_col: str) -> DataFrame:
+    """df whose rows with an error (its type as text) count as undetected and rejected by it instead of stopping the rest."""
+    bad = F.col(error_col).isNotNull()
+    return df.withColumn("detected", F.when(bad, 0).otherwise(F.col("detected"))).withColumn("reject_reason", F.when(bad, F.concat(F.lit(ERROR), error_col)).otherwise(F.col("reject_reason")))
+
+
+def report_state(metrics: DataFrame) -> DataFrame:
+    """One row (analyzed, evaluated, state): `nothing analyzed`, `not evaluated` if no row was ever filtered, else `evaluated`."""
+    seen = metrics.agg(F.count("*").alias("analyzed"), F.count("filtered_at").alias("evaluated"))
+    state = F.when(F.col("analyzed") == 0, "nothing analyzed").when(F.col("evaluated") == 0, "not evaluated").otherwise("evaluated")
+    return seen.withColumn("state", state)
 
 
 def reason_shares(df: DataFrame) -> DataFrame:

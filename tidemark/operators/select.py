@@ -52,6 +52,28 @@ def sampled_gallery(df: DataFrame, group_col: str, order_col: str, limit: int) -
     return shown.join(sizes, F.col(group_col).eqNullSafe(F.col("_g"))).drop("_g")
 
 
+def largest_of(children: DataFrame, parent: str, detections: str, person: str) -> DataFrame:
+    """Of each row's array of detections those of a person, the largest of them (ties: the first) and how many there are.
+
+    A detection is a struct of x1, y1, x2, y2 and person (id, name), null for strangers. No row is exploded.
+    """
+    own = F.filter(detections, lambda d: F.coalesce(d["person"]["id"] == person, F.lit(False)))
+    sized = F.transform(own, lambda d, i: F.struct(((d["x2"] - d["x1"]) * (d["y2"] - d["y1"])).alias("size"), (-i).alias("place"), d.alias("box")))
+    return children.select(parent, F.size(own).alias("n_candidates"), F.array_max(sized)["box"].alias("box"))
+
+
+def picked_frames(frames: DataFrame, assets: DataFrame, selection: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """Frames of picks, with their assets' times: runners-up, and ids rejected by hand, are left out."""
+    picks = selection.where("alternate = 0").select("asset_id")
+    out = frames.join(assets, "asset_id").join(picks, "asset_id", "left_semi")
+    return out if rejected is None else out.join(rejected.select("asset_id"), "asset_id", "left_anti")
+
+
+def sheet(frames: DataFrame, assets: DataFrame, selection: DataFrame) -> DataFrame:
+    """Frames with asset and place in their bucket, all candidates: what a contact sheet shows."""
+    return frames.join(assets, "asset_id").join(selection.select("asset_id", "bucket", "rank", "alternate"), "asset_id")
+
+
 def pick_largest(children: DataFrame, parent: str, size: Column, *ties: str) -> DataFrame:
     """For each parent the child of the largest size (ties: smallest of the tie columns) and how many there are."""
     by = [size.alias("size"), *((-F.col(t)).alias(t) for t in ties)]

@@ -38,6 +38,54 @@ def combine_looks(looks: DataFrame, item: str, values: str) -> DataFrame:
     return looks.select(item, F.posexplode(values).alias("pos", "v")).groupBy(item, "pos").agg(F.percentile("v", F.lit(0.5)).alias("median"))
 
 
+def combine_scores(looks: DataFrame, item: str, scores: str) -> DataFrame:
+    """(item, name, median): the median over an item's looks of each named score of their maps; a look without a name counts as 0."""
+    n = looks.groupBy(item).agg(F.count("*").alias("_n"))
+    named = looks.select(item, F.explode(scores).alias("name", "v")).groupBy(item, "name").agg(F.array_sort(F.collect_list(F.coalesce("v", F.lit(0.0)))).alias("_v"))
+    # an item has few looks: its scores of a name, and zeros for the others, in order
+    filled = F.array_sort(F.concat("_v", F.array_repeat(F.lit(0.0), (F.col("_n") - F.size("_v")).cast("int"))))
+    middle = (F.get("_f", F.floor((F.size("_f") - 1) / 2).cast("int")) + F.get("_f", F.floor(F.size("_f") / 2).cast("int"))) / 2
+    return named.join(n, item).withColumn("_f", filled).select(item, "name", middle.alias("median"))
+
+
+def combine_angles(looks: DataFrame, item: str, *axes: str) -> DataFrame:
+    """(item, axes): the median of each angle over the looks that have a pose; angles, not matrices, are combined."""
+    return looks.groupBy(item).agg(*(F.percentile(a, F.lit(0.5)).alias(a) for a in axes))
+
+
+def percentiles(df: DataFrame, group: str, value: str, *shares: float, ranges: int = 256) -> DataFrame:
+    """(group, p0, p1, ...): exact percentiles of value in each group, linear between neighbours, for groups of any size.
+
+    Values are counted in ranges of equal width first, so that a task only orders the values of the ranges that hold
+    a rank in question. NaN and null don't count.
+    """
+    seen = df.select(F.col(group).alias("_g"), F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("_v")).where("_v is not null")
+    span = seen.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    placed = seen.join(span, seen["_g"].eqNullSafe(span["_g"])).drop(span["_g"])
+    width = F.col("_hi") - F.col("_lo")
+    placed = placed.withColumn("_r", F.when(width > 0, F.least(F.lit(ranges - 1), F.floor((F.col("_v") - F.col("_lo")) / width * ranges))).otherwise(0).cast("int"))
+    counts = placed.groupBy("_g", "_r", "_n").agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy("_g").orderBy("_r")) - F.col("_c"))  # at most `ranges` rows a group
+    wanted = [(F.col("_n") - 1) * s for s in shares]
+    hold = [((w >= F.col("_before") - 1) & (w < F.col("_before") + F.col("_c"))) for w in wanted]
+    needed = hold[0]
+    for h in hold[1:]:
+        needed |= h
+    needed = counts.where(needed).select(F.col("_g").alias("_k"), F.col("_r").alias("_q"), "_before")
+    kept = placed.join(F.broadcast(needed), F.col("_g").eqNullSafe(F.col("_k")) & (F.col("_r") == F.col("_q")))  # a few rows a group and share
+    # equal values go together, so that a value held by a third of all rows is one row
+    kept = kept.groupBy("_g", "_r", "_n", "_before", "_v").agg(F.count("*").alias("_c"))
+    end = F.col("_before") + F.sum("_c").over(Window.partitionBy("_g", "_r").orderBy("_v"))
+    kept = kept.withColumn("_end", end).withColumn("_start", end - F.col("_c"))
+    at = lambda rank: F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")), F.col("_v")))
+    parts = []
+    for i, w in enumerate(wanted):
+        parts += [at(F.floor(w)).alias(f"_a{i}"), at(F.ceil(w)).alias(f"_b{i}")]
+    found = kept.groupBy("_g", "_n").agg(*parts)
+    mix = lambda i, w: F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (w - F.floor(w))
+    return found.select(F.col("_g").alias(group), *(mix(i, w).alias(f"p{i}") for i, w in enumerate(wanted)))
+
+
 def fit_report(df: DataFrame, fits: Column, distance: Column) -> DataFrame:
     """One row (clipped, unjudged, suggestion): faces that don't fit, faces without spans, the least distance that fits all, cut to two decimals."""
     return df.agg(F.count_if(~fits).alias("clipped"), F.count_if(fits.isNull()).alias("unjudged"), (F.floor(F.min(F.when(fits.isNotNull(), distance)) * 100) / 100).alias("suggestion"))

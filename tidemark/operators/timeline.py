@@ -15,6 +15,19 @@ def moving_seconds(fps: float, transition_seconds: float) -> float:
     return max(0.0, min(float(transition_seconds), 1.0 / fps))
 
 
+def dissolve_bounds(fraction: Column) -> tuple[Column, Column]:
+    """Between which marks of 0 to 255 two frames blend, if they do for a share of a slot, about its middle; half to even."""
+    reach = 127.5 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction))
+    return F.bround(127.5 - reach, 0).cast("int"), F.bround(127.5 + reach, 0).cast("int")
+
+
+def footer_offset(fps: Column, transition: Column, transition_seconds: Column) -> Column:
+    """How long the first footer stays, so that later ones change in the middle of a transition."""
+    hold = 1.0 / fps
+    moving = F.greatest(F.lit(0.0), F.least(transition_seconds, hold))
+    return F.when(transition == "morph", hold - moving / 2).otherwise(hold / 2)
+
+
 def concat_entries(frames: DataFrame, fps: float, transition: str, transition_seconds: float) -> DataFrame:
     """frames as entries (part, duration): one each, or for morph a still and a moving one where there is a still part."""
     if transition not in TRANSITIONS:

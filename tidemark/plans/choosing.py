@@ -96,24 +96,46 @@ def bucket_birthday_month(spark, sf_dir):
     return lived(spark, sf_dir).select("o_orderkey", calendar.bucket(F.col("w"), "birthday-month", F.col("birth")).alias("bucket"))
 
 
+_CODES = tuple(calendar.LANGUAGES)
 _BORN = "p AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS w, DATE '1996-02-29' AS birth FROM orders)"
 
 
+def _in_languages(of) -> str:
+    """SQL that tells a language by the order's key."""
+    return "CASE o_orderkey % 5 " + " ".join(f"WHEN {i} THEN {of(calendar.LANGUAGES[c])}" for i, c in enumerate(_CODES)) + " END"
+
+
+def _counted_sql(n: str, unit: str) -> str:
+    return _in_languages(lambda x: f"concat(replace(format('{{:,}}', {n}), ',', '{x['group']}'), ' ', CASE WHEN {n} = 1 THEN '{x[unit][0]}' ELSE '{x[unit][1]}' END)")
+
+
+def _by_language(column) -> F.Column:
+    told = [column(c) for c in _CODES]
+    return F.element_at(F.array(*told), (F.col("o_orderkey") % 5 + 1).cast("int"))
+
+
 @query(
-    f"WITH {_BORN}, a AS (SELECT *, {_MONTHS} AS n, date_diff('day', birth, w) AS d FROM p) SELECT o_orderkey, CASE WHEN d < 0 THEN '' WHEN n < 1 THEN concat(d, CASE WHEN d = 1 THEN ' day' ELSE ' days' END) "
-    "ELSE concat_ws(', ', CASE WHEN n >= 12 THEN concat(n // 12, CASE WHEN n // 12 = 1 THEN ' year' ELSE ' years' END) END, CASE WHEN n % 12 > 0 THEN concat(n % 12, CASE WHEN n % 12 = 1 THEN ' month' ELSE ' months' END) END) END AS age FROM a"
+    f"WITH {_BORN}, a AS (SELECT *, CAST({_MONTHS} AS BIGINT) AS n, CAST(date_diff('day', birth, w) AS BIGINT) AS d FROM p), "
+    f"t AS (SELECT o_orderkey, n, d, {_counted_sql('d', 'day')} AS days, {_counted_sql('n', 'month')} AS months, CASE WHEN n >= 12 THEN {_counted_sql('(n // 12)', 'year')} END AS y, CASE WHEN n % 12 > 0 THEN {_counted_sql('(n % 12)', 'month')} END AS m FROM a) "
+    f"SELECT o_orderkey, CASE WHEN d < 0 THEN '' WHEN n < 1 THEN days WHEN y IS NULL THEN m WHEN m IS NULL THEN y ELSE concat(y, {_in_languages(lambda x: repr(x['join']))}, m) END AS age, "
+    "CASE WHEN d < 0 THEN '' ELSE days END AS in_days, CASE WHEN d < 0 THEN '' WHEN n < 1 THEN days ELSE months END AS in_months FROM t"
 )
 def age_text(spark, sf_dir):
-    born = F.lit("1996-02-29").cast("date")
-    return load(spark, sf_dir, "orders").select("o_orderkey", calendar.age_text(born, F.col("o_orderdate").cast("date"), "year_months", "en").alias("age"))
+    born, when = F.lit("1996-02-29").cast("date"), F.col("o_orderdate").cast("date")
+    told = {name: _by_language(lambda c, g=g: calendar.age_text(born, when, g, c)).alias(name) for name, g in (("age", "year_months"), ("in_days", "days"), ("in_months", "months"))}
+    return load(spark, sf_dir, "orders").select("o_orderkey", *told.values())
 
 
-_MONTH_NAMES = "CASE month(o_orderdate) " + " ".join(f"WHEN {i + 1} THEN '{m}'" for i, m in enumerate(calendar.LANGUAGES["de"]["months"].split())) + " END"
+def _month_sql(names: str) -> str:
+    return _in_languages(lambda x: "CASE month(o_orderdate) " + " ".join(f"WHEN {i + 1} THEN '{m}'" for i, m in enumerate(x[names])) + " END")
 
 
-@query(f"SELECT o_orderkey, concat(day(o_orderdate), '. ', {_MONTH_NAMES}, ' ', year(o_orderdate)) AS told FROM orders")
+@query(
+    f"SELECT o_orderkey, concat(day(o_orderdate), '. ', {_month_sql('months')}, ' ', year(o_orderdate)) AS told, concat({_month_sql('short')}, strftime(o_orderdate, ' %d/%m of %y, %Y')) AS brief FROM orders"
+)
 def format_date_i18n(spark, sf_dir):
-    return load(spark, sf_dir, "orders").select("o_orderkey", calendar.format_date(F.col("o_orderdate"), "D. MMMM YYYY", "de").alias("told"))
+    told = {name: _by_language(lambda c, p=p: calendar.format_date(F.col("o_orderdate"), p, c)).alias(name) for name, p in (("told", "D. MMMM YYYY"), ("brief", "MMM DD/MM of YY, YYYY"))}
+    return load(spark, sf_dir, "orders").select("o_orderkey", *told.values())
 
 
 @query(f"WITH {PASSED}, {top_sql(WEEK, 1, 1)} SELECT bucket, asset_id, round(score, 6) AS score FROM t")

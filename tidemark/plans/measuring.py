@@ -25,8 +25,8 @@ def luma_gain_clip(spark, sf_dir):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 4) AS lo, round(quantile_cont(l_extendedprice, 0.95), 4) AS hi FROM lineitem GROUP BY 1")
 def percentiles_05_95(spark, sf_dir):
-    found = load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(F.lit(0.05), F.lit(0.95))).alias("p"))
-    return found.select("l_returnflag", F.round(F.col("p")[0], 4).alias("lo"), F.round(F.col("p")[1], 4).alias("hi"))
+    found = series.percentiles(load(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", 0.05, 0.95)
+    return found.select("l_returnflag", F.round("p0", 4).alias("lo"), F.round("p1", 4).alias("hi"))
 
 
 _CELLS = "c AS (SELECT vec_id, (i - 1) % 8 AS x, (i - 1) // 8 AS y, CAST(embedding[i] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(generate_series(1, 64)) AS i FROM embeddings))"
@@ -133,3 +133,62 @@ def scale_bbox_bround(spark, sf_dir):
 def expand_box_clamp(spark, sf_dir):
     grown = g.expand_box([F.col(c) for c in _CORNERS], F.lit(400), F.lit(300), 0.25)
     return _boxes(spark, sf_dir).select("asset_id", *(c.alias(n) for n, c in zip(_CORNERS, grown, strict=True)))
+
+
+@query(f"WITH {_BOX} SELECT asset_id, x1 <= 2 OR y1 <= 2 OR x2 >= 398 OR y2 >= 298 AS clipped, (x2 - x1) * (y2 - y1) AS area, greatest(0, x1 - x2) * greatest(0, y2 - y1) AS turned, x2 - x1 >= 100 AND y2 - y1 >= 100 AS large FROM b")
+def box_edges_and_area(spark, sf_dir):
+    x1, y1, x2, y2 = map(F.col, _CORNERS)
+    edges = {"clipped": g.is_clipped([x1, y1, x2, y2], F.lit(400), F.lit(300)), "area": g.area(x1, y1, x2, y2), "turned": g.area(x2, y1, x1, y2), "large": g.large_enough([x1, y1, x2, y2], 100)}
+    return _boxes(spark, sf_dir).select("asset_id", *(c.alias(n) for n, c in edges.items()))
+
+
+_EYES = f"WITH {MEASURED}, e AS (SELECT asset_id, left_x AS ax, left_y AS ay, CASE WHEN asset_id % 13 = 0 THEN left_x ELSE left_x + 60 END AS bx, CASE WHEN asset_id % 13 = 0 THEN left_y ELSE left_y + 8 END AS b_y, right_x + 200 AS cx, right_y AS cy, right_x + 270 AS dx, right_y - 5 AS dy, left_x + 20 + asset_id % 17 AS ix, left_y + 3 AS iy, right_x + 240 - asset_id % 11 AS jx, right_y + 1 AS jy FROM m), "
+
+
+@query(
+    _EYES + "n AS (SELECT asset_id, ix <= jx AS first, ix, iy, jx, jy, (ax + bx) / 2 AS px, (ay + b_y) / 2 AS py, sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)) AS pw, (cx + dx) / 2 AS qx, (cy + dy) / 2 AS qy, sqrt((dx - cx) * (dx - cx) + (dy - cy) * (dy - cy)) AS qw FROM e), "
+    "o AS (SELECT asset_id, first, ix, jx, pw, CASE WHEN pow(ix - px, 2) + pow(iy - py, 2) <= pow(jx - px, 2) + pow(jy - py, 2) THEN [ix - px, iy - py] ELSE [jx - px, jy - py] END AS p, CASE WHEN pow(ix - qx, 2) + pow(iy - qy, 2) <= pow(jx - qx, 2) + pow(jy - qy, 2) THEN [ix - qx, iy - qy] ELSE [jx - qx, jy - qy] END AS q, qw FROM n) "
+    "SELECT asset_id, round(CASE WHEN pw < 1e-6 THEN 2 * q[1] / qw ELSE (2 * p[1] / pw + 2 * q[1] / qw) / 2 END, 6) AS gaze_x, round(CASE WHEN pw < 1e-6 THEN -2 * q[2] / qw ELSE (-2 * p[2] / pw - 2 * q[2] / qw) / 2 END, 6) AS gaze_y, least(ix, jx) AS first_x FROM o"
+)
+def gaze_and_iris_order(spark, sf_dir):
+    k, p = F.col("asset_id"), lambda x, y: g.Point(x, y)
+    lx, ly, rx, ry = (F.col(c) for c in ("left_x", "left_y", "right_x", "right_y"))
+    shut = k % 13 == 0
+    corners = [(p(lx, ly), p(F.when(shut, lx).otherwise(lx + 60), F.when(shut, ly).otherwise(ly + 8))), (p(rx + 200, ry), p(rx + 270, ry - 5))]
+    irises = (p(lx + 20 + k % 17, ly + 3), p(rx + 240 - k % 11, ry + 1))
+    across, down = g.gaze(corners, irises)
+    return measured(spark, sf_dir).select("asset_id", F.round(across, 6).alias("gaze_x"), F.round(down, 6).alias("gaze_y"), g.left_to_right(*irises)[0].x.alias("first_x"))
+
+
+@query(f"WITH {MEASURED} SELECT asset_id, CASE WHEN asset_id % 3 = 0 THEN 0.0::DOUBLE ELSE blink_r END AS blink_l, blink_r, round(0.114::DOUBLE * yaw + 0.587::DOUBLE * pitch + 0.299::DOUBLE * roll, 6) + 0.0::DOUBLE AS gray FROM m")
+def blink_and_gray(spark, sf_dir):
+    r = F.col("blink_r")
+    shapes = F.when(F.col("asset_id") % 3 == 0, F.create_map(F.lit("eyeBlinkRight"), r)).otherwise(F.create_map(F.lit("eyeBlinkLeft"), r, F.lit("eyeBlinkRight"), r))
+    left, right = g.blink(shapes)
+    return measured(spark, sf_dir).select("asset_id", left.alias("blink_l"), right.alias("blink_r"), (F.round(g.gray(F.col("yaw"), F.col("pitch"), F.col("roll")), 6) + F.lit(0.0)).alias("gray"))
+
+
+@query(
+    f"WITH {MEASURED}, t AS (SELECT asset_id, left_x, left_y, cos(radians(yaw)) AS c, sin(radians(yaw)) AS s FROM m) SELECT asset_id, round(c * left_x + s * left_y + (1 - c) * 540 - s * 960, 4) AS turned_x, round(-s * left_x + c * left_y + s * 540 + (1 - c) * 960, 4) AS turned_y, left_x AS back_x, left_y AS back_y FROM t"
+)
+def rotate_and_back(spark, sf_dir):
+    w, h = F.lit(1080.0), F.lit(1920.0)
+    turned = g.rotated(g.Point(F.col("left_x"), F.col("left_y")), F.col("yaw"), w, h)
+    back = g.unrotated(turned, F.col("yaw"), w, h)
+    named = {"turned_x": turned.x, "turned_y": turned.y, "back_x": back.x, "back_y": back.y}
+    return measured(spark, sf_dir).select("asset_id", *(F.round(c, 4).alias(n) for n, c in named.items()))
+
+
+@query(
+    "WITH l AS (SELECT user_id, event_id, event_type, value FROM events), n AS (SELECT user_id, count(*) AS n FROM l GROUP BY 1), k AS (SELECT DISTINCT user_id, event_type FROM l), "
+    "f AS (SELECT k.user_id, k.event_type AS name, CASE WHEN l.event_type = k.event_type THEN l.value ELSE 0 END AS v FROM k JOIN l ON l.user_id = k.user_id) SELECT user_id, name, round(quantile_cont(v, 0.5), 6) AS median FROM f GROUP BY 1, 2"
+)
+def median_scores_missing_as_zero(spark, sf_dir):
+    looks = load(spark, sf_dir, "events").select("user_id", F.create_map("event_type", "value").alias("scores"))
+    return series.combine_scores(looks, "user_id", "scores").select("user_id", "name", F.round("median", 6).alias("median"))
+
+
+@query(f"WITH {MEASURED} SELECT user_id, round(quantile_cont(yaw, 0.5), 6) AS yaw, round(quantile_cont(CASE WHEN asset_id % 4 > 0 THEN pitch END, 0.5), 6) AS pitch FROM m GROUP BY 1")
+def median_angles(spark, sf_dir):
+    looks = measured(spark, sf_dir).select("user_id", "yaw", F.when(F.col("asset_id") % 4 > 0, F.col("pitch")).alias("pitch"))
+    return series.combine_angles(looks, "user_id", "yaw", "pitch").select("user_id", F.round("yaw", 6).alias("yaw"), F.round("pitch", 6).alias("pitch"))

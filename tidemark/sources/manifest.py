@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +31,36 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
 
 
+def refresh(spark: SparkSession, folder: str, name: str, rows: DataFrame, check: Callable[[DataFrame], None] | None = None) -> None:
+    """Replaces a whole manifest table by rows, once these are computed and check (which raises) has passed.
+
+    They are written beside the old table, checked as written, and swapped in by renaming: a failure leaves the old
+    table, which rows may be read from.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    at, new, old = (f"{folder}/{n}" for n in (name, f"{name}.new", f"{name}.old"))
+    fs = fs_path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    rows.write.mode("overwrite").parquet(new)
+    if check is not None:
+        check(spark.read.schema(rows.schema).parquet(new))
+    fs.delete(fs_path(old), True)
+    if fs.exists(fs_path(at)):
+        fs.rename(fs_path(at), fs_path(old))
+    fs.rename(fs_path(new), fs_path(at))
+    fs.delete(fs_path(old), True)
+
+
+def not_empty(rows: DataFrame) -> None:
+    if rows.isEmpty():
+        raise ValueError("nothing was selected; the old selection stays")
+
+
+def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, modified, bytes, content) of the files under a folder; without content chosen none is read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return found.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"), "content")
+
+
 def manual_rejects(spark: SparkSession, path: str) -> DataFrame:
     """(asset_id): the ids of a JSON file, either a list or {"rejected": list}; none if there is no file."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,36 +7,46 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.incremental import newest, upsert
 
+#: Column of a version that tells the batch that wrote it.
+_STREAM = "_written_by"
+
 
 def sync_files(spark: SparkSession, landing: str, schema: str, target: str, checkpoint: str, key: str, updated_col: str, first_seen: tuple[str, ...] = ()) -> int:
     """Take up all files that came since the last call and upsert their rows by key; returns the batches run.
 
-    Each batch writes a new version beside the old ones and names it only when done, so a failed or repeated
-    batch changes nothing twice.
+    Each batch writes a version with the next number beside the old ones, which counts only when complete, and puts its
+    checkpoint and number on the rows, so that a failed or repeated batch changes nothing twice. Versions go on from
+    the newest one if the checkpoint is lost: files are then taken up again, over the same keys.
     """
 
     def one(batch: DataFrame, number: int) -> None:
+        done = versions(spark, target)
+        if done and batch.sparkSession.read.parquet(f"{target}/version={done[-1]}").where(F.col(_STREAM).eqNullSafe(F.struct(F.lit(checkpoint).alias("checkpoint"), F.lit(number).cast("bigint").alias("batch")))).limit(1).count():
+            return  # a repeated batch
         incoming = newest(batch, key, F.desc(updated_col))
-        before = current(spark, target, schema, before=number)
-        upsert(before, incoming, key, first_seen).write.mode("overwrite").parquet(f"{target}/version={number}")
+        stamp = F.struct(F.lit(checkpoint).alias("checkpoint"), F.lit(number).cast("bigint").alias("batch"))
+        after = upsert(current(spark, target, schema), incoming, key, first_seen).withColumn(_STREAM, stamp)
+        after.write.mode("overwrite").parquet(f"{target}/version={done[-1] + 1 if done else 0}")
 
     query = spark.readStream.schema(schema).parquet(landing).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return len(query.recentProgress)
 
 
-def current(spark: SparkSession, target: str, schema: str, before: int | None = None) -> DataFrame:
-    """The newest complete version (below `before`), empty if there is none."""
+def versions(spark: SparkSession, target: str) -> list[int]:
+    """The numbers of the complete versions in order."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(target)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = []
-    if fs.exists(folder):
-        for status in fs.listStatus(folder):
-            version = status.getPath()
-            if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(version, "_SUCCESS")):
-                found.append(int(version.getName().partition("=")[2]))
-    found = [n for n in found if before is None or n < before]
-    return spark.read.schema(schema).parquet(f"{target}/version={max(found)}") if found else spark.createDataFrame([], schema)
+    if not fs.exists(folder):
+        return []
+    paths = [status.getPath() for status in fs.listStatus(folder)]
+    return sorted(int(p.getName().partition("=")[2]) for p in paths if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def current(spark: SparkSession, target: str, schema: str) -> DataFrame:
+    """The newest complete version, empty if there is none."""
+    done = versions(spark, target)
+    return spark.read.schema(schema).parquet(f"{target}/version={done[-1]}") if done else spark.createDataFrame([], schema)
 
 
 def bucket_counts(events: DataFrame, time_col: str, width: str, late: str) -> DataFrame:
