@@ -206,8 +206,9 @@ class BiGRU:
                 used, win = np.unique(np.concatenate([bags[k] for k in at]), return_inverse=True)
                 win = win.reshape(-1, WINDOW) - (used[0] < 0)  # -1 sorts first
                 used = used[used >= 0]
-                take = np.concatenate([np.arange(ends[w], ends[w + 1]) for w in used] or [ends[:0]])
-                own = np.repeat(np.arange(len(used)), ends[used + 1] - ends[used])
+                sizes = ends[used + 1] - ends[used]
+                own = np.repeat(np.arange(len(used)), sizes)
+                take = np.arange(len(own)) + np.repeat(ends[used] - (np.cumsum(sizes) - sizes), sizes)
                 x = self.words(own, buckets[take], len(used))
                 logit = self.logits(x, win)
                 doc, starts = np.repeat(np.arange(len(at)), [len(bags[k]) for k in at]), np.cumsum([0, *(len(bags[k]) for k in at[:-1])])
@@ -220,7 +221,7 @@ class BiGRU:
                     self.forward(x, win[lo : lo + HELD], keep)
                     more, dmore = self.gradients(x, win[lo : lo + HELD], keep, dlogit[lo : lo + HELD])
                     grads, dx = {k: g + grads.get(k, 0) for k, g in more.items()}, dx + dmore
-                scale = 1 / np.sqrt(np.maximum(ends[used + 1] - ends[used], 1))
+                scale = 1 / np.sqrt(np.maximum(sizes, 1))
                 g = (dx[:-1] * scale[:, None])[own]
                 grads["embed"] = np.stack([np.bincount(buckets[take], g[:, k], BUCKETS) for k in range(INPUT)], 1).astype(np.float32)
                 optimizer.step(grads)
