@@ -1,6 +1,8 @@
 """Properties and edge cases of the operators."""
 
 import datetime as dt
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,3 +183,23 @@ def test_percentiles_with_ties_and_gaps(spark):
 def test_scores_over_looks(spark):
     looks = spark.createDataFrame([("i", {"x": 0.4}), ("i", {"x": 0.6, "y": 0.9}), ("i", {"y": 0.5})], "item string, scores map<string,double>")
     assert {(r["name"], r["median"]) for r in series.combine_scores(looks, "item", "scores").collect()} == {("x", 0.4), ("y", 0.5)}
+
+
+def test_rolling_median_of_long_series(spark):
+    """A series cut into tiles has the medians of one that isn't, however its order's values are spread, nulls and ties of values included."""
+    r = random.Random(3)
+    spread = {"even": [float(i) for i in range(500)], "crowded": sorted(r.random() ** 9 for _ in range(497)) + [1e6, float("inf"), float("nan")], "short": [1.0, 2.0], None: [float(i) for i in range(40)], "far": [None] + [i / 7 for i in range(99)]}
+    rows = [(k, at, float(r.randrange(30)) if r.random() > 0.1 else None) for k, xs in spread.items() for at in xs]
+    df = spark.createDataFrame(rows, "k string, at double, v double").repartition(5)
+    key = lambda row: (str(row["k"]), str(row["at"]))
+    for half, tile in ((4, 25), (4, 3), (1, 10)):
+        want = sorted(series.rolling_median(df, "v", "at", half, ["k"]).collect(), key=key)
+        got = sorted(series.rolling_median(df, "v", "at", half, ["k"], rows=tile).collect(), key=key)
+        assert [(*key(g), g["v"], g["median"]) for g in got] == [(*key(w), w["v"], w["median"]) for w in want]
+    xs = [row[2] for row in rows if row[0] == "even"]
+    got = {row["at"]: row["median"] for row in series.rolling_median(df.where("k = 'even'"), "v", "at", rows=50).collect()}
+    for i in range(500):
+        near = [x for x in xs[max(0, i - 4) : i + 5] if x is not None]
+        assert got[float(i)] == statistics.median(near)
+    gains = [sorted((key(row), row["gain"]) for row in series.damped(df, "v", "at", ["k"], rows=n).collect()) for n in (25, 1 << 20)]
+    assert gains[0] == gains[1]

@@ -4,12 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def rolling_median(df: DataFrame, value: str, order: str, half: int = 4, by: list[str] = ()) -> DataFrame:
-    """df with `median`: the exact median of up to `half` rows on either side in order, within each group of `by`."""
+#: Rows that one task orders: longer series are cut.
+SERIES_ROWS = 1 << 20
+
+
+def rolling(df: DataFrame, order: str, half: int, by: list[str], rows: int = SERIES_ROWS, **made: Column) -> DataFrame:
+    """df with aggregates over up to `half` rows on either side in order, within each group of `by`.
+
+    Groups of over `rows` rows are cut into tiles of so many, each with the rows within reach on either side, so that
+    no task holds a whole series. For that the rows are numbered by equal ranges of `order`, if it is a number or time.
+    Groups are counted first, by a job of its own, as most tables have no such group and need one shuffle only.
+    """
     frame = Window.partitionBy(*by).orderBy(order).rowsBetween(-half, half)
-    return df.withColumn("median", F.percentile(value, F.lit(0.5)).over(frame))
+    whole = lambda df: df.withColumns({name: c.over(frame) for name, c in made.items()})
+    if df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > rows).isEmpty():
+        return whole(df)
+    kind = df.schema[order].dataType
+    at = F.col(order).cast("timestamp") if isinstance(kind, (T.DateType, T.TimestampNTZType)) else F.col(order)
+    at = at.cast("double") if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)) else F.lit(0.0)
+    keyed = df.withColumns({"_k": F.struct(*by) if by else F.struct(F.lit(0)), "_at": at})
+    known = F.nanvl("_at", F.lit(None).cast("double"))
+    long = keyed.groupBy("_k").agg(F.count("*").alias("_n"), F.min(known).alias("_lo"), F.max(known).alias("_hi")).where(F.col("_n") > rows)
+    short = whole(keyed.join(long, "_k", "left_anti")).drop("_k", "_at")
+
+    blocks, width = F.ceil(F.col("_n") / rows), F.col("_hi") - F.col("_lo")
+    place = F.when(width > 0, (F.col("_at") - F.col("_lo")) / width * blocks)  # NaN, the last in order, is above all numbers
+    block = F.when(place >= blocks - 1, blocks - 1).when(place >= 0, F.floor(place)).otherwise(0)
+    placed = keyed.join(long, "_k").withColumn("_b", block)
+    counts = placed.groupBy("_k", "_b").agg(F.count("*").alias("_c"))
+    before = counts.select("_k", "_b", (F.sum("_c").over(Window.partitionBy("_k").orderBy("_b")) - F.col("_c")).alias("_before"))  # a row for each block
+    number = F.col("_before") + F.row_number().over(Window.partitionBy("_k", "_b").orderBy(order)) - 1
+    tile = lambda step: F.floor((F.col("_i") + step) / rows)
+    tiled = placed.join(before, ["_k", "_b"]).withColumn("_i", number).withColumn("_t", F.explode(F.sequence(tile(-half), tile(half))))
+    near = Window.partitionBy("_k", "_t").orderBy("_i").rowsBetween(-half, half)
+    cut = tiled.withColumns({name: c.over(near) for name, c in made.items()}).where(F.col("_t") == tile(0)).select(short.columns)
+    return short.union(cut)
+
+
+def rolling_median(df: DataFrame, value: str, order: str, half: int = 4, by: list[str] = (), rows: int = SERIES_ROWS) -> DataFrame:
+    """df with `median`: the exact median of up to `half` rows on either side in order, within each group of `by`."""
+    return rolling(df, order, half, by, rows, median=F.percentile(value, F.lit(0.5)))
 
 
 def luma_gain(current: Column, reference: Column, low: float = 0.85, high: float = 1.18) -> Column:
@@ -17,10 +54,10 @@ def luma_gain(current: Column, reference: Column, low: float = 0.85, high: float
     return F.least(F.greatest(reference / F.when(current > 1e-6, current), F.lit(low)), F.lit(high))
 
 
-def damped(df: DataFrame, value: str, order: str, by: list[str] = ()) -> DataFrame:
+def damped(df: DataFrame, value: str, order: str, by: list[str] = (), rows: int = SERIES_ROWS) -> DataFrame:
     """rolling_median with gain: 1 where the series is short of three rows or within 1 of its median."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    out = rolling_median(df, value, order, by=by).withColumn("_n", n)
+    # a series of three rows has as many around each of its rows
+    out = rolling(df, order, 4, by, rows, median=F.percentile(value, F.lit(0.5)), _n=F.count("*"))
     away = (F.col("_n") >= 3) & (F.abs(F.col(value) - F.col("median")) >= 1)
     return out.withColumn("gain", F.when(away, F.coalesce(luma_gain(F.col(value), F.col("median")), F.lit(1.0))).otherwise(1.0)).drop("_n")
 
