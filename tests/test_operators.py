@@ -203,3 +203,44 @@ def test_rolling_median_of_long_series(spark):
         assert got[float(i)] == statistics.median(near)
     gains = [sorted((key(row), row["gain"]) for row in series.damped(df, "v", "at", ["k"], rows=n).collect()) for n in (25, 1 << 20)]
     assert gains[0] == gains[1]
+
+
+@pytest.mark.parametrize("first", [None, 0.125])
+def test_offsets_of_long_chapters(spark, first):
+    """A chapter summed in blocks has the offsets of one that isn't; ties of the order's first column, nulls and short chapters included."""
+    r = random.Random(5)
+    spread = {"even": [float(i) for i in range(300)], "crowded": [r.random() ** 9 for _ in range(199)] + [1e6], "short": [1.0, 2.0], None: [float(i // 3) for i in range(60)], "one": [7.0] * 50, "far": [None, float("nan")] + [i / 7 for i in range(99)]}
+    rows = [(k, at, part, r.randrange(9) / 4 if r.random() > 0.1 else None) for k, xs in spread.items() for at, part in zip(xs, range(len(xs)), strict=True)]
+    df = spark.createDataFrame(rows, "k string, at double, part int, duration double").repartition(5)
+    key = lambda row: (str(row["k"]), row["part"], row["duration"], row["starts_at"])
+    told = lambda **how: sorted(map(str, map(key, timeline.offsets(df, "k", "at", "part", first=first, **how).collect())))
+    want = told()
+    assert want == told(rows=20) == told(rows=3)
+    # by hand: the running sum in order, nulls first
+    own = sorted((row for row in rows if row[0] == "even"), key=lambda row: row[1:3])
+    at, sums = 0.0, []
+    for i, row in enumerate(own):
+        sums.append(at)
+        at += first if i == 0 and first is not None else row[3] or 0.0
+    got = timeline.offsets(df.where("k = 'even'"), "k", "at", "part", first=first, rows=20).orderBy("at").collect()
+    assert [g["starts_at"] for g in got] == sums
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "string"])
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_sequence_by_day_and_minute(spark, kind, zone):
+    r = random.Random(7)
+    starts = dt.datetime(2024, 11, 3, 0, 30)  # clocks go back in New York
+    times = [starts + dt.timedelta(seconds=r.choice((1, 40, 3600)) * r.randrange(200)) for _ in range(300)] + [None] * 5
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = [(i, None if t is None else str(t)) for i, t in enumerate(times)]
+        r.shuffle(rows)
+        df = spark.createDataFrame(rows, "asset_id int, t string").withColumn("t", F.to_timestamp("t").cast(kind) if kind == "timestamp" else F.col("t").cast(kind)).repartition(4)
+        got = select.in_sequence(df, "t").select("asset_id", "seq", F.col("t").cast("string").alias("s"), *([F.unix_seconds("t").alias("s2")] if kind == "timestamp" else [])).orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [g["seq"] for g in got] == list(range(1, 306))
+    order = [(g[-1] is not None, g[-1] or 0 if kind == "timestamp" else g[-1] or "", g["asset_id"]) for g in got]
+    assert order == sorted(order)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def top_per_bucket(df: DataFrame, bucket: Column, per_bucket: int, alternates: int = 0, id_col: str = "asset_id") -> DataFrame:
@@ -28,14 +29,27 @@ def promote(candidates: DataFrame, rejected: DataFrame, id_col: str = "asset_id"
     return found.select("bucket", F.col("pick.id").alias(id_col), rank.alias("rank"), label.alias("label"))
 
 
-def in_sequence(df: DataFrame, time_col: str, id_col: str = "asset_id", buckets: Column | None = None) -> DataFrame:
-    """df with seq, 1 to n by time and id. Numbers are summed from counts per day, so no task sees all rows."""
-    day = F.to_date(time_col) if buckets is None else buckets
-    dealt = df.withColumn("_day", day)
-    counts = dealt.groupBy("_day").agg(F.count("*").alias("_n"))
-    before = counts.select(F.col("_day").alias("_d"), (F.sum("_n").over(Window.orderBy(F.col("_day").asc_nulls_first())) - F.col("_n")).alias("_before"))
-    order = Window.partitionBy("_day").orderBy(F.col(time_col).asc_nulls_first(), id_col)
-    return dealt.withColumn("_rn", F.row_number().over(order)).join(before, F.col("_day").eqNullSafe(F.col("_d"))).withColumn("seq", F.col("_rn") + F.col("_before")).drop("_rn", "_day", "_d", "_n", "_before")
+def in_sequence(df: DataFrame, time_col: str, id_col: str = "asset_id") -> DataFrame:
+    """df with seq, 1 to n by time and id, null times first.
+
+    Numbers are summed from counts per day, and per minute within a day, so a task orders the rows of one minute (of one day for
+    dates and texts), not a whole hot day.
+    """
+    at, kind = F.col(time_col), df.schema[time_col].dataType
+    if isinstance(kind, T.TimestampType):  # without a zone: clocks that go back would break the order
+        minute = F.floor(F.unix_seconds(at) / 60)
+        day = F.floor(minute / 1440)
+    else:
+        day, minute = F.to_date(at), F.hour(at) * 60 + F.minute(at) if isinstance(kind, T.TimestampNTZType) else F.lit(0)
+    dealt = df.withColumns({"_day": day, "_minute": minute})
+    counts = dealt.groupBy("_day", "_minute").agg(F.count("*").alias("_n"))
+    within = counts.withColumn("_in_day", F.sum("_n").over(Window.partitionBy("_day").orderBy("_minute")) - F.col("_n"))
+    days = counts.groupBy(F.col("_day").alias("_d")).agg(F.sum("_n").alias("_n"))
+    days = days.select("_d", (F.sum("_n").over(Window.orderBy(F.col("_d").asc_nulls_first())) - F.col("_n")).alias("_days"))  # a row for each day
+    before = within.join(days, F.col("_day").eqNullSafe(F.col("_d"))).select(F.col("_day").alias("_d"), F.col("_minute").alias("_m"), (F.col("_days") + F.col("_in_day")).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_day", "_minute").orderBy(at.asc_nulls_first(), id_col))
+    placed = dealt.withColumn("_rn", number).join(before, F.col("_day").eqNullSafe(F.col("_d")) & F.col("_minute").eqNullSafe(F.col("_m")))
+    return placed.withColumn("seq", F.col("_rn") + F.col("_before")).drop("_rn", "_day", "_minute", "_d", "_m", "_before")
 
 
 def candidate_lists(df: DataFrame, id_col: str = "asset_id") -> DataFrame:

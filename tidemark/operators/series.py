@@ -11,29 +11,39 @@ from pyspark.sql import types as T
 SERIES_ROWS = 1 << 20
 
 
-def rolling(df: DataFrame, order: str, half: int, by: list[str], rows: int = SERIES_ROWS, **made: Column) -> DataFrame:
-    """df with aggregates over up to `half` rows on either side in order, within each group of `by`.
+def long_groups(df: DataFrame, order: str, by: list[str], rows: int = SERIES_ROWS) -> tuple[DataFrame, DataFrame] | None:
+    """df in two parts: the groups of `by` with up to `rows` rows, and the rows of longer ones in blocks; None if there are none.
 
-    Groups of over `rows` rows are cut into tiles of so many, each with the rows within reach on either side, so that
-    no task holds a whole series. For that the rows are numbered by equal ranges of `order`, if it is a number or time.
-    Groups are counted first, by a job of its own, as most tables have no such group and need one shuffle only.
+    The blocks of a group, _b from 0 for its key _k, are equal ranges of `order`, about one for each `rows` rows, so they are in
+    order and equal values share one. An `order` that is no number or time makes one block. Groups are counted first, by a job
+    of its own, as most tables have no such group.
     """
-    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(-half, half)
-    whole = lambda df: df.withColumns({name: c.over(frame) for name, c in made.items()})
     if df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > rows).isEmpty():
-        return whole(df)
+        return None
     kind = df.schema[order].dataType
     at = F.col(order).cast("timestamp") if isinstance(kind, (T.DateType, T.TimestampNTZType)) else F.col(order)
     at = at.cast("double") if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)) else F.lit(0.0)
     keyed = df.withColumns({"_k": F.struct(*by) if by else F.struct(F.lit(0)), "_at": at})
     known = F.nanvl("_at", F.lit(None).cast("double"))
     long = keyed.groupBy("_k").agg(F.count("*").alias("_n"), F.min(known).alias("_lo"), F.max(known).alias("_hi")).where(F.col("_n") > rows)
-    short = whole(keyed.join(long, "_k", "left_anti")).drop("_k", "_at")
-
     blocks, width = F.ceil(F.col("_n") / rows), F.col("_hi") - F.col("_lo")
     place = F.when(width > 0, (F.col("_at") - F.col("_lo")) / width * blocks)  # NaN, the last in order, is above all numbers
     block = F.when(place >= blocks - 1, blocks - 1).when(place >= 0, F.floor(place)).otherwise(0)
-    placed = keyed.join(long, "_k").withColumn("_b", block)
+    return keyed.join(long, "_k", "left_anti").drop("_k", "_at"), keyed.join(long, "_k").withColumn("_b", block)
+
+
+def rolling(df: DataFrame, order: str, half: int, by: list[str], rows: int = SERIES_ROWS, **made: Column) -> DataFrame:
+    """df with aggregates over up to `half` rows on either side in order, within each group of `by`.
+
+    Groups of over `rows` rows are cut into tiles of so many, each with the rows within reach on either side, so that
+    no task holds a whole series. For that the rows are numbered by the blocks of long_groups.
+    """
+    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(-half, half)
+    whole = lambda df: df.withColumns({name: c.over(frame) for name, c in made.items()})
+    parts = long_groups(df, order, by, rows)
+    if parts is None:
+        return whole(df)
+    short, placed = whole(parts[0]), parts[1]
     counts = placed.groupBy("_k", "_b").agg(F.count("*").alias("_c"))
     before = counts.select("_k", "_b", (F.sum("_c").over(Window.partitionBy("_k").orderBy("_b")) - F.col("_c")).alias("_before"))  # a row for each block
     number = F.col("_before") + F.row_number().over(Window.partitionBy("_k", "_b").orderBy(order)) - 1

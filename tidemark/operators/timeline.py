@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import fingerprint
+from tidemark.operators.series import SERIES_ROWS, long_groups
 
 TRANSITIONS = ("none", "crossfade", "morph")
 
@@ -38,11 +39,30 @@ def concat_entries(frames: DataFrame, fps: float, transition: str, transition_se
     return frames.withColumn("_e", F.explode(entries)).select("*", "_e.part", "_e.duration").drop("_e")
 
 
-def offsets(entries: DataFrame, chapter: str, *order: str, first: float | None = None) -> DataFrame:
-    """entries with starts_at, the running sum of earlier durations in its chapter; `first` shortens the opening entry."""
-    w = Window.partitionBy(chapter).orderBy(*order)
-    length = F.col("duration") if first is None else F.when(F.row_number().over(w) == 1, F.lit(float(first))).otherwise(F.col("duration"))
-    return entries.withColumn("duration", length).withColumn("starts_at", F.coalesce(F.sum("duration").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+def offsets(entries: DataFrame, chapter: str, *order: str, first: float | None = None, rows: int = SERIES_ROWS) -> DataFrame:
+    """entries with starts_at, the running sum of earlier durations in its chapter; `first` shortens the opening entry.
+
+    Chapters of over `rows` entries are summed in blocks by the first column of `order`, so that no task orders a whole one;
+    a block starts where the sums of those before it end.
+    """
+    def run(df: DataFrame, by: list[str], opens: Column, starts: Column) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order)
+        length = F.col("duration") if first is None else F.when(opens & (F.row_number().over(w) == 1), F.lit(float(first))).otherwise(F.col("duration"))
+        earlier = F.coalesce(F.sum("duration").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        return df.withColumn("duration", length).withColumn("starts_at", starts + earlier)
+
+    parts = long_groups(entries, order[0], [chapter], rows)
+    if parts is None:
+        return run(entries, [chapter], F.lit(True), F.lit(0.0))
+    short = run(parts[0], [chapter], F.lit(True), F.lit(0.0))
+    sums = parts[1].groupBy("_k", "_b").agg(F.sum("duration").alias("_s"), F.min_by("duration", F.struct(*order)).alias("_d"))
+    chain = Window.partitionBy("_k").orderBy("_b")  # a row for each block
+    saved = F.lit(0.0) if first is None else F.lit(float(first)) - F.coalesce(F.first("_d").over(chain), F.lit(0.0))
+    opens = F.row_number().over(chain) == 1
+    before = F.when(opens, 0.0).otherwise(F.coalesce(F.sum("_s").over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + saved)
+    blocks = sums.select("_k", "_b", opens.alias("_opens"), before.alias("_starts"))
+    long = run(parts[1].join(blocks, ["_k", "_b"]), ["_k", "_b"], F.col("_opens"), F.col("_starts"))
+    return short.union(long.select(short.columns))
 
 
 def fingerprints(frames: DataFrame, chapter: str, settings: Column, *fields: str) -> DataFrame:
