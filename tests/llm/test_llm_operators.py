@@ -20,7 +20,7 @@ from tidemark.llm.quality import GatedAttention, bounded_sample, fit_quality, pa
 from tidemark.llm.toxicity import BUCKETS, BiGRU, Scorer, WordTable, fit_toxicity, score_toxicity
 
 SF = "/root/testdata/sf0.001"
-ODD = [None, "", "   ", "\n\n \t", "x", "two  spaces", "naïve ĀĒ 中文 😀 \x00 tab\there", "it's 123 don't", "<|endoftext|> a", "word " * 3000, "word " * 3000]
+ODD = [None, "", "   ", "\n\n \t", "x", "two  spaces", "naïve ĀĒ 中文 😀 \x00 tab\there", "it's 123 don't", "<|endoftext|> a", "b<|endoftext|><|endoftext|>\n c <|startoftext|>d <|ENDOFTEXT|>", "word " * 3000, "word " * 3000]
 #: Names that the operators use themselves.
 CLASHES = ("ids", "key", "score", "Lang_Pred", "simhash", "spans", "base_spans", "text_key", "found", "sequence_id", "offset", "length")
 
@@ -43,7 +43,7 @@ def sf(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "labels", "embeddings"):
+    for t in ("documents", "labels", "embeddings", "conversations"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{folder}/{t}.parquet")
     return str(folder)
 
@@ -129,7 +129,6 @@ def hub_ids(name, rows, end):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path(name))
-    tok.encode_special_tokens = True
     return {d: np.array([*e.ids, end], "<u4") for d, e in zip(rows, tok.encode_batch([t or "" for t in rows.values()], add_special_tokens=False), strict=True)}
 
 

@@ -99,19 +99,6 @@ def values(batch: pa.RecordBatch, column: str) -> list:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
-def blocks(texts: list, chars: int = 1 << 20) -> Iterator[list]:
-    """Consecutive texts with about so many characters together, so that arrays over them stay small."""
-    part, n = [], 0
-    for t in texts:
-        part.append(t)
-        n += len(t or "")
-        if n >= chars:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
-
-
 def local_forest(n: int, left: np.ndarray, right: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For n rows and links between their positions: the position of each row's smallest reachable row by order."""
     rank = np.empty(n, np.int64)

@@ -7,7 +7,7 @@ language; the counts, corrected for each language's false positives, decide.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import append_columns, blocks, durable, ship, slices, values
+from tidemark.llm.common import append_columns, durable, ship, slices, values
 
 #: Documents of each language that the filters are learned from, about.
 SAMPLE_DOCS = 5_000
@@ -71,6 +71,19 @@ def text_grams(text: str | None) -> Iterator[np.ndarray]:
             yield code[at + n > again]
 
 
+def joined(codes: Iterable[np.ndarray], most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Arrays joined to about so many codes at once; texts of any length go through, those without n-grams add nothing."""
+    part, n = [], 0
+    for code in codes:
+        part.append(code)
+        n += len(code)
+        if n >= most:
+            yield np.concatenate(part)
+            part, n = [], 0
+    if n:
+        yield np.concatenate(part)
+
+
 def slots(code: np.ndarray, size: int) -> list[np.ndarray]:
     """PROBES slots of each code in a table of `size`, a power of two."""
     shift = np.uint64(65 - size.bit_length())
@@ -141,8 +154,8 @@ def learn_filter(docs: DataFrame, is_training: Column, text_col: str = "text", l
         for batch in slices(batches):
             langs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
             for lang in sorted(set(langs)):
-                for part in blocks([texts[i] for i in np.flatnonzero(langs == lang)]):
-                    value, n = np.unique(np.concatenate([code for t in part for code in text_grams(t)]), return_counts=True)
+                for codes in joined(code for i in np.flatnonzero(langs == lang) for code in text_grams(texts[i])):
+                    value, n = np.unique(codes, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(value), pa.string()), pa.array(value.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     counts = sample.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

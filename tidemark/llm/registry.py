@@ -11,12 +11,15 @@ from tidemark.llm import pii
 from tidemark.llm.ann import permutation_search
 from tidemark.llm.bpe import bpe_decode, bpe_encode
 from tidemark.llm.common import df_checkpoint_dir, table
+from tidemark.llm.conversation_trie import conversation_trie
 from tidemark.llm.embedding_dedup import near_duplicate_vectors
 from tidemark.llm.langid import identify, learn_filter
 from tidemark.llm.orc_tokens import token_index, write_token_files
 from tidemark.llm.packing import cut_pieces, pack, with_crc
 from tidemark.llm.quality import fit_quality, score_quality
 from tidemark.llm.simhash import simhash_groups
+from tidemark.llm.spelling import spelling_variants, word_counts
+from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.toxicity import fit_toxicity, score_toxicity
 
 CAPACITY = 2048
@@ -99,8 +102,22 @@ def op10_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.crc32(F.col("conv").cast("string").cast("binary")) % 4
+    return conversation_trie(table(spark, sf_dir, "conversations"), heads, most_heads=3, group=20)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents")).where(F.col("n") >= 3), times=2)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, vocabulary("byte_bpe_50k.json"), limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_embedding_near_dedup, op2_byte_bpe, op3_quality, op4_token_orc, op5_toxicity, op6_language_id, op7_pii, op8_simhash, op9_packing, op10_permutation_search)}
+    found = {f.__name__: f for f in (op1_embedding_near_dedup, op2_byte_bpe, op3_quality, op4_token_orc, op5_toxicity, op6_language_id, op7_pii, op8_simhash, op9_packing, op10_permutation_search, op11_conversation_trie, op12_spelling_variants, op13_token_counts)}
     return found | {"pipeline": _pipeline}
 
 

@@ -19,6 +19,10 @@ TABLE_ENTRIES = 500_000
 _SPACES = re.compile(r"\s\s")
 #: White space besides space and newline, and what lies beyond the Latin blocks, go to the tokenizer as they are.
 _ODD = re.compile(r"[^\n -~¡-į]")
+#: Characters of a text that are encoded at once, about.
+PART = 1 << 18
+#: After what a text may be cut with no token, special string or normalisation across: what precedes a lone space, or a full-width mark before a letter of its scripts.
+_CUT = re.compile(r"\S(?= \S)|[。，、！？；：](?=[一-龥ぁ-んァ-ヶ가-힣])")
 _TABLES: dict[str, dict] = {}
 
 
@@ -29,22 +33,32 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def parts(text: str, size: int = PART) -> Iterator[str]:
+    """A text in consecutive parts of `size` characters or more, cut where encoding them one by one changes nothing."""
+    at = 0
+    while len(text) - at > size and (cut := _CUT.search(text, at + size - 1)):
+        yield text[at : cut.end()]
+        at = cut.end()
+    yield text[at:]
+
+
 class PieceEncoder:
     """Encodes texts through a table of pieces.
 
     key names the table; encode gives the ids of any text, merge those of one stretch that the pattern keeps
-    whole, split cuts a text by the pattern.
+    whole, split cuts a text by the pattern. Texts that hold one of the strings in whole go to encode.
     """
 
-    def __init__(self, key: str, encode: Callable, split: Callable, merge: Callable, lower: bool = False):
-        self.table, self.lower = _TABLES.setdefault(key, {}), lower
+    def __init__(self, key: str, encode: Callable, split: Callable, merge: Callable, lower: bool = False, whole: Iterable[str] = ()):
+        self.table, self.lower, self.whole = _TABLES.setdefault(key, {}), lower, tuple(whole)
         self.encode, self.split, self.merge = encode, split, merge
 
     def ids(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        if _ODD.search(text):
+        return b"".join(map(self._part, parts(text))) if text else b""
+
+    def _part(self, text: str) -> bytes:
+        if _ODD.search(text) or any(w in text for w in self.whole):
             return pack(self.encode(text))
         if self.lower:
             return self._look_up(text.lower().split(), "")
@@ -88,7 +102,8 @@ def hub_encoder(path: str, lower: bool) -> PieceEncoder:
     """For a byte-level BPE file of the tokenizers library. lower: its vocabulary is lower case and drops white space.
 
     Pieces are Latin text, for which normalisation is lower-casing; they are split by the file's pattern and
-    merged by the library's model. All other text goes through the library's whole chain.
+    merged by the library's model. All other text goes through the library's whole chain, and so does text with an
+    added token, whose string becomes that token, as by the library's default.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import regex
@@ -96,14 +111,16 @@ def hub_encoder(path: str, lower: bool) -> PieceEncoder:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    added = tok.get_added_tokens_decoder().values()
+    if any(t.normalized or t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added):
+        raise ValueError(f"{path}: added tokens must be plain strings without white space")
     split = regex.compile(WORD_PATTERN if lower else PATTERN).findall
     mapped, merge = str.maketrans(dict(enumerate(byte_chars()))), tok.model.tokenize
 
     def merged(stretch: str) -> list[int]:
         return [t.id for t in merge(stretch.encode().decode("latin-1").translate(mapped))]
 
-    return PieceEncoder(path, lambda text: tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, split, merged, lower)
+    return PieceEncoder(path, lambda text: tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, split, merged, lower, [t.content for t in added])
 
 
 def encode_batches(batches: Iterator, make: Callable[[], PieceEncoder], text_col: str, finish: Callable) -> Iterator:
