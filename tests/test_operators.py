@@ -103,18 +103,6 @@ def test_manifest_and_rejects(spark, tmp_path):
     assert {r[0] for r in manifest.manual_rejects(spark, str(tmp_path / "1.json")).collect()} == {"2"}
 
 
-def fetch(page, options):
-    return [f'{{"id": "{page}-{i}"}}' for i in range(2)], page + 1 if page < 3 else None
-
-
-def test_paged_source(spark):
-    spark.sparkContext.addPyFile(__file__)
-    spark.dataSource.register(manifest.PagedSource)
-    for pages in ("0", "3"):
-        rows = spark.read.format("tidemark_paged").option("fetch", f"{__name__}:fetch").option("pages", pages).load()
-        assert rows.count() == 6
-
-
 def test_stream_upserts_once(spark, tmp_path):
     schema = "id bigint, name string, updated string"
     at = {k: str(tmp_path / k) for k in ("landing", "target", "checkpoint")}

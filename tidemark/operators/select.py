@@ -30,15 +30,17 @@ def promote(candidates: DataFrame, rejected: DataFrame, id_col: str = "asset_id"
 
 
 def in_sequence(df: DataFrame, time_col: str, id_col: str = "asset_id") -> DataFrame:
-    """df with seq, 1 to n by time and id, null times first.
+    """df with seq, 1 to n by time and id, null times first. Texts are in the order of texts, whatever they hold.
 
     Numbers are summed from counts per day, and per minute within a day, so a task orders the rows of one minute (of one day for
-    dates and texts), not a whole hot day.
+    dates), not a whole hot day. A text's day and minute are its first 10 characters and the 6 after them.
     """
     at, kind = F.col(time_col), df.schema[time_col].dataType
     if isinstance(kind, T.TimestampType):  # without a zone: clocks that go back would break the order
         minute = F.floor(F.unix_seconds(at) / 60)
         day = F.floor(minute / 1440)
+    elif isinstance(kind, T.StringType):
+        day, minute = F.substring(at, 1, 10), F.substring(at, 11, 6)
     else:
         day, minute = F.to_date(at), F.hour(at) * 60 + F.minute(at) if isinstance(kind, T.TimestampNTZType) else F.lit(0)
     dealt = df.withColumns({"_day": day, "_minute": minute})

@@ -165,6 +165,15 @@ def selected_in_order_seq(spark, sf_dir):
     return select.in_sequence(picked(spark, sf_dir, "day"), "ts").select("asset_id", F.col("seq").cast("bigint").alias("seq"))
 
 
+_TEXT_TIME = "CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'not a date' WHEN event_id % 17 = 0 THEN '' ELSE {} END"
+
+
+@query(f"SELECT event_id AS asset_id, row_number() OVER (ORDER BY {_TEXT_TIME.format("strftime(ts, '%Y-%m-%dT%H:%M:%S')")} NULLS FIRST, event_id) AS seq FROM events")
+def text_times_in_order_seq(spark, sf_dir):
+    rows = load(spark, sf_dir, "events").select(F.col("event_id").alias("asset_id"), F.expr(_TEXT_TIME.format("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")")).alias("local_datetime"))
+    return select.in_sequence(rows, "local_datetime").select("asset_id", F.col("seq").cast("bigint").alias("seq"))
+
+
 @query(f"WITH {PASSED}, {top_sql(_DAY, 3, 1)} SELECT bucket, array_to_string(list(asset_id ORDER BY rank), ',') AS candidates, CAST(count(*) AS INTEGER) AS n, first(asset_id ORDER BY rank) AS first_id FROM t GROUP BY bucket")
 def candidate_list_per_bucket(spark, sf_dir):
     lists = select.candidate_lists(picked(spark, sf_dir, "day"))

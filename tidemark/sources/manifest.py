@@ -1,12 +1,14 @@
-"""Tables of the manifest as Parquet: schemas, registry, rejects and a paged source."""
+"""Tables of the manifest as Parquet: schemas, commits, rejects and items."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from tidemark.operators import incremental
+from tidemark.sources import snapshots
 
 #: The columns of the manifest.
 SCHEMAS = {
@@ -24,30 +26,38 @@ SCHEMAS = {
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A manifest table, empty if it was never written; columns that older files lack are null."""
+    """A manifest table as of the newest commit, empty if it was never written; columns that older files lack are null.
+
+    A plain Parquet table of that name is read where no commit has the table.
+    """
+    now = snapshots.snapshot(spark, folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], SCHEMAS[name])
+    if name in now.tables or not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return now.read(name, SCHEMAS[name])
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
 
 
 def refresh(spark: SparkSession, folder: str, name: str, rows: DataFrame, check: Callable[[DataFrame], None] | None = None) -> None:
-    """Replaces a whole manifest table by rows, once these are computed and check (which raises) has passed.
+    """Replaces a whole manifest table by rows, once these are computed and check (which raises) has passed on them as written.
+
+    One commit of snapshots: a failure at any step leaves the old table, which rows may be read from.
+    """
+    snapshots.replace(spark, folder, {name: lambda _: rows}, {name: check} if check else None)
 
-    They are written beside the old table, checked as written, and swapped in by renaming: a failure leaves the old
-    table, which rows may be read from.
+
+def finish_run(spark: SparkSession, folder: str, ended: DataFrame, tables: dict[str, DataFrame] | None = None, skew_seconds: int = 60) -> snapshots.Snapshot:
+    """Closes runs, moves the watermarks of successful ones and replaces other tables, all in one commit.
+
+    ended (id, finished_at, assets_indexed, person_assets): assets_indexed is null for a failed run, whose person keeps its watermark. A
+    crash leaves everything as it was, so that the window that wasn't indexed is covered again.
     """
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    at, new, old = (f"{folder}/{n}" for n in (name, f"{name}.new", f"{name}.old"))
-    fs = fs_path(at).getFileSystem(spark._jsc.hadoopConfiguration())
-    rows.write.mode("overwrite").parquet(new)
-    if check is not None:
-        check(spark.read.schema(rows.schema).parquet(new))
-    fs.delete(fs_path(old), True)
-    if fs.exists(fs_path(at)):
-        fs.rename(fs_path(at), fs_path(old))
-    fs.rename(fs_path(new), fs_path(at))
-    fs.delete(fs_path(old), True)
+    base = snapshots.snapshot(spark, folder)
+    runs, state = base.read("runs", SCHEMAS["runs"]), base.read("sync_state", SCHEMAS["sync_state"])
+    closed = incremental.close_runs(runs, ended)
+    counted = closed.join(ended.select("id", "person_assets"), "id")  # only runs that end now move a watermark
+    new = {"runs": closed, "sync_state": incremental.commit_watermarks(state, counted, skew_seconds)} | (tables or {})
+    staged = {name: snapshots.stage(base, name, rows) for name, rows in new.items()}
+    return snapshots.commit(base, staged, reads=["runs", "sync_state"])
 
 
 def not_empty(rows: DataFrame) -> None:
@@ -75,40 +85,3 @@ def asset_rows(items: DataFrame, body: str, source: str) -> DataFrame:
     get = lambda path: F.get_json_object(body, f"$.{path}")
     text = lambda path: F.nullif(get(path), F.lit(""))
     return items.select(get("id").alias("id"), F.coalesce(text("localDateTime"), text("fileCreatedAt")).alias("local_datetime"), get("fileCreatedAt").alias("file_created_at"), get("updatedAt").alias("updated_at"), get("exifInfo.exifImageWidth").try_cast("int").alias("width"), get("exifInfo.exifImageHeight").try_cast("int").alias("height"), get("checksum").alias("checksum"), get("originalFileName").alias("original_file_name"), F.lit(source).alias("source"))
-
-
-class PagedSource(DataSource):
-    """Reads a paged service as JSON items; options go to a fetch function given by `fetch` as module:function.
-
-    fetch(page, options) returns (items as JSON texts, next page or None). `pages` splits the reading; with one
-    partition pages are followed until there is no next one.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "tidemark_paged"
-
-    def schema(self) -> str:
-        return "page int, body string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _PagedReader(dict(self.options))
-
-
-class _PagedReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = options
-
-    def partitions(self) -> list[InputPartition]:
-        pages = int(self.options.get("pages", 0))
-        return [InputPartition(p) for p in range(1, pages + 1)] or [InputPartition(None)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        from importlib import import_module
-
-        module, _, function = self.options["fetch"].partition(":")
-        fetch, page = getattr(import_module(module), function), partition.value or 1
-        while page is not None:
-            items, following = fetch(page, self.options)
-            yield from ((page, body) for body in items)
-            page = None if partition.value else following

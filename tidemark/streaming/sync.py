@@ -5,48 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.incremental import newest, upsert
+from tidemark.operators.incremental import newest
+from tidemark.sources import snapshots
 
-#: Column of a version that tells the batch that wrote it.
-_STREAM = "_written_by"
+#: The one table of a target folder, and the buckets of its key.
+TABLE, BUCKETS = "rows", 256
 
 
-def sync_files(spark: SparkSession, landing: str, schema: str, target: str, checkpoint: str, key: str, updated_col: str, first_seen: tuple[str, ...] = ()) -> int:
+def sync_files(spark: SparkSession, landing: str, schema: str, target: str, checkpoint: str, key: str, updated_col: str, first_seen: tuple[str, ...] = (), buckets: int = BUCKETS) -> int:
     """Take up all files that came since the last call and upsert their rows by key; returns the batches run.
 
-    Each batch writes a version with the next number beside the old ones, which counts only when complete, and puts its
-    checkpoint and number on the rows, so that a failed or repeated batch changes nothing twice. Versions go on from
-    the newest one if the checkpoint is lost: files are then taken up again, over the same keys.
+    Each batch is one commit of snapshots, which writes only the buckets of the key in which a row changes, and leaves its
+    number as a mark, so that a failed or repeated batch changes nothing twice. A new checkpoint takes all files up again, over the same keys.
     """
+    ran = []
 
     def one(batch: DataFrame, number: int) -> None:
-        done = versions(spark, target)
-        if done and batch.sparkSession.read.parquet(f"{target}/version={done[-1]}").where(F.col(_STREAM).eqNullSafe(F.struct(F.lit(checkpoint).alias("checkpoint"), F.lit(number).cast("bigint").alias("batch")))).limit(1).count():
-            return  # a repeated batch
-        incoming = newest(batch, key, F.desc(updated_col))
-        stamp = F.struct(F.lit(checkpoint).alias("checkpoint"), F.lit(number).cast("bigint").alias("batch"))
-        after = upsert(current(spark, target, schema), incoming, key, first_seen).withColumn(_STREAM, stamp)
-        after.write.mode("overwrite").parquet(f"{target}/version={done[-1] + 1 if done else 0}")
+        session = batch.sparkSession
+        stream = session.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]  # another one for each new checkpoint
+        put_batch(snapshots.snapshot(session, target), newest(batch, key, F.desc(updated_col)), key, first_seen, buckets, stream, number)
+        ran.append(number)
 
     query = spark.readStream.schema(schema).parquet(landing).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return len(query.recentProgress)
+    return len(ran)
+
+
+def put_batch(base: snapshots.Snapshot, incoming: DataFrame, key: str, first_seen: tuple[str, ...], buckets: int, stream: str, number: int) -> snapshots.Snapshot:
+    """Upserts one batch (a row for each key) of a stream unless that batch or a later one is in base already."""
+    if base.marks.get(stream, -1) >= number:
+        return base
+    incoming = incoming.persist()
+    try:
+        entry = snapshots.stage_upsert(base, TABLE, incoming, key, first_seen, buckets)
+        return snapshots.commit(base, {TABLE: entry}, marks={stream: number})
+    finally:
+        incoming.unpersist()
 
 
 def versions(spark: SparkSession, target: str) -> list[int]:
-    """The numbers of the complete versions in order."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    paths = [status.getPath() for status in fs.listStatus(folder)]
-    return sorted(int(p.getName().partition("=")[2]) for p in paths if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    """The numbers of the commits in order."""
+    return snapshots.numbers(spark, target)
 
 
 def current(spark: SparkSession, target: str, schema: str) -> DataFrame:
-    """The newest complete version, empty if there is none."""
-    done = versions(spark, target)
-    return spark.read.schema(schema).parquet(f"{target}/version={done[-1]}") if done else spark.createDataFrame([], schema)
+    """The newest complete state, empty if there is none."""
+    return snapshots.snapshot(spark, target).read(TABLE, schema)
 
 
 def bucket_counts(events: DataFrame, time_col: str, width: str, late: str) -> DataFrame:
