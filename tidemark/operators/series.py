@@ -81,47 +81,56 @@ def laplacian_variance(cells: DataFrame, image: str, x: str, y: str, value: str)
 
 
 def combine_looks(looks: DataFrame, item: str, values: str) -> DataFrame:
-    """(item, pos, median): the median over an item's looks of each place of their arrays."""
-    return looks.select(item, F.posexplode(values).alias("pos", "v")).groupBy(item, "pos").agg(F.percentile("v", F.lit(0.5)).alias("median"))
+    """(item, pos, median): the median over an item's looks of each place of their arrays; items with any number of looks. NaN and null don't count."""
+    seen = looks.select(F.col(item).alias("_i"), F.posexplode(values).alias("pos", "_x")).select(F.struct("_i", "pos").alias("_key"), "_x")
+    return percentiles(seen, "_key", "_x", 0.5).select(F.col("_key._i").alias(item), F.col("_key.pos").alias("pos"), F.col("p0").alias("median"))
 
 
 def combine_scores(looks: DataFrame, item: str, scores: str) -> DataFrame:
-    """(item, name, median): the median over an item's looks of each named score of their maps; a look without a name counts as 0."""
-    n = looks.groupBy(item).agg(F.count("*").alias("_n"))
-    named = looks.select(item, F.explode(scores).alias("name", "v")).groupBy(item, "name").agg(F.array_sort(F.collect_list(F.coalesce("v", F.lit(0.0)))).alias("_v"))
-    # an item has few looks: its scores of a name, and zeros for the others, in order
-    filled = F.array_sort(F.concat("_v", F.array_repeat(F.lit(0.0), (F.col("_n") - F.size("_v")).cast("int"))))
-    middle = (F.get("_f", F.floor((F.size("_f") - 1) / 2).cast("int")) + F.get("_f", F.floor(F.size("_f") / 2).cast("int"))) / 2
-    return named.join(n, item).withColumn("_f", filled).select(item, "name", middle.alias("median"))
+    """(item, name, median): the median over an item's looks of each named score of their maps; a look without a name counts as 0.
+
+    The zeros aren't made: they are one row with their number, so an item may have any number of looks.
+    """
+    n = looks.groupBy(F.col(item).alias("_i")).agg(F.count("*").alias("_n"))
+    named = looks.select(F.col(item).alias("_i"), F.explode(scores).alias("_s", "_x")).select("_i", "_s", F.coalesce(F.col("_x").cast("double"), F.lit(0.0)).alias("_x"))
+    held = named.groupBy("_i", "_s").agg(F.count("*").alias("_c"))
+    zeros = held.join(n, held["_i"].eqNullSafe(n["_i"])).where("_n > _c").select(F.struct(held["_i"], "_s").alias("_key"), F.lit(0.0).alias("_x"), (F.col("_n") - F.col("_c")).alias("_w"))
+    every = named.select(F.struct("_i", "_s").alias("_key"), "_x", F.lit(1).cast("bigint").alias("_w")).union(zeros)
+    return percentiles(every, "_key", "_x", 0.5, weight="_w").select(F.col("_key._i").alias(item), F.col("_key._s").alias("name"), F.col("p0").alias("median"))
 
 
 def combine_angles(looks: DataFrame, item: str, *axes: str) -> DataFrame:
-    """(item, axes): the median of each angle over the looks that have a pose; angles, not matrices, are combined."""
-    return looks.groupBy(item).agg(*(F.percentile(a, F.lit(0.5)).alias(a) for a in axes))
+    """(item, axes): the median of each angle over the looks that have a pose, null if none has; angles, not matrices, are combined."""
+    pairs = F.array(*(F.struct(F.lit(i).alias("axis"), F.col(a).cast("double").alias("_x")) for i, a in enumerate(axes)))
+    seen = looks.select(F.col(item).alias("_i"), F.explode(pairs).alias("p")).where("p._x is not null").select(F.struct("_i", "p.axis").alias("_key"), F.col("p._x").alias("_x"))
+    found = percentiles(seen, "_key", "_x", 0.5).groupBy(F.col("_key._i").alias("_m")).agg(*(F.max(F.when(F.col("_key.axis") == i, F.col("p0"))).alias(a) for i, a in enumerate(axes)))
+    items = looks.select(F.col(item).alias("_j")).distinct()
+    return items.join(found, F.col("_j").eqNullSafe(F.col("_m")), "left").select(F.col("_j").alias(item), *axes)
 
 
-def percentiles(df: DataFrame, group: str, value: str, *shares: float, ranges: int = 256) -> DataFrame:
-    """(group, p0, p1, ...): exact percentiles of value in each group, linear between neighbours, for groups of any size.
+def percentiles(df: DataFrame, group: str, value: str, *shares: float, ranges: int = 256, weight: str | None = None) -> DataFrame:
+    """(group, p0, p1, ...): exact percentiles of value in each group, linear between neighbours, for groups of any size and number.
 
     Values are counted in ranges of equal width first, so that a task only orders the values of the ranges that hold
-    a rank in question. NaN and null don't count.
+    a rank in question. NaN and null don't count. With `weight` (a whole number) a row stands for so many equal ones, none below 1.
     """
-    seen = df.select(F.col(group).alias("_g"), F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("_v")).where("_v is not null")
-    span = seen.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    times = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
+    seen = df.select(F.col(group).alias("_g"), F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("_v"), times.alias("_w")).where("_v is not null and _w > 0")
+    span = seen.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_w").alias("_n"))
     placed = seen.join(span, seen["_g"].eqNullSafe(span["_g"])).drop(span["_g"])
     width = F.col("_hi") - F.col("_lo")
     placed = placed.withColumn("_r", F.when(width > 0, F.least(F.lit(ranges - 1), F.floor((F.col("_v") - F.col("_lo")) / width * ranges))).otherwise(0).cast("int"))
-    counts = placed.groupBy("_g", "_r", "_n").agg(F.count("*").alias("_c"))
+    counts = placed.groupBy("_g", "_r", "_n").agg(F.sum("_w").alias("_c"))
     counts = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy("_g").orderBy("_r")) - F.col("_c"))  # at most `ranges` rows a group
     wanted = [(F.col("_n") - 1) * s for s in shares]
     hold = [((w >= F.col("_before") - 1) & (w < F.col("_before") + F.col("_c"))) for w in wanted]
     needed = hold[0]
     for h in hold[1:]:
         needed |= h
-    needed = counts.where(needed).select(F.col("_g").alias("_k"), F.col("_r").alias("_q"), "_before")
-    kept = placed.join(F.broadcast(needed), F.col("_g").eqNullSafe(F.col("_k")) & (F.col("_r") == F.col("_q")))  # a few rows a group and share
+    needed = counts.where(needed).select(F.col("_g").alias("_k"), F.col("_r").alias("_q"), "_before")  # a few rows a group and share; Spark chooses the join
+    kept = placed.join(needed, F.col("_g").eqNullSafe(F.col("_k")) & (F.col("_r") == F.col("_q")))
     # equal values go together, so that a value held by a third of all rows is one row
-    kept = kept.groupBy("_g", "_r", "_n", "_before", "_v").agg(F.count("*").alias("_c"))
+    kept = kept.groupBy("_g", "_r", "_n", "_before", "_v").agg(F.sum("_w").alias("_c"))
     end = F.col("_before") + F.sum("_c").over(Window.partitionBy("_g", "_r").orderBy("_v"))
     kept = kept.withColumn("_end", end).withColumn("_start", end - F.col("_c"))
     at = lambda rank: F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")), F.col("_v")))

@@ -71,6 +71,30 @@ def fingerprints(frames: DataFrame, chapter: str, settings: Column, *fields: str
     return frames.groupBy(chapter).agg(items.alias("items")).select(chapter, F.size("items").alias("n_frames"), fingerprint(F.col("items"), settings).alias("print"))
 
 
+def tree_digests(frames: DataFrame, chapter: str, *fields: str, run: int = 4096, levels: int | None = None) -> DataFrame:
+    """(chapter, n_frames, print): the root of a tree of digests over a chapter's frames, for chapters of any length, as a row holds `run` digests at most.
+
+    A frame's digest is of seq (a whole number from 0 on, distinct in its chapter) and the fields, null ones as such; frames whose
+    seq div run is equal go together, in order of seq, and so do those digests by their own number, until all chapters have one. Trees of the same
+    run and levels compare; without levels there are as many as the largest seq needs. The result doesn't depend on the partitioning.
+    """
+    text = [F.coalesce(F.concat(F.octet_length(F.col(f).cast("string")).cast("string"), F.lit(":"), F.col(f).cast("string")), F.lit("-")) for f in fields]
+    level = frames.select(F.col(chapter).alias("_k"), F.col("seq").cast("bigint").alias("_i"), F.sha2(F.concat_ws(",", F.col("seq").cast("string"), *text).cast("binary"), 256).alias("_d"), F.lit(1).cast("bigint").alias("_n"))
+    if levels is None:
+        highest, levels = frames.agg(F.max(F.col("seq").cast("bigint"))).first()[0] or 0, 1
+        while highest >= run**levels:
+            levels += 1
+    for _ in range(levels):
+        own = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_d"))), lambda x: F.concat_ws(":", x["_i"].cast("string"), x["_d"]))
+        level = level.groupBy("_k", F.floor(F.col("_i") / run).cast("bigint").alias("_up")).agg(F.sha2(F.array_join(own, ",").cast("binary"), 256).alias("_d"), F.sum("_n").alias("_n")).select("_k", F.col("_up").alias("_i"), "_d", "_n")
+    return level.select(F.col("_k").alias(chapter), F.col("_n").alias("n_frames"), F.col("_d").alias("print"))
+
+
+def tree_fingerprints(frames: DataFrame, chapter: str, settings: Column, *fields: str, run: int = 4096) -> DataFrame:
+    """(chapter, n_frames, print) like fingerprints, for chapters of any length: of the root of tree_digests, and of settings in any order."""
+    return tree_digests(frames, chapter, *fields, run=run).withColumn("print", fingerprint(F.array("print"), settings))
+
+
 def concat_lines(entries: DataFrame, path_col: str, *order: str) -> DataFrame:
     """(ord, line): the lines of a concat list; the last file is named once more without duration, as players need."""
     w = Window.orderBy(*order)  # one list is one file, in order

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.cluster import work_folder
-from tidemark.operators import incremental
+from tidemark.operators import incremental, reconcile, timeline
 from tidemark.plans.registry import load, query
 from tidemark.sources import manifest, snapshots
 
@@ -65,3 +65,26 @@ def bucketed_upsert(spark, sf_dir):
     for _ in range(2):
         base = snapshots.commit(base, {"orders": snapshots.stage_upsert(base, "orders", put, "o_orderkey", ("o_orderpriority",))})
     return base.read("orders")
+
+
+@query(
+    "SELECT o_orderkey, CASE WHEN o_orderkey < 0 THEN 'extra' WHEN o_orderkey % 1009 = 5 THEN 'missing' ELSE 'changed' END AS state FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 1009 = 5 OR (o_orderkey % 1009 <> 5 AND o_orderkey % 2003 = 7) UNION ALL SELECT -1 - o_orderkey FROM orders WHERE o_orderkey % 3001 = 11)"
+)
+def reconciled_keys(spark, sf_dir):
+    """A stored copy of orders that lacks some, holds others with an old price and some that are gone."""
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_orderstatus")
+    key = F.col("o_orderkey")
+    kept = orders.where(key % 1009 != 5).withColumn("o_totalprice", F.when(key % 2003 == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    stored = kept.union(orders.where(key % 3001 == 11).withColumn("o_orderkey", -1 - key))
+    return reconcile.reconcile(stored, orders, "o_orderkey")
+
+
+_LEAVES = "l0 AS (SELECT event_type AS k, event_id AS i, sha256(concat(event_id, ',', octet_length(encode(CAST(user_id AS VARCHAR))), ':', user_id)) AS d, 1 AS n FROM events)"
+_LEVEL = "l{} AS (SELECT k, i // 16 AS i, sha256(string_agg(concat(i, ':', d), ',' ORDER BY i)) AS d, sum(n) AS n FROM l{} GROUP BY k, i // 16)"
+
+
+@query(f"WITH {_LEAVES}, {', '.join(_LEVEL.format(i, i - 1) for i in range(1, 8))} SELECT k AS event_type, CAST(n AS BIGINT) AS n_frames, d AS print FROM l{{levels}}".replace("{levels}", "7"))
+def fingerprint_tree(spark, sf_dir):
+    """Digests of each type's events in order of id, by levels of 16; seven levels, as many as ids below 2^28 need."""
+    frames = load(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("seq"), "user_id")
+    return timeline.tree_digests(frames, "event_type", "user_id", run=16, levels=7)
