@@ -72,14 +72,6 @@ def damped(df: DataFrame, value: str, order: str, by: list[str] = (), rows: int
     return out.withColumn("gain", F.when(away, F.coalesce(luma_gain(F.col(value), F.col("median")), F.lit(1.0))).otherwise(1.0)).drop("_n")
 
 
-def laplacian_variance(cells: DataFrame, image: str, x: str, y: str, value: str) -> DataFrame:
-    """(image, sharpness): population variance of the four-neighbour Laplacian over the cells of a grid that have all neighbours."""
-    row, col = Window.partitionBy(image, y).orderBy(x), Window.partitionBy(image, x).orderBy(y)
-    near = lambda w, step, at: F.when(F.lead(at, step).over(w) == F.col(at) + step, F.lead(value, step).over(w))
-    total = near(row, -1, x) + near(row, 1, x) + near(col, -1, y) + near(col, 1, y) - 4 * F.col(value)
-    return cells.withColumn("_lap", total).groupBy(image).agg(F.coalesce(F.var_pop("_lap"), F.lit(0.0)).alias("sharpness"))
-
-
 def combine_looks(looks: DataFrame, item: str, values: str) -> DataFrame:
     """(item, pos, median): the median over an item's looks of each place of their arrays; items with any number of looks. NaN and null don't count."""
     seen = looks.select(F.col(item).alias("_i"), F.posexplode(values).alias("pos", "_x")).select(F.struct("_i", "pos").alias("_key"), "_x")

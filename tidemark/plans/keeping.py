@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.cluster import work_folder
 from tidemark.operators import incremental, reconcile, timeline
 from tidemark.plans.registry import load, query
-from tidemark.sources import manifest, snapshots
+from tidemark.sources import lines, manifest, snapshots
 
 _RUNS = "r AS (SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS person_id, strftime(o_orderdate, '%Y-%m-%dT12:00:00.000Z') AS started_at, o_orderkey % 3 > 0 AS ok, o_orderkey % 4 = 0 AS ended FROM orders)"
 
@@ -88,3 +89,18 @@ def fingerprint_tree(spark, sf_dir):
     """Digests of each type's events in order of id, by levels of 16; seven levels, as many as ids below 2^28 need."""
     frames = load(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("seq"), "user_id")
     return timeline.tree_digests(frames, "event_type", "user_id", run=16, levels=7)
+
+
+@query(
+    "WITH e AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS k, concat('file ''', conv_id, '-', turn, '.mp4''') AS f, printf('duration %.6f', (length(text) % 7 + 1) / 4.0::DOUBLE) AS d FROM conversations) "
+    "SELECT 2 * k - 1 AS ord, f AS line FROM e UNION ALL SELECT 2 * k, d FROM e UNION ALL SELECT 2 * max(k) + 1, max_by(f, k) FROM e"
+)
+def concat_list_in_files(spark, sf_dir):
+    """A concat list of all turns, written in ranges and read back in the order of its files."""
+    path = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit(".mp4"))
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", path.alias("path"), ((F.length("text") % 7 + 1) / 4.0).alias("duration"))
+    folder = work_folder(spark, "list")
+    lines.write_concat_list(turns, folder, "path", "conv_id", "turn", partitions=5)
+    back = lines.read_ordered(spark, folder)
+    ahead = back.groupBy("file").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("file")) - F.col("n"))  # a row for each file
+    return back.join(ahead, "file").select((F.col("before") + F.col("pos") + 1).alias("ord"), "line")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as g
-from tidemark.operators import series
+from tidemark.operators import pixels, series
 from tidemark.plans.registry import MEASURED, load, measured, query
 
 _MEDIAN = "quantile_cont(value, 0.5) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)"
@@ -37,9 +37,9 @@ _CELLS = "c AS (SELECT vec_id, (i - 1) % 8 AS x, (i - 1) // 8 AS y, CAST(embeddi
     "JOIN c d ON d.vec_id = c.vec_id AND d.x = c.x AND d.y = c.y - 1 JOIN c e ON e.vec_id = c.vec_id AND e.x = c.x AND e.y = c.y + 1) GROUP BY vec_id"
 )
 def laplacian_variance(spark, sf_dir):
-    cells = load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    cells = cells.select("vec_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), F.col("v").cast("double").alias("v"))
-    return series.laplacian_variance(cells, "vec_id", "x", "y", "v").withColumn("sharpness", F.round("sharpness", 8))
+    grids = load(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lit(8).alias("width"))
+    found = pixels.on_pictures(grids, "embedding", "width", "sharpness double", lambda stack, _: {"sharpness": pixels.laplacian_variance(stack)})
+    return found.select("vec_id", F.round("sharpness", 8).alias("sharpness"))
 
 
 @query("SELECT label, CAST(i - 1 AS INTEGER) AS pos, round(quantile_cont(CAST(embedding[i] AS DOUBLE), 0.5), 6) AS median FROM (SELECT label, embedding, unnest(generate_series(1, 64)) AS i FROM embeddings) GROUP BY label, i")

@@ -73,7 +73,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from tidemark.plans import choosing, keeping, matching, measuring, reporting, rowwise, syncing  # noqa: F401  each registers its queries
+    from tidemark.plans import choosing, keeping, matching, measuring, picturing, reporting, rowwise, syncing  # noqa: F401  each registers its queries
 
 
 __all__ = ["F", "MEASURED", "load", "measured", "oracle_sql", "queries", "query"]
