@@ -241,3 +241,29 @@ def test_op6_language_of_empty_texts_alone(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(1)
     got = {r["doc_id"]: r["lang_pred"] for r in identify(docs, learn_filter(docs, F.lit(True))).collect()}
     assert got[1] == got[4] == "und" and got[3] == "es"
+
+
+@pytest.mark.parametrize("owners", [700, 450])
+def test_op1_windows(monkeypatch, owners):
+    """Each owner meets the WINDOW rows after it and its whole group, and nothing else, whatever the blocks."""
+    from tidemark.llm import embedding_dedup as dedup
+
+    monkeypatch.setattr(dedup, "BLOCK", 50)
+    r = np.random.default_rng(1)
+    x = r.standard_normal((700, 3))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    group = np.sort(np.concatenate([np.full(150, 7), r.integers(0, 60, 550)]))
+    ids = r.permutation(700)
+    a, b = dedup.window_links(ids, group, x, 0.99, owners)
+    at = np.argsort(ids)
+    meet = lambda i, j: i < owners and (j - i <= dedup.WINDOW or group[i] == group[j])
+    links = [(i, j) for i in range(700) for j in range(i + 1, 700) if meet(i, j) and x[i] @ x[j] >= 0.99]
+
+    def classes(pairs):
+        up = list(range(700))
+        find = lambda k: k if up[k] == k else find(up[k])
+        for i, j in pairs:
+            up[find(i)] = find(j)
+        return {frozenset(k for k in range(700) if find(k) == top) for top in {find(k) for k in range(700)}}
+
+    assert classes(links) == classes(zip(at[a].tolist(), at[b].tolist(), strict=True))

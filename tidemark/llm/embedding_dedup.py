@@ -1,14 +1,16 @@
-"""Near-duplicate vectors by hashed projection passes.
+"""Near-duplicate vectors by sorted projection passes.
 
-In each pass every vector gets a key of random hashes (signs of random projections), and all vectors of one key
-are compared, tile by tile where they are many. Verified pairs of all passes are united. Links lie within the
-groups so found, and are counted there exactly, tile by tile. Equal vectors are one row throughout, with their number.
+In each pass vectors are ordered lexicographically by their concatenated random hashes (signs of random projections), and each is
+compared with a window of those that follow it: WINDOW of them, and on while the leading hashes are equal. Verified pairs of all passes
+are united. Links lie within the groups so found, and are counted there exactly, tile by tile. Equal vectors are one row throughout, with
+their number.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,12 +21,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import components, durable, local_forest, ship
 from tidemark.llm.vectors import linked, matrix, prepared, unit, vec_type
 
-#: Random hashes in a key, at most.
-HASHES = 48
+#: Random hashes in a key; what a window holds at least.
+HASHES, WINDOW = 48, 32
 #: Chance that one pair at the threshold is missed by all passes.
 MISS = 1e-4
-#: Rows of one tile side, and of what is compared with it at once.
-BLOCK, STRIP = 2048, 256
+#: Rows of one tile side, and of what is compared with it at once; rows whose windows are compared at once.
+BLOCK, STRIP, BAND = 2048, 256, 64
 #: Vectors that crowding is measured on; comparisons that cost as much as dealing out a row for one pass, about.
 SAMPLE, ROW_COST = 1000, 512
 #: Keys of many vectors are broadcast up to so many; more are joined.
@@ -34,14 +36,15 @@ BROADCAST_KEYS = 100_000
 def passes_for(hashes: int, threshold: float, miss: float = MISS) -> int:
     """Passes after which a pair at the threshold is missed with chance `miss` at most, however the others lie.
 
-    Two vectors agree on a random sign with chance 1 - angle / pi, and meet in each pass in which they agree on all `hashes`.
+    Two vectors agree on a random sign with chance 1 - angle / pi, and meet in each pass in which they agree on the first `hashes`, as
+    windows go on that far. What windows find beyond that comes on top.
     """
     agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
     return max(1, math.ceil(math.log(miss) / math.log1p(-min(agree**hashes, 1 - 1e-9))))
 
 
 def plan(rows: int, sample: list[np.ndarray], threshold: float) -> tuple[int, int]:
-    """(hashes, passes) of the least work, by the crowding of sampled vectors (a matrix for each length).
+    """(leading hashes, passes) of the least work, by the crowding of sampled vectors (a matrix for each length).
 
     The sample decides on time alone: passes_for holds for every choice.
     """
@@ -57,12 +60,19 @@ def _planes(dim: int, index: int) -> np.ndarray:
     return np.random.default_rng([7, dim, index]).standard_normal((dim, HASHES))
 
 
-def _tile_links(ids: np.ndarray, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links among the rows with cosine >= threshold."""
-    p, q = [], []
-    for i in range(0, len(ids), STRIP):
-        a, b = np.nonzero(linked(x[i : i + STRIP], x[i:], threshold))
-        p.append(a[a < b] + i), q.append(b[a < b] + i)
+def window_links(ids: np.ndarray, group: np.ndarray, x: np.ndarray, threshold: float, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links with cosine >= threshold between rows in order: each of the first `owners` with the WINDOW rows after it, and with all after it in its group."""
+    ends = np.searchsorted(group, group[:owners], "right")  # groups ascend
+    p, q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, owners, BAND):
+        rows = np.arange(i, min(i + BAND, owners))
+        reach = np.minimum(np.maximum(ends[rows], rows + WINDOW + 1), len(ids))
+        for j in range(i, int(reach[-1]), BLOCK):
+            upto = min(j + BLOCK, int(reach[-1]))
+            a, b = np.nonzero(linked(x[rows], x[j:upto], threshold))
+            a, b = rows[a], b + j
+            keep = (a < b) & (b < reach[a - i])
+            p.append(a[keep]), q.append(b[keep])
     root = local_forest(len(ids), np.concatenate(p), np.concatenate(q), ids)
     off = ids[root] != ids
     return ids[off], ids[root[off]]
@@ -71,13 +81,15 @@ def _tile_links(ids: np.ndarray, x: np.ndarray, threshold: float) -> tuple[np.nd
 def projection_links(vectors: DataFrame, threshold: float, hashes: int, passes: int, partitions: int) -> DataFrame:
     """Links (a, b) found by the passes over vectors (id, dim, vec); vectors of different length never meet.
 
-    All vectors of a (pass, dim, key) meet. More than two blocks of them are dealt out in tiles of two blocks each.
+    In each (pass, dim) the vectors are ordered by their HASHES hashes, in ranges that never part equal leading `hashes`, so that the
+    vectors that share those all meet; windows end at a range. More than two blocks of vectors with equal leading hashes are dealt out in
+    tiles of two blocks each.
     """
     ship(vectors.sparkSession)
     own = ["pass", "dim", "key"]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, pa.RecordBatch]]:
-        planes, weights = {}, 1 << np.arange(hashes, dtype=np.int64)
+        planes, weights = {}, 1 << np.arange(HASHES - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             dims = batch.column(1).to_numpy()
             for dim in np.unique(dims).tolist():
@@ -87,47 +99,56 @@ def projection_links(vectors: DataFrame, threshold: float, hashes: int, passes:
                     if (dim, k) not in planes:
                         if len(planes) >= 256:
                             planes.clear()
-                        planes[dim, k] = _planes(dim, k)[:, :hashes]
+                        planes[dim, k] = _planes(dim, k)
                     yield k, dim, (x @ planes[dim, k] > 0) @ weights, part
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, dim, key, _ in keys(batches):
-            value, n = np.unique(key, return_counts=True)
+        for k, dim, code, _ in keys(batches):
+            value, n = np.unique(code >> (HASHES - hashes), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), pa.array(np.full(len(n), dim, np.int32)), pa.array(value), pa.array(n)], [*own, "n"])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, _, key, part in keys(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), part.column(1), pa.array(key), part.column(0), part.column(2)], [*own, "id", "vec"])
+        for k, _, code, part in keys(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k, np.int32)), part.column(1), pa.array(code >> (HASHES - hashes)), pa.array(code), part.column(0), part.column(2)], [*own, "code", "id", "vec"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(part: pa.RecordBatch) -> pa.RecordBatch:
-            a, b = _tile_links(part.column(3).to_numpy(), unit(matrix(part.column(4), part.column(1)[0].as_py())), threshold)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
+        """Over rows (pass, dim, key, code, id, vec, i, j) in order: runs of one (pass, dim), with their groups (key, i, j)."""
         kept = None
-        for batch in batches:
-            if kept is not None:
+        for batch in chain(batches, [None]):
+            last = batch is None
+            if kept is not None and not last:
                 batch = pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
-            tile = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (0, 1, 2, 5, 6)])
-            cuts = [0, *(np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(0)) + 1).tolist()]
+            elif last:
+                batch = kept
+            if batch is None or not batch.num_rows:
+                continue
+            own = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (0, 1, 2, 6, 7)])
+            moved = own[:, 1:] != own[:, :-1]
+            group = np.concatenate([[0], np.cumsum(moved.any(0))])
+            cuts = [0, *(np.flatnonzero(moved[:2].any(0)) + 1).tolist(), batch.num_rows]
+            kept = None
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi - lo > 1:
-                    yield links(batch.slice(lo, hi - lo))
-            kept = batch.slice(cuts[-1])  # may go on in the next batch
-        if kept is not None and kept.num_rows > 1:
-            yield links(kept)
+                owners = hi - lo
+                if hi == batch.num_rows and not last:  # may go on in the next batch: those whose windows are whole are done
+                    whole = np.searchsorted(group, group[max(lo, hi - WINDOW - 1)]) - lo
+                    owners = max(0, int(whole))
+                    kept = batch.slice(lo + owners)
+                if owners and hi - lo > 1:
+                    part = batch.slice(lo, hi - lo)
+                    a, b = window_links(part.column(4).to_numpy(), group[lo:hi], unit(matrix(part.column(5), part.column(1)[0].as_py())), threshold, owners)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     many = durable(vectors.mapInArrow(sizes, "pass int, dim int, key bigint, n bigint").groupBy(*own).agg(F.sum("n").alias("n")).where(F.col("n") > 2 * BLOCK).select(*own, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    rows, n = vectors.mapInArrow(keyed, f"pass int, dim int, key bigint, id bigint, vec {vec_type(vectors)}"), many.count()
+    rows, n = vectors.mapInArrow(keyed, f"pass int, dim int, key bigint, code bigint, id bigint, vec {vec_type(vectors)}"), many.count()
     if n:
         blocks = F.coalesce("blocks", F.lit(1))
         rows = rows.join(F.broadcast(many) if n <= BROADCAST_KEYS else many, own, "left")
         rows = rows.withColumn("at", F.when(blocks > 1, F.pmod(F.xxhash64("vec"), blocks)).otherwise(0).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rows = rows.select(*own, "id", "vec", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
+        rows = rows.select(*own, "code", "id", "vec", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
     else:
         rows = rows.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"))
     tile = [*own, "i", "j"]
-    return rows.repartition(partitions, *tile).sortWithinPartitions(*tile).mapInArrow(compare, "a bigint, b bigint").distinct()
+    return rows.repartitionByRange(partitions, *tile).sortWithinPartitions(*tile, "code").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def all_links(classes: DataFrame, threshold: float) -> DataFrame:
