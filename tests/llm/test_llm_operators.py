@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, packing, pii, registry, simhash
@@ -226,60 +227,108 @@ def valid(kind, value):
     return [True, kind == 1 and all(int(p) <= 255 for p in value.split(".")), 16 <= len(digits) <= 19 and luhn, 8 <= len(digits) <= 15][kind]
 
 
+def shared(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    return [{value, value.split("@")[0] + "@", "@" + value.split("@")[-1]}, {value, value[: value.rindex(".") + 1] if kind == 1 else ""}, {digits}, {"+" + digits, f"+{digits[:-4]}."}][kind]
+
+
 def disclosing(texts):
     """Brute force: the terms that disclose an entity."""
-    out = set()
-    for contexts in ({t for t in texts if t},):
-        has, near, of = {}, {}, {}
-        for c in contexts:
-            for w in re.findall(r"[^\W_]+", c.lower()):
-                of.setdefault(w, set()).add(c)
-            ws = c.lower().split()
-            for i in range(0, max(0, -(-len(ws) // pii.NEAR) - 2) * pii.NEAR + 1, pii.NEAR):
-                window = " ".join(ws[i : i + 2 * pii.NEAR])
-                for e in {m[0] for k, p in enumerate(BASE) for m in re.finditer(p, window) if valid(k, m[0])}:
-                    has.setdefault(e, set()).add(c)
-                    for w in set(re.findall(r"[^\W_]+", window)) - {e}:
-                        near.setdefault((e, w), set()).add(c)
-        for (e, w), both in near.items():
-            if e in w:
-                continue
-            n, n_e, n_t, n_te = len(contexts), len(has[e]), len(of[w]), len(both)
-            if n_e < n and n_te >= pii.CERTAINTY * n_t and np.log(n * n_te / (n_t * n_e)) / np.log(n / n_e) >= pii.DISCLOSURE:
-                out.add(w)
+    contexts, out, trials = {t for t in texts if t}, set(), 0
+    has, near, of = {}, {}, {}
+    for c in contexts:
+        for w in re.findall(r"[^\W_]+", c.lower()):
+            of.setdefault(w, set()).add(c)
+        ws = c.lower().split()
+        for i in range(0, max(0, -(-len(ws) // pii.NEAR) - 2) * pii.NEAR + 1, pii.NEAR):
+            window = " ".join(ws[i : i + 2 * pii.NEAR])
+            found = set().union(*(shared(k, m[0]) for k, p in enumerate(BASE) for m in re.finditer(p, window) if valid(k, m[0])))
+            terms = set(re.findall(r"[^\W_]+", window))
+            hashes = {np.uint64(xxhash.xxh64_intdigest(w.encode(), 42)).view(np.int64) for w in window.split() if not re.search("[0-9@]", w)}
+            trials += len(found) * len(terms)
+            for e in found:
+                has.setdefault(e, set()).add(c)
+                for w in terms:
+                    if e not in w and not ((e[0] == "@" or e[-1] in "@.") and w in e):
+                        near.setdefault((e, w), {}).setdefault(c, set()).add(tuple(sorted(hashes)[:2]))
+    signed = lambda two: np.uint64(xxhash_of(two)).view(np.int64)
+    for (e, w), by in near.items():
+        n, n_e, n_t, n_te = len(contexts), len(has[e]), len(of[w]), len({min(signed(s) for s in sketches) for sketches in by.values()})
+        p, q, sure = n_e / n, n_te / n_t, n_te / (n_t + 1)
+        if n_te < 2 or p == 1 or sure < pii.CERTAINTY or q <= p or 1 - np.log(sure) / np.log(p) < pii.DISCLOSURE:
+            continue
+        if n_t * (q * np.log(q / p) + ((1 - q) * np.log((1 - q) / (1 - p)) if q < 1 else 0)) >= np.log(trials / pii.CHANCE):
+            out.add(w)
     return out
 
 
+def xxhash_of(numbers):
+    """Spark's hash of an array: each number's, seeded with the one before."""
+    h = 42
+    for x in numbers:
+        h = xxhash.xxh64_intdigest(np.array([x], "<i8").tobytes(), h)
+    return h
+
+
 def term_spans(text, terms):
     base = [m.span() for k, p in enumerate(BASE) for m in re.finditer(p, text) if valid(k, m[0])]
     return [m.span() for m in re.finditer(r"[^\W_]+", text) if m[0].lower() in terms and not any(a < m.end() and m.start() < b for a, b in base)]
 
 
+def planted():
+    """[(doc_id, text)] of the sample corpus with 20 names in 4 texts each beside their address or number, a rare word
+    in 60 texts beside an address of its own, and 12 near copies of a text with an address."""
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"])
+    rows = [(int(i), t) for i, t in zip(docs["doc_id"], docs["text"], strict=True) if t and len(t.split()) > 80]
+    assert len(rows) > 300
+    for i in range(160):
+        ws = rows[i][1].split(" ")
+        name, at = f"planted{'abcdefghijklmnopqrst'[i % 20]}", 10 + i % 60
+        if i < 80:
+            ws[at:at] = [name, "<box%d@host%d.example>" % (i % 20, i % 7)] if i % 2 else [f"+1 (555) 01{i % 20:02d}-{4000 + i % 20}", "is", name]
+        elif i < 140:
+            ws[at:at] = [f"rarely{i:03d}x".translate(str.maketrans("0123456789", "abcdefghij")), "<one%d@host%d.example>" % (i, i % 7)]
+        else:
+            continue
+        rows[i] = (rows[i][0], " ".join(ws))
+    near = [f"copied{c}" for c in "abcdefghijklmnopqrstuvwxyz"] * 3
+    near[40:40] = ["<copied@copies.example>"]
+    return rows + [(10**6 + i, " ".join([*near[:70], f"change{'abcdefghijkl'[i]}", *near[71:]])) for i in range(12)]
+
+
 @pytest.mark.parametrize("broadcast", [pii.BROADCAST_BYTES, 0])
 def test_op7_terms_as_by_brute_force(spark, monkeypatch, broadcast):
-    """All terms of the real corpus, with small tables broadcast and with them joined."""
+    """Planted names are terms, rare words beside addresses and words of near copies aren't; with small tables broadcast and with them joined."""
     monkeypatch.setattr(pii, "BROADCAST_BYTES", broadcast)
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
-    terms = disclosing(texts.values())
-    found = 0
-    for r in pii.find_personal_data(docs).collect():
+    rows = planted()
+    texts, terms = dict(rows), disclosing(t for _, t in rows)
+    found = set()
+    for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
         got = [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "term"]
         assert got == term_spans(texts[r["doc_id"]], terms)
-        found += len(got)
-    assert found > 100
+        found |= {texts[r["doc_id"]][a:b] for a, b in got}
+    names = {w for w in found if w.startswith("planted")}
+    assert len(names) >= 18 and not {w for w in found if w.startswith(("rarely", "copied", "change"))}
+    assert len(names) >= 0.9 * len(found - {w for w in found if w.startswith("box")})
+
+
+def test_op7_leaves_clean_words(spark):
+    """On the sample corpus, whose personal data stands at random, hardly a word discloses anything."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    assert pii.find_personal_data(docs).select(F.explode("spans").alias("s")).where("s.kind = 'term'").count() <= 5
 
 
 def test_pii_terms_and_redaction(spark):
     """Names beside, above and inside an address, texts with the name alone, overlapping spans, clashing columns and odd rows."""
-    lines = [f"Zephyrine\nzed@mail.example\nwrote {w} plain" for w in ("alpha", "bravo", "delta", "gamma")] + ["nothing from zephyrine, but\nZephyrine wrote to zed"]
-    lines += [f"alpha bravo delta gamma plain line number from wrote nothing but w{i}" for i in range(64)] + [f"to mail example {w}" for w in "ab"]
+    told = [" ".join(f"{w}{c}" for c in "abcdefghijkl") for w in ("alpha", "bravo", "delta", "gamma", "kappa", "sigma")]
+    lines = [f"Zephyrine\nzed@mail.example\nwrote {w}" for w in told] + ["nothing from zephyrine, but\nZephyrine wrote to zed"]
+    lines += [f"{' '.join(told)} line number from wrote nothing but w{i}" for i in range(96)] + [f"to mail example {w}" for w in ("ab", "cd", "ef", "gh", "ij", "kl")]
     lines += ["x 1.2.3.4.5.6.7.8@mail.example", "bravo 192.168.0.1@mail.example delta", None, ""]
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").withColumn("spans", F.lit("old")).withColumn("text_key", F.lit(1)).withColumn("found", F.lit(2))
     clean = {r["doc_id"]: r["text"] for r in pii.redact(pii.find_personal_data(df)).collect()}
-    assert clean[0] == "[TERM]\n[EMAIL]\nwrote alpha plain" and clean[4] == "nothing from [TERM], but\n[TERM] wrote to [TERM]"
-    assert all(clean[i] == lines[i] for i in range(5, len(lines) - 4)) and clean[len(lines) - 2] is None and clean[len(lines) - 1] == ""
-    assert clean[len(lines) - 4] in ("x [EMAIL]", "[TERM] [EMAIL]") and clean[len(lines) - 3] == "bravo [EMAIL] delta"
+    assert clean[0] == f"[TERM]\n[EMAIL]\nwrote {told[0]}" and clean[6] == "nothing from [TERM], but\n[TERM] wrote to [TERM]"
+    assert all(clean[i] == lines[i] for i in range(7, len(lines) - 4)) and clean[len(lines) - 2] is None and clean[len(lines) - 1] == ""
+    assert clean[len(lines) - 4] == "x [EMAIL]" and clean[len(lines) - 3] == "bravo [EMAIL] delta"
 
 
 def test_pii_very_long_texts(spark):

@@ -1,10 +1,11 @@
 """Personal data: base patterns, and terms that disclose the entities they stand for. DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Then, after information-theoretic
-sanitisation, terms are judged by what they tell about a protected entity (a base value): over the distinct texts
-of the corpus, the pointwise mutual information of term and entity, near each other, is compared with the
-information content of the entity. A term discloses an entity if it tells enough of it and if the entity is nearly
-always near where the term is named. Such terms are spans in every text that names them.
+sanitisation, terms are judged by what they tell about a protected entity: a base value, or what values share (a
+mailbox name, a domain, a network, the first digits of numbers). Over the distinct texts of the corpus, the smoothed
+pointwise mutual information of term and entity, near each other, is compared with the information content of the
+entity. A term discloses an entity if it tells enough of it, if the entity is nearly always near where the term is
+named, and if chance would hardly bring the two together so often. Such terms are spans in every text that names them.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ KINDS = {
 }
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 #: Shares that a disclosing term must reach: of the entity's information content that it tells, and of its own texts that hold the entity near it.
-DISCLOSURE, CERTAINTY = 0.9, 0.75
-#: Distinct texts that must show a term near an entity. At 1, a word that a corpus has in one text alone, near an entity, discloses it.
-SUPPORT = 1
+DISCLOSURE, CERTAINTY = 0.8, 0.6
+#: Unlike texts that must show a term near an entity, and the number of pairs expected to pass by chance alone.
+SUPPORT, CHANCE = 2, 0.01
 #: Words between which a term is near an entity: windows of twice so many words, each beginning so many after the last.
 NEAR = 32
 #: Terms up to so many bytes together are broadcast; more are joined.
@@ -107,17 +108,25 @@ def words(text_col: str) -> Column:
     return F.expr(_words(_name(text_col)))
 
 
-def near_pairs(text_col: str) -> Column:
-    """The distinct pairs of entity and near term of a text, each as one string with \\u0001 between.
-
-    A text is read, lower-cased, as overlapping windows of 2 * NEAR stretches without white space: any NEAR + 1 neighbours
-    are together in one. An entity isn't a term of its own.
-    """
+def windows(text_col: str) -> Column:
+    """The overlapping windows of 2 * NEAR stretches without white space of a text, lower-cased, that may hold an entity: any NEAR + 1 neighbours are together in one."""
     starts = f"sequence(0, greatest(0, cast(ceil(size(ws) / {NEAR}) as int) - 2))"
-    windows = _bound(f"filter(split(lower({_name(text_col)}), r'{_SPACE}'), w -> w <> '')", "ws", f"transform({starts}, i -> array_join(slice(ws, i * {NEAR} + 1, {2 * NEAR}), ' '))")
-    entities = f"array_distinct(transform({_base('win')}, z -> z.value))"
-    pairs = _bound(entities, "es", _bound(_words("win"), "ts", r"flatten(transform(es, e -> transform(filter(ts, t -> not contains(t, e)), t -> concat(e, '\u0001', t))))"))
-    return F.expr(f"array_distinct(flatten(transform(filter({windows}, win -> win rlike '[0-9@]'), win -> {pairs})))")
+    cut = _bound(f"filter(split(lower({_name(text_col)}), r'{_SPACE}'), w -> w <> '')", "ws", f"transform({starts}, i -> array_join(slice(ws, i * {NEAR} + 1, {2 * NEAR}), ' '))")
+    return F.expr(f"filter({cut}, win -> win rlike '[0-9@]')")
+
+
+def entities(text_col: str) -> Column:
+    """The distinct entities of a text: numbers by their digits, addresses, and what values share, which begins or ends with @ or ends with a dot."""
+    shared = f"""case s.kind when 'email' then array(s.value, concat(substring_index(s.value, '@', 1), '@'), concat('@', substring_index(s.value, '@', -1)))
+        when 'ip' then array(s.value, concat(substring_index(s.value, '.', 3), '.'))
+        when 'phone' then array(concat('+', {_DIGITS}), concat('+', left({_DIGITS}, length({_DIGITS}) - 4), '.'))
+        else array({_DIGITS}) end"""
+    return F.expr(f"array_distinct(flatten(transform({_base(_name(text_col))}, s -> {shared})))")
+
+
+def sketch(text_col: str) -> Column:
+    """The two smallest word hashes of a window as one number: near copies of a window mostly share it, unlike windows hardly ever."""
+    return F.expr(f"xxhash64(slice(array_sort(array_distinct(transform(filter(split({_name(text_col)}, ' '), w -> not w rlike '[0-9@]'), w -> xxhash64(w)))), 1, 2))")
 
 
 def _small(terms: DataFrame, size: Column) -> DataFrame:
@@ -126,29 +135,37 @@ def _small(terms: DataFrame, size: Column) -> DataFrame:
 
 
 def near_entities(holding: DataFrame) -> DataFrame:
-    """Of the distinct texts with entities, holding (line): (entity, term, n_e, n_te, least) where the term may disclose the entity.
+    """Of the distinct texts with entities, holding (line): (entity, term, n_e, n_te, trials) where the term may disclose the entity.
 
-    n_e counts the texts that hold the entity near any term, n_te those that have the term near it, least those that have
-    the term anywhere: it is in no fewer of all. Entities and terms are lower-cased.
+    n_e counts the texts that hold the entity in a window, n_te the unlike ones that have the term near it: texts that
+    show the pair in windows of one sketch count once, so that near copies are no support. trials are all pairs in all windows.
     """
-    pairs = durable(holding.select(near_pairs("line").alias("pairs")))
-    entities = pairs.select(F.explode(F.array_distinct(F.transform("pairs", lambda p: F.split_part(p, F.lit("\u0001"), F.lit(1))))).alias("entity"))
-    n_e = durable(entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT))
-    least = durable(holding.select(F.explode(words("line")).alias("term")).groupBy("term").agg(F.count("*").alias("least")))
-    part = lambda i: F.split_part("pair", F.lit("\u0001"), F.lit(i))
-    near = pairs.select(F.explode("pairs").alias("pair")).select(part(1).alias("entity"), part(2).alias("term"))
-    near = near.join(_small(n_e, F.octet_length("entity")), "entity").join(_small(least, F.octet_length("term")), "term")
-    near = near.where(F.col("n_e") >= CERTAINTY * F.col("least")).groupBy("entity", "term", "n_e", "least").agg(F.count("*").alias("n_te"))
-    return near.where((F.col("n_te") >= SUPPORT) & (F.col("n_te") >= CERTAINTY * F.col("least")))
-
-
-def discloses(n: Column, n_e: Column, n_t: Column, n_te: Column) -> Column:
-    """Of n texts n_e hold an entity, n_t a term, n_te both, near each other: whether the term discloses the entity.
-
-    It tells log(p(t, e) / (p(t) p(e))) of -log p(e). An entity of all texts can't be told apart.
+    texts = holding.select(text_key("line").alias("text_key"), F.explode(windows("line")).alias("win"))
+    shown = durable(texts.withColumn("entities", entities("win")).where(F.size("entities") > 0).select("text_key", sketch("win").alias("sketch"), "entities", words("win").alias("terms")))
+    n_e = durable(shown.select("text_key", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT))
+    least = durable(holding.select(F.explode(words("line")).alias("term")).groupBy("term").agg(F.count("*").alias("least")).where(F.col("least") >= SUPPORT))
+    near = shown.select("text_key", "sketch", "terms", F.explode("entities").alias("entity")).join(_small(n_e, F.octet_length("entity")), "entity")
+    own = F.col("term").contains(F.col("entity")) | (F.col("entity").rlike("^@|[@.]$") & F.col("entity").contains(F.col("term")))
+    near = near.select("text_key", "sketch", "entity", "n_e", F.explode("terms").alias("term")).where(~own).join(_small(least, F.octet_length("term")), "term")
+    near = near.where(F.col("n_e") >= CERTAINTY * (F.col("least") + 1))
+    near = near.groupBy("entity", "term", "n_e", "least", "text_key").agg(F.min("sketch").alias("sketch")).groupBy("entity", "term", "n_e", "least", "sketch").agg(F.lit(1).alias("one"))
+    near = near.groupBy("entity", "term", "n_e", "least").agg(F.count("*").alias("n_te"))
+    trials = shown.agg(F.coalesce(F.sum(F.size("entities").cast("bigint") * F.size("terms")), F.lit(0)).alias("trials"))
+    near = near.where((F.col("n_te") >= SUPPORT) & (F.col("n_te") >= CERTAINTY * (F.col("least") + 1)))
+    return near.crossJoin(F.broadcast(trials)).drop("least")  # one row
+
+
+def discloses(n: Column, n_e: Column, n_t: Column, n_te: Column, trials: Column) -> Column:
+    """Of n texts n_e hold an entity, n_t a term, n_te unlike ones both, near each other: whether the term discloses the entity.
+
+    With p(e | t) smoothed to n_te / (n_t + 1), it tells log(p(e | t) / p(e)) of -log p(e). By Chernoff's bound, chance gives a
+    term n_te of its n_t texts near the entity with probability exp(-n_t KL(n_te / n_t, p(e))) at most; over all
+    trials less than CHANCE such pairs are expected. An entity of all texts can't be told apart.
     """
-    told = F.log(n * n_te / (n_t * n_e)) / F.log(n / n_e)
-    return (n_te >= SUPPORT) & (n_e < n) & (n_te >= CERTAINTY * n_t) & F.coalesce(told >= DISCLOSURE, F.lit(False))
+    p, q, sure = n_e / n, n_te / n_t, n_te / (n_t + 1)
+    told = 1 - F.log(sure) / F.log(p)
+    evidence = n_t * (q * F.log(q / p) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0))
+    return (n_te >= SUPPORT) & (n_e < n) & (sure >= CERTAINTY) & (q > p) & F.coalesce((told >= DISCLOSURE) & (evidence >= F.log(trials / CHANCE)), F.lit(False))
 
 
 def text_key(text_col: str) -> Column:
@@ -156,7 +173,7 @@ def text_key(text_col: str) -> Column:
 
 
 def disclosing_terms(texts: DataFrame, holding: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entity, term, n, n_e, n_t, n_te) of disclosing terms, and (text_key, term), the texts that name terms that may disclose.
+    """(entity, term, n, n_e, n_t, n_te, trials) of disclosing terms, and (text_key, term), the texts that name terms that may disclose.
 
     texts (line): all texts, not empty, repeats included; holding (line): the distinct ones with an entity.
     """
@@ -167,8 +184,8 @@ def disclosing_terms(texts: DataFrame, holding: DataFrame) -> tuple[DataFrame, D
     n_t = named.groupBy("term").agg(F.count("*").alias("n_t"))
     n = texts.select(text_key("line").alias("text_key")).distinct().agg(F.count("*").alias("n"))
     judged = pairs.join(n_t, "term").crossJoin(F.broadcast(n))  # one row
-    judged = judged.where(discloses(F.col("n"), F.col("n_e"), F.col("n_t"), F.col("n_te")))
-    return judged.select("entity", "term", "n", "n_e", "n_t", "n_te"), named.select("text_key", "term")
+    judged = judged.where(discloses(*(F.col(c) for c in ("n", "n_e", "n_t", "n_te", "trials"))))
+    return judged.select("entity", "term", "n", "n_e", "n_t", "n_te", "trials"), named.select("text_key", "term")
 
 
 def term_spans(texts: DataFrame) -> DataFrame:
@@ -192,7 +209,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", base_col: str =
 
     Positions are code points, end exclusive. Null and empty texts have none. Repeated rows and null ids stay,
     and all other columns; columns named as the two results are replaced. Terms are counted over all texts; equal
-    texts count once.
+    texts count once, near copies give no support. Without a pair that may disclose, texts aren't searched for terms.
     """
     key, found = fresh(docs, "text_key", "found")
     text = F.col(text_col)
