@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -356,6 +357,42 @@ def test_op8(spark, sf):
         assert got.loc[d, "fingerprint"] == f"{want[d]:016x}" and got.loc[d, "component_id"] == ids[comp[i]]
 
 
+@pytest.mark.parametrize("part", [1, 7, 40, 1 << 18])
+def test_op8_texts_in_parts(monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART_BYTES", part)
+    for text in ("", " ", "a", "A b", "a b C", "x  y\n\tz \x0b w", "Ünï É " * 50, " ".join(f"w{i % 37}" for i in range(500)), "y" * 300 + " b c d "):
+        found = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
+        grams = [b" ".join(found[i : i + 3]) for i in range(max(1, len(found) - 2))] if found else []
+        bits = [sum(xxhash.xxh64_intdigest(g, 42) >> j & 1 for g in grams) for j in range(64)]
+        assert simhash.fingerprint(text) == sum(1 << j for j, n in enumerate(bits) if 2 * n > len(grams))
+
+
+def test_op8_memory_of_a_long_text():
+    text = " ".join(f"word{i}" for i in range(600_000))
+    tracemalloc.start()
+    simhash.fingerprint(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * len(text)
+
+
+def test_op8_lists_hold_every_near_pair():
+    """Exactly one of the 14 sets of four positions is within any five, so each pair that shares five bytes meets in a list."""
+    fours = [set(t) for t in itertools.combinations(range(8), 4) if t[0] ^ t[1] ^ t[2] ^ t[3] == 0]
+    assert len(fours) == 14
+    assert all(sum(t <= set(five) for t in fours) == 1 for five in itertools.combinations(range(8), 5))
+
+
+def test_extra_columns_of_type_map(spark):
+    """Maps, which Spark neither hashes nor orders, as extra columns; clashing names; equal rows."""
+    rows = [(1, "a b c d", {"x": 1}), (2, "a b c d", {"x": 2}), (None, "other words are here", None), (None, "other words are here", None), (3, None, {})]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, simhash map<string,int>").withColumn("deep", F.array(F.struct("simhash")))
+    kept = simhash.one_of_each_group(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or 0 for r in kept.collect())) == [0, 1, 3]
+    packed = packing.pack(docs.withColumn("length", F.lit(2).cast("bigint")), 4).collect()
+    assert len(packed) == 5 and len({(r["sequence_id"], r["offset"]) for r in packed}) == 5 and len({r["sequence_id"] for r in packed}) == 3
+
+
 def test_op8_any_ids(spark):
     """Negative, null and repeated ids; every pair that shares five positional bytes meets in the index."""
     rows = [(-5, "one two three four"), (3, "one two three four"), (-7, "five six seven"), (None, "five six seven"), (None, "eight nine ten"), (0, None), (-1, ""), (3, "eleven twelve")]
@@ -400,6 +437,20 @@ def test_op10(spark, sf):
     assert set(got["query_id"]) == set(ids[ids % 50 == 0])
 
 
+def test_op10_blocks_and_lengths(spark, monkeypatch):
+    """Queries in one block and in many have the same answers, vectors of unlike lengths never meet, and few rows give fewer than k."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)] + [(1000 + i, rng.normal(size=3).tolist()) for i in range(4)] + [(1000, [1.0, 0.0, 0.0]), (2000, None), (2050, [0.0] * 8)]
+    df, seen = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3), []
+    for size in (64 << 20, 2_000):
+        monkeypatch.setattr(ann, "QUERY_BYTES", size)
+        seen.append({(r["query_id"], r["rank"]): r["vec_id"] for r in ann.permutation_search(df, F.col("vec_id") % 50 == 0).collect()})
+    long = {(q, k): v for (q, k), v in seen[0].items() if q < 300}
+    assert long == {(q, k): v for (q, k), v in seen[1].items() if q < 300} and len(long) == 6 * 5
+    assert all(v < 300 and v != q for (q, _), v in long.items())
+    assert all({v for (q, _), v in s.items() if q == 1000} == {1001, 1002, 1003} for s in seen)
+
+
 def test_op10_recall_and_share_reranked():
     """On all vectors of a larger table: the cutoff keeps most true neighbours and leaves most rows out."""
     rows = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet")

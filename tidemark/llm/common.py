@@ -10,7 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED = "tidemark.shipped"
@@ -69,6 +69,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def row_key(df: DataFrame) -> list[Column]:
+    """Columns that a hash of whole rows can take: maps, and what holds them, as JSON text, as Spark neither hashes nor orders maps."""
+    return [F.to_json(F.struct(F.col(f"`{f.name}`").alias("c"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in short slices, so that what Python makes of long texts stays small."""
     for batch in batches:

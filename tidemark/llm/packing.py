@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, fresh, ship
+from tidemark.llm.common import durable, fresh, row_key, ship
 from tidemark.llm.tokens import encode_batches, hub_encoder
 
 #: Pieces in a rank bucket.
@@ -135,11 +135,12 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
     if any(n is None or not 0 < n <= capacity for n in counts):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     buckets = -(-sum(counts.values()) // BUCKET_ROWS) or 1
-    key = F.xxhash64(*(c for c in pieces.columns))
+    columns = row_key(pieces)
+    key = F.xxhash64(*columns)
     dealt = pieces.withColumn(bucket, F.pmod(key, F.lit(buckets)).cast("int"))
     sums = dealt.groupBy(length, bucket).agg(F.count("*").alias("n"))
     base = sums.select(length.alias("_l"), F.col(bucket).alias("_b"), (F.sum("n").over(Window.partitionBy(length).orderBy(bucket)) - F.col("n")).alias("_base"))
-    ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(length, bucket).orderBy(key, *pieces.columns)) - 1).join(base, (length == F.col("_l")) & (F.col(bucket) == F.col("_b"))).withColumn(rank, F.col(rank) + F.col("_base")).drop("_l", "_b", "_base", bucket)
+    ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(length, bucket).orderBy(key, *columns)) - 1).join(base, (length == F.col("_l")) & (F.col(bucket) == F.col("_b"))).withColumn(rank, F.col(rank) + F.col("_base")).drop("_l", "_b", "_base", bucket)
     rows = np.array(sorted(plan(counts, capacity)), np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast(rows)  # its size is bounded by the capacity alone
     wide = 1 << 44

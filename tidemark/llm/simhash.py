@@ -11,34 +11,61 @@ differing bits are counted.
 from __future__ import annotations
 
 import itertools
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import append_columns, components, durable, fresh, local_forest, ship, values
+from tidemark.llm.common import append_columns, components, durable, fresh, local_forest, row_key, ship, values
 
 #: Lists up to this length are joined with themselves; longer ones are compared in tiles of two blocks of BLOCK rows.
 SHORT_LIST = 32
 BLOCK = 256
+#: Bytes of a text whose words are held at once.
+PART_BYTES = 1 << 18
+
+
+def stretches(data: bytes) -> Iterator[bytes]:
+    """data in pieces of about PART_BYTES that end before a space."""
+    at = 0
+    while at < len(data):
+        space = re.compile(rb"[\x20\x09-\x0D]").search(data, at + PART_BYTES)
+        end = space.start() if space else len(data)
+        yield data[at:end]
+        at = end
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
+    """The 64-bit SimHash of a text's word shingles, repeats included; 0 without words. A long text is read in parts."""
+    ones, total, carried = np.zeros(64, np.int64), 0, []
+    for piece in stretches(text.encode().lower() if text else b""):  # bytes: only A-Z are lowered, only ASCII space splits
+        found = carried + piece.split()
+        if len(found) >= words:
+            ones += bit_counts(found, words, seed)
+            total += len(found) - words + 1
+            found = found[len(found) - words + 1 :]
+        carried = found
+    if not total and carried:
+        ones, total = bit_counts(carried, len(carried), seed), 1
+    return sum(1 << j for j in np.flatnonzero(2 * ones > total).tolist())
+
+
+def bit_counts(found: list[bytes], words: int, seed: int) -> np.ndarray:
+    """How many hashes of the shingles of `words` words set each bit."""
     import xxhash
 
-    found = text.encode().lower().split() if text else []  # bytes: only A-Z are lowered, only ASCII space splits
-    if not found:
-        return 0
     line, lengths = b" ".join(found), np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(lengths + 1) - 1
-    starts, ends = (ends - lengths)[: max(1, len(found) - words + 1)].tolist(), ends[min(words, len(found)) - 1 :].tolist()
+    starts, ends = (ends - lengths)[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist()
     ones, step, digest = np.zeros(64, np.int64), 1 << 16, xxhash.xxh64_intdigest
     for i in range(0, len(starts), step):
         h = np.array([digest(line[a:b], seed) for a, b in zip(starts[i : i + step], ends[i : i + step], strict=True)], "<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return sum(1 << j for j in np.flatnonzero(2 * ones > len(starts)).tolist())
+    return ones
 
 
 def with_fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "simhash", drop: tuple[str, ...] = ()) -> DataFrame:
@@ -119,7 +146,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     fingerprints alone: rows that share a doc_id but no near-duplicate text are told apart, null ids and texts group like any other.
     """
     fp, first, second = fresh(docs, "simhash", "first", "second")
-    row = [*docs.columns, *(F.col(c).isNull() for c in docs.columns)]  # the hash skips nulls
+    row = [*row_key(docs), *(F.col(f"`{c}`").isNull() for c in docs.columns)]  # the hash skips nulls
     keyed = docs.withColumns({first: F.xxhash64(F.lit(1), *row), second: F.xxhash64(F.lit(2), *row)})
     rows = durable(with_fingerprints(keyed.select("doc_id", "text", first, second), out_col=fp, drop=("text",)))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(first).alias(first), F.col(second).alias(second))
