@@ -10,10 +10,40 @@ from pyspark.sql import functions as F
 CADENCES = ("day", "week", "month", "birthday-month", "all")
 
 
+def iso_week_day(year: Column, week: Column, day: Column) -> Column:
+    """The date of a day (1 Monday to 7) in an ISO week, null where the year has no such week."""
+    first = F.make_date(year, F.lit(1), F.lit(4))  # always in week 1
+    monday = F.date_add(F.date_sub(first, F.weekday(first)), (week - 1) * 7)
+    there = (week >= 1) & (F.year(F.date_add(monday, 3)) == year) & day.between(1, 7)
+    return F.when(there, F.date_add(monday, day - 1))
+
+
+#: ISO dates: with hyphens, without, and by week with or without a day. What follows is one separator and a time.
+_HYPHENS, _COMPACT, _WEEK = r"^(\d{4}-\d{2}-\d{2})(?!\d)", r"^(\d{4})(\d{2})(\d{2})(?!\d)", r"^(\d{4})(-?)W(\d{2})(?:\2([1-7]))?(?![0-9])"
+#: A time in digits alone or with colons, with or without a fraction and a zone.
+_CLOCK = r"^(\d{2})(?::?(\d{2}))?(?::?(\d{2}))?(?:[.,](\d+))?(?:[+-]\d{2}(?::?\d{2}){0,2})?$"
+#: Dates and times whose numbers may lack leading zeros, at most 26 characters of them.
+_LOOSE = r"^\d{4}-\d{1,2}-\d{1,2}(?:T\d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,6})?)?$"
+
+
 def parse_when(text: Column) -> Column:
-    """The wall-clock time of a text (its zone is dropped, not applied), null if it has none."""
-    clean = F.trim(text)
-    return F.when(clean.rlike(r"^\d{4}-\d{2}-\d{2}"), clean.try_cast("timestamp_ntz"))
+    """The wall-clock time of a text (its zone is dropped, not applied), null if it has none.
+
+    Dates are 2026-03-14, 20260314, 2026-W11-6, 2026W116 or a week's Monday as 2026-W11; times follow after any one character, as
+    09, 09:30, 0930, 09:30:00.5 or 093000. Hyphenated dates and times may lack leading zeros.
+    """
+    clean = F.regexp_replace(F.trim(text), "Z", "+00:00")
+    part = lambda pattern, n: F.regexp_extract(clean, pattern, n)
+    number = lambda pattern, n: part(pattern, n).try_cast("int")
+    by_week = iso_week_day(number(_WEEK, 1), number(_WEEK, 3), F.coalesce(number(_WEEK, 4), F.lit(1)))
+    date = F.when(clean.rlike(_HYPHENS), part(_HYPHENS, 1).try_cast("date")).when(clean.rlike(_COMPACT), F.concat_ws("-", *(part(_COMPACT, n) for n in (1, 2, 3))).try_cast("date")).when(clean.rlike(_WEEK), by_week)
+    rest = F.substring(clean, F.length(F.coalesce(*(F.nullif(part(p, 0), F.lit("")) for p in (_HYPHENS, _COMPACT, _WEEK)))) + 1, F.length(clean))
+    clock = F.substring(rest, F.lit(2), F.length(rest))
+    two = lambda n: F.coalesce(F.nullif(F.regexp_extract(clock, _CLOCK, n), F.lit("")), F.lit("00"))
+    micros = F.rpad(F.substring(F.regexp_extract(clock, _CLOCK, 4), 1, 6), 6, "0")
+    at = F.when(rest == "", "00:00:00").when(clock.rlike(_CLOCK), F.concat(two(1), F.lit(":"), two(2), F.lit(":"), two(3), F.lit("."), micros))
+    head = F.substring(clean, 1, 26)
+    return F.coalesce(F.concat(date.cast("string"), F.lit(" "), at).try_cast("timestamp_ntz"), F.when(head.rlike(_LOOSE), head.try_cast("timestamp_ntz")))
 
 
 def as_date(text: Column) -> Column:

@@ -66,3 +66,11 @@ def asset_path(asset_id: Column, rendition: Column) -> tuple[Column, Column]:
     """Path and size of a rendition: the original has no size, any other is a thumbnail of that size."""
     original = F.coalesce(rendition == "original", F.lit(False))
     return F.concat(F.lit("/assets/"), asset_id, F.when(original, "/original").otherwise("/thumbnail")), F.when(~original, rendition)
+
+
+def resolved_path(path: Column, home: str) -> Column:
+    """The absolute form of a path, from home unless it begins with a slash: without a local scheme, empty parts, `.` and `..`."""
+    plain = F.regexp_replace(path, "^file:/+", "/")
+    whole = F.when(F.startswith(plain, F.lit("/")), plain).otherwise(F.concat(F.lit(f"{home.rstrip('/')}/"), plain))
+    step = lambda parts, x: F.when(x.isin("", "."), parts).when(x == "..", F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(F.concat(parts, F.array(x)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step), "/"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import watermark_for
+from tidemark.operators.rowwise import map_rows
 
 
 def resolve_watermark(stored: str | None, since: str | None = None, full: bool = False) -> tuple[str | None, str]:
@@ -17,6 +21,39 @@ def resolve_watermark(stored: str | None, since: str | None = None, full: bool =
     return (stored, "stored") if stored else (None, "first-run")
 
 
+def watermark_windows(state: DataFrame, since: Column | None = None, full: Column | None = None) -> DataFrame:
+    """state (watermark, null before the first run) with window_start, null for everything, and window_source: resolve_watermark for each row."""
+    flag = F.lit(None).cast("string") if since is None else F.nullif(since, F.lit(""))
+    all_ = F.lit(False) if full is None else F.coalesce(full, F.lit(False))
+    stored = F.col("watermark")
+    source = F.when(all_, "full").when(flag.isNotNull(), "since").when(stored.isNotNull(), "stored").otherwise("first-run")
+    return state.withColumn("window_start", F.when(~all_, F.coalesce(flag, stored))).withColumn("window_source", source)
+
+
+def count_lookup(people: DataFrame, call: Callable[[Any, dict], int], start: Callable[[], Any] = lambda: None, added: str = "current") -> DataFrame:
+    """people with the count that call(state, row) gives for each, null where it raises: an unknown count says nothing, and stops nothing."""
+    return map_rows(people, lambda state, row: {added: call(state, row)}, f"{added} bigint", start, error_col="_failed").drop("_failed")
+
+
+def windows_after_drift(windows: DataFrame, counts: DataFrame, indexed: DataFrame, on: str = "person_id") -> DataFrame:
+    """windows (on, person_assets, window_start, window_source) for a second pass: only those that an incremental pass has provably missed something in, now full.
+
+    counts (on, current) are the authoritative ones, indexed (on, new) what the first pass found; no row means none found.
+    """
+    seen = windows.where(F.col("window_start").isNotNull()).join(counts.select(on, "current"), on).join(indexed.select(on, "new"), on, "left")
+    gone = drifted(F.col("person_assets"), F.col("current"), F.coalesce("new", F.lit(0)))
+    return seen.where(gone).select(*(c for c in windows.columns if c not in ("window_start", "window_source")), F.lit(None).cast(windows.schema["window_start"].dataType).alias("window_start"), F.lit("drift").alias("window_source"))
+
+
+def in_windows(items: DataFrame, windows: DataFrame, updated_col: str, on: str = "person_id") -> DataFrame:
+    """Items of those with a window that were updated after its start, with window_source; all of theirs where it has none.
+
+    One window a person and no more, so a hot person's items are spread by Spark's skew join or, for few persons, not shuffled at all.
+    """
+    w = windows.select(F.col(on).alias("_on"), "window_start", "window_source")
+    return items.join(w, (F.col(on) == F.col("_on")) & (F.col("window_start").isNull() | (F.col(updated_col) > F.col("window_start")))).drop("_on", "window_start")
+
+
 def since_watermark(df: DataFrame, updated_col: str, watermark: Column | str | None) -> DataFrame:
     """Rows updated after the watermark; all without one. The filter reaches the scan."""
     return df if watermark is None else df.where(F.col(updated_col) > watermark)

@@ -40,3 +40,12 @@ def unfinished(work: DataFrame, finished: DataFrame, on: str) -> DataFrame:
     """Rows of work (fingerprint) that no row of finished (fingerprint, size) of the same key already holds whole."""
     done = finished.where("size > 0").select(on, "fingerprint")
     return work.join(done, [on, "fingerprint"], "left_anti")
+
+
+def succeeded(tried: DataFrame, there: DataFrame, on: str = "path") -> DataFrame:
+    """Rows of tried (on, error, time `rendered_at`) that may be recorded: no error, and a file of over 0 bytes in there (on, bytes).
+
+    Of several tries of one output the last one decides, whether it failed or not.
+    """
+    last = newest(tried, on, F.desc("rendered_at"), F.desc_nulls_last("error"))
+    return last.where(F.col("error").isNull()).join(there.where("bytes > 0").select(on), on, "left_semi").drop("error")

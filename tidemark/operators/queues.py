@@ -6,11 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pending(keys: DataFrame, done: DataFrame, on: str, require: list[DataFrame] = ()) -> DataFrame:
-    """Rows of keys that every required table knows and that aren't done."""
+def pending(keys: DataFrame, done: DataFrame, on: str, require: list[DataFrame] = (), again: Column | None = None) -> DataFrame:
+    """Rows of keys that every required table knows and that aren't done; rows of done where `again` is true count as not done.
+
+    So `status = 'error'` tries failures again, and true does all anew.
+    """
     for table in require:
         keys = keys.join(table.select(on), on, "left_semi")
-    return keys.join(done.select(on), on, "left_anti")
+    kept = done if again is None else done.where(~F.coalesce(again, F.lit(False)))
+    return keys.join(kept.select(on), on, "left_anti")
+
+
+def usable_downloads(downloads: DataFrame, faces: DataFrame, on: str) -> DataFrame:
+    """One row (usable): downloads of which a face is usable, each counted once for each such face."""
+    return downloads.join(faces.where(F.col("status") == "ok").select(on), on).agg(F.count("*").alias("usable"))
 
 
 def pending_counts(assets: DataFrame, faces: DataFrame, downloads: DataFrame, metrics: DataFrame, on: str) -> DataFrame:

@@ -9,6 +9,7 @@ from tidemark.cluster import work_folder
 from tidemark.operators import incremental, reconcile, timeline
 from tidemark.plans.registry import load, query
 from tidemark.sources import lines, manifest, snapshots
+from tidemark.streaming import sync
 
 _RUNS = "r AS (SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS person_id, strftime(o_orderdate, '%Y-%m-%dT12:00:00.000Z') AS started_at, o_orderkey % 3 > 0 AS ok, o_orderkey % 4 = 0 AS ended FROM orders)"
 
@@ -104,3 +105,35 @@ def concat_list_in_files(spark, sf_dir):
     back = lines.read_ordered(spark, folder)
     ahead = back.groupBy("file").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("file")) - F.col("n"))  # a row for each file
     return back.join(ahead, "file").select((F.col("before") + F.col("pos") + 1).alias("ord"), "line")
+
+
+_TRIED = "t AS (SELECT o_orderkey AS k, concat('/videos/', o_orderkey // 2, '.mp4') AS path, concat('f', o_orderkey) AS fingerprint, strftime(o_orderdate, '%Y-%m-%d') AS rendered_at, CASE WHEN o_orderkey % 5 = 0 THEN 'killed' END AS error FROM orders)"
+
+
+@query(
+    f"WITH {_TRIED}, l AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY rendered_at DESC, error DESC NULLS LAST, k DESC) AS r FROM t) SELECT path, fingerprint, rendered_at FROM l WHERE r = 1 AND error IS NULL AND (k // 2) % 3 > 0 AND (k // 2) % 7 <> 3 "
+    "UNION ALL SELECT DISTINCT path, 'old', '1990-01-01' FROM l WHERE (k // 2) % 11 = 0 AND path NOT IN (SELECT path FROM l WHERE r = 1 AND error IS NULL AND (k // 2) % 3 > 0 AND (k // 2) % 7 <> 3)"
+)
+def renders_after_success(spark, sf_dir):
+    """Two orders try each output; records come from last tries that left a file, others keep what an earlier run recorded."""
+    folder, k = work_folder(spark, "renders"), F.col("o_orderkey")
+    output = F.floor(k / 2)
+    tried = load(spark, sf_dir, "orders").select(output.alias("output"), F.concat(F.lit("videos/x/../"), output.cast("string"), F.lit(".mp4")).alias("path"), F.concat(F.lit("f"), k.cast("string")).alias("fingerprint"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("rendered_at"), F.when(k % 5 == 0, "killed").alias("error"), k.alias("k"))
+    tried = tried.withColumn("output", F.col("output").cast("bigint"))
+    there = tried.select("output", F.concat(F.lit("file:///videos/"), F.col("output").cast("string"), F.lit(".mp4")).alias("path")).where("output % 7 <> 3").distinct().select("path", (F.col("output") % 3).alias("bytes"))
+    old = tried.where("output % 11 = 0").select("path", F.lit("old").alias("fingerprint"), F.lit("1990-01-01").alias("rendered_at"), F.lit(None).cast("string").alias("error")).distinct()
+    everywhere = old.select("path", F.lit(1).alias("bytes"))
+    last_of_ties = incremental.newest(tried.withColumn("_output_time", F.concat_ws("|", "path", "rendered_at")), "_output_time", F.desc_nulls_last("error"), F.desc("k"))
+    manifest.record_renders(spark, folder, old, everywhere)
+    return manifest.record_renders(spark, folder, last_of_ties.select("path", "fingerprint", "rendered_at", "error"), there).read("renders")
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS starts, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1")
+def windows_of_a_stream(spark, sf_dir):
+    """Hourly counts kept by a stream over the events' files."""
+    at = {name: work_folder(spark, name) for name in ("counts", "progress")}
+    path = f"{sf_dir}/events.parque[t]"  # a stream reads a single file only through a pattern
+    schema = load(spark, sf_dir, "events").select("ts").schema
+    sync.sync_window_counts(spark, path, schema, at["counts"], at["progress"], "ts", "1 hour", "400 days", buckets=16)
+    found = sync.current(spark, at["counts"], "starts timestamp, n bigint")
+    return found.select(F.date_format("starts", "yyyy-MM-dd HH:mm").alias("starts"), "n")

@@ -117,3 +117,29 @@ def error_message_and_wait(spark, sf_dir):
 @query("SELECT event_id, concat(replace(format('{:,}', event_id * 37), ',', '.'), CASE WHEN event_id * 37 = 1 THEN ' Tag' ELSE ' Tage' END) AS told FROM events")
 def grouped_count_i18n(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", calendar.counted(F.col("event_id") * 37, "day", "de").alias("told"))
+
+
+_DAY = "strftime(ts, '%Y-%m-%d ')"
+
+
+@query(
+    f"SELECT event_id, CASE event_id % 8 WHEN 0 THEN {_DAY} || '00:00:00.000000' WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.000000') WHEN 2 THEN {_DAY} || '00:00:00.000000' WHEN 3 THEN strftime(ts, '%Y-%m-%d %H:%M:00.000000') "
+    f"WHEN 4 THEN strftime(date_trunc('week', ts), '%Y-%m-%d 00:00:00.000000') WHEN 5 THEN strftime(ts, '%Y-%m-%d %H:00:00.250000') WHEN 6 THEN {_DAY} || '09:05:07.500000' END AS taken FROM events"
+)
+def compact_and_week_times(spark, sf_dir):
+    """Times without hyphens and colons, by ISO week, with a comma, without leading zeros; weeks that no year has."""
+    kind, at = F.col("event_id") % 8, lambda pattern: F.date_format("ts", pattern)
+    week = calendar.bucket(F.col("ts"), "week")
+    day = (F.weekday("ts") + 1).cast("string")
+    written = [at("yyyyMMdd"), at("yyyyMMdd'T'HHmmss'Z'"), F.concat(week, F.lit("-"), day), F.concat(F.replace(week, F.lit("-")), day, at("'T'HHmm")), week, at("yyyy-MM-dd HH:'00:00,25+0200'"), at("yyyy-M-d'T9:5:7.5'")]
+    chosen = F.lit("2026-W54-1")
+    for k, text_ in enumerate(written):
+        chosen = F.when(kind == k, text_).otherwise(chosen)
+    return load(spark, sf_dir, "events").select("event_id", F.date_format(calendar.parse_when(chosen), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("taken"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('/videos/', event_id, '.mp4') WHEN 1 THEN concat('/home/me/', event_id, '.mp4') WHEN 2 THEN concat('/home/', event_id, '/a.mp4') ELSE '/' END AS path FROM events")
+def resolved_paths(spark, sf_dir):
+    kind, name = F.col("event_id") % 4, F.col("event_id").cast("string")
+    path = F.when(kind == 0, F.concat(F.lit("file:///videos/./x/../"), name, F.lit(".mp4"))).when(kind == 1, F.concat(name, F.lit(".mp4"))).when(kind == 2, F.concat(F.lit("..//"), name, F.lit("/a.mp4"))).otherwise("/../..")
+    return load(spark, sf_dir, "events").select("event_id", text.resolved_path(path, "/home/me/").alias("path"))

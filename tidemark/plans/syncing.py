@@ -172,3 +172,81 @@ def stage_projection(spark, sf_dir):
     done = F.col("event_id") % 3 == 0
     timings = load(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.count_if(done).alias("processed"), F.round(F.sum(F.when(done, F.col("value"))), 2).alias("elapsed"), F.count_if(~done).alias("remaining"))
     return queues.projected(timings).withColumn("per_item", F.round("per_item", 4)).withColumn("projected", F.round("projected", 2))
+
+
+_FACES = "a AS (SELECT o_orderkey AS asset_id FROM orders), f AS (SELECT asset_id, CASE WHEN asset_id % 4 = 0 THEN 'error' WHEN asset_id % 4 = 1 THEN 'no_face' ELSE 'ok' END AS status FROM a WHERE asset_id % 10 < 8)"
+
+
+def _faces(spark, sf_dir):
+    k = F.col("asset_id")
+    assets = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("asset_id"))
+    return assets, assets.where(k % 10 < 8).select("asset_id", F.when(k % 4 == 0, "error").when(k % 4 == 1, "no_face").otherwise("ok").alias("status"))
+
+
+@query(
+    f"WITH {_FACES} SELECT 'new' AS mode, asset_id FROM a WHERE asset_id NOT IN (SELECT asset_id FROM f) UNION ALL SELECT 'retry errors', asset_id FROM a WHERE asset_id NOT IN (SELECT asset_id FROM f WHERE status <> 'error') UNION ALL SELECT 'all anew', asset_id FROM a"
+)
+def pending_again(spark, sf_dir):
+    """What is due if only new rows are, if failures are tried again, and if all is."""
+    assets, faces = _faces(spark, sf_dir)
+    modes = {"new": None, "retry errors": F.col("status") == "error", "all anew": F.lit(True)}
+    due = [queues.pending(assets, faces, "asset_id", again=again).select(F.lit(mode).alias("mode"), "asset_id") for mode, again in modes.items()]
+    return due[0].union(due[1]).union(due[2])
+
+
+@query(f"WITH {_FACES} SELECT count(*) AS usable FROM f WHERE status = 'ok' AND asset_id % 5 < 3")
+def usable_downloads(spark, sf_dir):
+    assets, faces = _faces(spark, sf_dir)
+    return queues.usable_downloads(assets.where(F.col("asset_id") % 5 < 3), faces, "asset_id")
+
+
+@query(
+    "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN '2026-05-01' WHEN c_custkey % 3 = 0 THEN '2026-01-01' END AS window_start, "
+    "CASE WHEN c_custkey % 7 = 0 THEN 'full' WHEN c_custkey % 5 = 0 THEN 'since' WHEN c_custkey % 3 = 0 THEN 'stored' ELSE 'first-run' END AS window_source FROM customer"
+)
+def watermark_windows(spark, sf_dir):
+    k = F.col("c_custkey")
+    state = load(spark, sf_dir, "customer").select("c_custkey", F.when(k % 3 == 0, "2026-01-01").alias("watermark"))
+    return incremental.watermark_windows(state, F.when(k % 5 == 0, "2026-05-01").otherwise(""), k % 7 == 0).drop("watermark")
+
+
+_MARK = "TIMESTAMP '2024-01-15 00:00:00'"
+_PEOPLE = (
+    f"p AS (SELECT user_id, count(*) FILTER (WHERE ts <= {_MARK}) - user_id % 3 AS stored, count(*) AS current, count(*) FILTER (WHERE ts > {_MARK}) AS new FROM events WHERE user_id IS NOT NULL GROUP BY user_id), "
+    "w AS (SELECT *, user_id % 11 = 0 AS full, user_id % 11 <> 0 AND user_id % 13 <> 0 AND current - stored > new AS drifted FROM p)"
+)
+
+
+def _uncertain_count(_, row: dict) -> int:
+    """Stands for a service's count of a person, which some requests don't get."""
+    if row["person_id"] % 13 == 0:
+        raise ConnectionError("unavailable")
+    return row["n"]
+
+
+def _drifted(spark, sf_dir):
+    """Events as items of their users: windows of the first pass, and those of the second, after counts tell what it missed."""
+    mark = F.lit("2024-01-15").cast("timestamp_ntz")
+    items = load(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("person_id"), "ts")
+    people = items.where("person_id is not null").groupBy("person_id").agg(F.count("*").alias("n"), F.count_if(F.col("ts") <= mark).alias("old"))
+    state = people.select("person_id", (F.col("old") - F.col("person_id") % 3).alias("person_assets"), F.date_format(mark, "yyyy-MM-dd HH:mm:ss").alias("watermark"))
+    first = incremental.watermark_windows(state, full=F.col("person_id") % 11 == 0).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    counts = incremental.count_lookup(people.select("person_id", "n"), _uncertain_count)
+    indexed = incremental.in_windows(items, first, "ts").groupBy("person_id").agg(F.count("*").alias("new"))
+    return items, first, incremental.windows_after_drift(first, counts, indexed)
+
+
+@query(f"WITH {_PEOPLE} SELECT user_id AS person_id, CASE WHEN user_id % 13 <> 0 THEN current END AS current FROM p")
+def count_lookup(spark, sf_dir):
+    people = load(spark, sf_dir, "events").where("user_id is not null").groupBy(F.col("user_id").alias("person_id")).agg(F.count("*").alias("n"))
+    return incremental.count_lookup(people, _uncertain_count).drop("n")
+
+
+@query(
+    f"WITH {_PEOPLE} SELECT event_id, CASE WHEN w.full THEN 'full' ELSE 'stored' END AS window_source FROM events JOIN w USING (user_id) WHERE w.full OR ts > {_MARK} UNION ALL SELECT event_id, 'drift' FROM events JOIN w USING (user_id) WHERE w.drifted"
+)
+def rescan_after_drift(spark, sf_dir):
+    """Items that a first pass reads, and those that a second one reads because an authoritative count grew by more than was found."""
+    items, first, second = _drifted(spark, sf_dir)
+    read = [incremental.in_windows(items, w, "ts").select("event_id", "window_source") for w in (first, second)]
+    return read[0].union(read[1])

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import incremental
+from tidemark.functions.text import resolved_path
+from tidemark.operators import incremental, matching
 from tidemark.sources import snapshots
 
 #: The columns of the manifest.
@@ -60,6 +61,21 @@ def finish_run(spark: SparkSession, folder: str, ended: DataFrame, tables: dict[
     return snapshots.commit(base, staged, reads=["runs", "sync_state"])
 
 
+def record_renders(spark: SparkSession, folder: str, tried: DataFrame, there: DataFrame, home: str = "/", buckets: int = 256) -> snapshots.Snapshot:
+    """Remembers what made each output, by absolute path: tried (path, fingerprint, rendered_at, error), there (path, bytes) the files that exist.
+
+    Only outputs whose last try succeeded and left a file count. Others keep their old record, whose fingerprint tells that they are due
+    again. One commit; the same rows a second time change nothing.
+    """
+    absolute = lambda df: df.withColumn("path", resolved_path(F.col("path"), home))
+    base = snapshots.snapshot(spark, folder)
+    good = matching.succeeded(absolute(tried), absolute(there)).select("path", "fingerprint", "rendered_at").persist()
+    try:
+        return snapshots.commit(base, {"renders": snapshots.stage_upsert(base, "renders", good, "path", (), buckets)})
+    finally:
+        good.unpersist()
+
+
 def not_empty(rows: DataFrame) -> None:
     if rows.isEmpty():
         raise ValueError("nothing was selected; the old selection stays")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.operators.incremental import newest
 from tidemark.sources import snapshots
@@ -57,3 +58,23 @@ def bucket_counts(events: DataFrame, time_col: str, width: str, late: str) -> Da
     """Counts for each tumbling window of a stream (or table), rows later than `late` left out; the time is UTC wall clock."""
     at = F.col(time_col).cast("timestamp")
     return events.withColumn(time_col, at).withWatermark(time_col, late).groupBy(F.window(time_col, width)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("starts"), "n")
+
+
+def sync_window_counts(spark: SparkSession, landing: str, schema: str | StructType, target: str, checkpoint: str, time_col: str, width: str, late: str, files_per_batch: int = 1000, buckets: int = BUCKETS) -> int:
+    """Takes up all files that came since the last call and keeps bucket_counts of them up to date in target; returns the batches run.
+
+    Each batch upserts only the windows that it changed, in one commit with its number as a mark, so a repeated batch counts nothing
+    twice. Rows over `late` behind the newest time of earlier batches are left out, as are null times.
+    """
+    ran = []
+
+    def one(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        stream = session.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+        put_batch(snapshots.snapshot(session, target), batch, "starts", (), buckets, stream, number)
+        ran.append(number)
+
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
+    query = bucket_counts(files, time_col, width, late).writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return len(ran)
