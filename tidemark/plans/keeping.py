@@ -124,8 +124,8 @@ def renders_after_success(spark, sf_dir):
     old = tried.where("output % 11 = 0").select("path", F.lit("old").alias("fingerprint"), F.lit("1990-01-01").alias("rendered_at"), F.lit(None).cast("string").alias("error")).distinct()
     everywhere = old.select("path", F.lit(1).alias("bytes"))
     last_of_ties = incremental.newest(tried.withColumn("_output_time", F.concat_ws("|", "path", "rendered_at")), "_output_time", F.desc_nulls_last("error"), F.desc("k"))
-    manifest.record_renders(spark, folder, old, everywhere)
-    return manifest.record_renders(spark, folder, last_of_ties.select("path", "fingerprint", "rendered_at", "error"), there).read("renders")
+    manifest.record_renders(spark, folder, old, everywhere, buckets=32)
+    return manifest.record_renders(spark, folder, last_of_ties.select("path", "fingerprint", "rendered_at", "error"), there, buckets=32).read("renders")
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS starts, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1")
