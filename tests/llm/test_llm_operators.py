@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import re
 import tracemalloc
 import zlib
@@ -19,7 +20,7 @@ from tidemark.llm.embedding_dedup import near_duplicate_vectors
 from tidemark.llm import ann, langid, orc_tokens, toxicity, vectors as vectors_
 from tidemark.llm.langid import identify, learn_filter
 from tidemark.llm.quality import GatedAttention, bounded_sample, fit_quality, passages, score_quality
-from tidemark.llm.toxicity import BUCKETS, BiGRU, Scorer, WordTable, fit_toxicity, score_toxicity
+from tidemark.llm.toxicity import BUCKETS, BiGRU, Scorer, WordTable, fit_toxicity, score_toxicity, word_inputs
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", "   ", "\n\n \t", "x", "two  spaces", "naïve ĀĒ 中文 😀 \x00 tab\there", "it's 123 don't", "<|endoftext|> a", "b<|endoftext|><|endoftext|>\n c <|startoftext|>d <|ENDOFTEXT|>", "word " * 3000, "word " * 3000]
@@ -621,6 +622,100 @@ def test_attention_gradients():
         model.p[k][i] = old
 
 
+def _slow_toxicity_logit(p: dict, words: list[str]) -> float:
+    """One window's logit, a word and a unit at a time."""
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    unit = toxicity.HIDDEN
+    inputs = []
+    for word in words:
+        at = word_inputs(word)
+        inputs.append([sum(float(p["embed"][b, k]) for b in at) / math.sqrt(len(at)) for k in range(toxicity.INPUT)])
+    sides = []
+    for side, order in (("f", inputs), ("b", inputs[::-1])):
+        h, states = [0.0] * unit, []
+        for x in order:
+            gate = [sum(x[k] * float(p[f"W{side}"][k, j]) for k in range(len(x))) + float(p[f"B{side}"][j]) for j in range(3 * unit)]
+            back = [sum(h[i] * float(p[f"R{side}"][i, j]) for i in range(unit)) for j in range(2 * unit)]
+            z, r = [sig(gate[j] + back[j]) for j in range(unit)], [sig(gate[unit + j] + back[unit + j]) for j in range(unit)]
+            new = [math.tanh(gate[2 * unit + j] + sum(r[i] * h[i] * float(p[f"S{side}"][i, j]) for i in range(unit))) for j in range(unit)]
+            h = [(1 - z[j]) * h[j] + z[j] * new[j] for j in range(unit)]
+            states.append(h)
+        sides.append(states if side == "f" else states[::-1])
+    states = [f + b for f, b in zip(*sides, strict=True)]
+    weight = [math.exp(sum(v * float(a) for v, a in zip(s, p["a"][:, 0], strict=True))) for s in states]
+    pooled = [sum(w * s[j] for w, s in zip(weight, states, strict=True)) / sum(weight) for j in range(2 * unit)]
+    return sum(v * float(o) for v, o in zip(pooled, p["o"][:, 0], strict=True)) + float(p["c"][0])
+
+
+def test_toxicity_as_by_hand():
+    """Scores of whole texts equal the largest logit over their windows by loops, for weights drawn at random."""
+    model, r = BiGRU(), np.random.default_rng(5)
+    model.p["c"] += 0.3
+    for side in "fb":
+        model.p[f"B{side}"] += r.standard_normal(3 * toxicity.HIDDEN).astype(np.float32)
+    window, stride = toxicity.WINDOW, toxicity.STRIDE
+    words = ["".join(r.choice(list("abcdé"), r.integers(1, 9))) for _ in range(2 * window + 3)]
+    for n in (1, 5, window, window + 1, 2 * window + 3):
+        starts = range(0, max(1, n - (window - stride)), stride)
+        want = max(_slow_toxicity_logit(model.p, words[:n][i : i + window]) for i in starts)
+        assert abs(Scorer(model).scores([" ".join(words[:n])])[0] - 1 / (1 + math.exp(-want))) < 1e-5
+
+
+def test_toxicity_gradients():
+    """Every parameter's gradient, and that of the inputs, by differences in double precision."""
+    model, r = BiGRU(), np.random.default_rng(6)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x = np.concatenate([r.standard_normal((9, toxicity.INPUT)), np.zeros((1, toxicity.INPUT))])
+    win = r.integers(0, 9, (4, toxicity.WINDOW))
+    win[1, 5:], win[2, 1:] = -1, -1
+    to = r.standard_normal(4)
+    keep: dict = {}
+    model.forward(x, win, keep)
+    grads, dx = model.gradients(x, win, keep, to)
+    total = lambda: float(model.forward(x, win) @ to)
+    for where, found in [*((model.p[k], grads[k]) for k in grads), (x[:-1], dx[:-1])]:
+        for _ in range(3):
+            i = tuple(r.integers(0, n) for n in where.shape)
+            old = where[i]
+            where[i] = old + 1e-2
+            up = total()
+            where[i] = old - 1e-2
+            slope = (up - total()) / 2e-2
+            where[i] = old
+            assert abs(slope - np.asarray(found).reshape(where.shape)[i]) < 2e-3 + 2e-2 * abs(slope)
+
+
+def test_quality_as_by_hand():
+    """The score of a text is that of its passages, weighted by gated attention, by loops."""
+    model, r = GatedAttention(), np.random.default_rng(7)
+    model.mean, model.scale = (r.random(len(model.mean)) * 0.1).astype(np.float32), (1 + r.random(len(model.mean))).astype(np.float32)
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    found = ["ab cd. " * 600, "x", None, "Other words, other 123 signs! " * 90]
+    scores = model.scores(found)
+    for text, score in zip(found, scores, strict=True):
+        held, weights = [], []
+        for x in np.concatenate([x for x, _ in passages([text])]):
+            z = [(float(v) - float(m)) * float(s) for v, m, s in zip(x, model.mean, model.scale, strict=True)]
+            h = [math.tanh(sum(z[i] * p["W"][i, j] for i in range(len(z))) + p["b"][j]) for j in range(model.HIDDEN)]
+            gated = [math.tanh(sum(h[i] * p["V"][i, j] for i in range(len(h)))) / (1 + math.exp(-sum(h[i] * p["U"][i, j] for i in range(len(h))))) for j in range(model.GATE)]
+            held.append(h), weights.append(math.exp(sum(g * w for g, w in zip(gated, p["w"][:, 0], strict=True))))
+        pooled = [sum(w * h[j] for w, h in zip(weights, held, strict=True)) / sum(weights) for j in range(model.HIDDEN)]
+        assert abs(score - 1 / (1 + math.exp(-(sum(v * c for v, c in zip(pooled, p["c"][:, 0], strict=True)) + p["d"][0])))) < 1e-5
+
+
+def test_op5_reaches_its_threshold(spark):
+    """Held-out rows of sf0.1: how well scores order them, and how many of each label reach 0.3."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    got = registry.queries()["op5_toxicity"](spark, sf).where("held_out").join(labels, "doc_id").toPandas()
+    bad, clean = got[got["toxic"] == 1], got[got["toxic"] == 0]
+    auc = (bad["score"].to_numpy()[:, None] > clean["score"].to_numpy()[None]).mean()
+    figures = f"{len(bad)} and {len(clean)} rows: AUC {auc:.3f}, {bad['predicted'].mean():.3f} of toxic and {clean['predicted'].mean():.3f} of others reach 0.3"
+    print(figures)
+    assert (got["predicted"] == (got["score"] >= 0.3)).all()
+    assert auc >= 0.94 and bad["predicted"].mean() >= 0.85 and clean["predicted"].mean() <= 0.05, figures
+
+
 def test_pipeline_as_by_brute_force(spark, sf):
     """Every stage's rows, with columns of clashing names kept, against a version without Spark."""
     import corpus_pipeline
