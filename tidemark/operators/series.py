@@ -61,7 +61,8 @@ def rolling_median(df: DataFrame, value: str, order: str, half: int = 4, by: lis
 
 def luma_gain(current: Column, reference: Column, low: float = 0.85, high: float = 1.18) -> Column:
     """The factor that brings a brightness to its reference, within bounds; null for black."""
-    return F.least(F.greatest(reference / F.when(current > 1e-6, current), F.lit(low)), F.lit(high))
+    # least and greatest skip nulls, so black is told apart around them
+    return F.when(current > 1e-6, F.least(F.greatest(reference / current, F.lit(low)), F.lit(high)))
 
 
 def damped(df: DataFrame, value: str, order: str, by: list[str] = (), rows: int = SERIES_ROWS) -> DataFrame:

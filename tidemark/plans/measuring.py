@@ -20,7 +20,8 @@ def rolling_median_9(spark, sf_dir):
 @query(f"WITH x AS (SELECT event_id, value, count(*) OVER (PARTITION BY user_id) AS n, {_MEDIAN} AS median FROM events) SELECT event_id, round(CASE WHEN n >= 3 AND abs(value - median) >= 1 AND value > 1e-6 THEN least(greatest(median / value, 0.85), 1.18) ELSE 1 END, 6) AS gain FROM x")
 def luma_gain_clip(spark, sf_dir):
     events = load(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    return series.damped(events, "value", "event_id", by=["user_id"]).select("event_id", F.round("gain", 6).alias("gain"))
+    # SQL scales before it rounds, so that 1.0328125 becomes 1.032812; Spark would round its decimal digits
+    return series.damped(events, "value", "event_id", by=["user_id"]).select("event_id", (F.round(F.col("gain") * 1e6) / 1e6).alias("gain"))
 
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 4) AS lo, round(quantile_cont(l_extendedprice, 0.95), 4) AS hi FROM lineitem GROUP BY 1")
