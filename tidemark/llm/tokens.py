@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 from tidemark.llm.common import slices
 
-#: Entries that a worker keeps for each tokenizer; beyond that it starts anew.
+#: Entries that a worker keeps for each tokenizer; beyond that it starts anew. Lower-case vocabularies keep two tables of half as many, the current and the one before.
 TABLE_ENTRIES = 500_000
 _SPACES = re.compile(r"\s\s")
 #: White space besides space and newline, and what lies beyond the Latin blocks, go to the tokenizer as they are.
@@ -23,7 +23,9 @@ _ODD = re.compile(r"[^\n -~¡-į]")
 PART = 1 << 18
 #: After what a text may be cut with no token, special string or normalisation across: what precedes a lone space, or a full-width mark before a letter of its scripts.
 _CUT = re.compile(r"\S(?= \S)|[。，、！？；：](?=[一-龥ぁ-んァ-ヶ가-힣])")
-_TABLES: dict[str, dict] = {}
+#: What may follow the letters of a Latin piece.
+_SIGNS = "".join(c for c in map(chr, [*range(33, 127), *range(161, 304)]) if not c.isalpha())
+_TABLES: dict[str, tuple[dict, dict]] = {}
 
 
 def byte_chars() -> list[str]:
@@ -50,7 +52,7 @@ class PieceEncoder:
     """
 
     def __init__(self, key: str, encode: Callable, split: Callable, merge: Callable, lower: bool = False, whole: Iterable[str] = ()):
-        self.table, self.lower, self.whole = _TABLES.setdefault(key, {}), lower, tuple(whole)
+        (self.table, self.older), self.lower, self.whole = _TABLES.setdefault(key, ({}, {})), lower, tuple(whole)
         self.encode, self.split, self.merge = encode, split, merge
 
     def ids(self, text: str) -> bytes:
@@ -71,11 +73,29 @@ class PieceEncoder:
         """A piece stands for lead and itself, or, if it begins with a newline, for itself."""
         found = list(map(self.table.get, pieces))
         if None in found:
-            if len(self.table) >= TABLE_ENTRIES:
+            if len(self.table) >= (TABLE_ENTRIES // 2 if self.lower else TABLE_ENTRIES):
+                if self.lower:
+                    self.older.clear()
+                    self.older.update(self.table)
                 self.table.clear()
-            found = [self.table.get(x) or self._add(x, lead) if y is None else y for x, y in zip(pieces, found, strict=True)]
+            if self.lower:
+                found = [self._known(x) if y is None else y for x, y in zip(pieces, found, strict=True)]
+            else:
+                found = [self.table.get(x) or self._add(x, lead) if y is None else y for x, y in zip(pieces, found, strict=True)]
         return b"".join(found)
 
+    def _known(self, piece: str) -> bytes:
+        """For lower-case vocabularies, whose stretches have the same ids alone: only those that both tables lack are merged."""
+        if got := self.table.get(piece):
+            return got
+        if not (got := self.older.get(piece)):
+            stem = piece.rstrip(_SIGNS)
+            stretches = [stem, *self.split(piece[len(stem) :])] if stem.isalpha() else self.split(piece)
+            got = b"".join(map(self._known, stretches)) if len(stretches) > 1 else pack(self.merge(piece))
+        if len(piece) <= 64:
+            self.table[piece] = got
+        return got
+
     def _add(self, piece: str, lead: str) -> bytes:
         if piece.isalpha():
             got = pack(self.merge(lead + piece))
